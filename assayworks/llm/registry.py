@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, url_filter
+from . import quality, secrets, toxicity, url_filter
 from .common import ready
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_OPS: list[Query] = [quality.op7_quality, url_filter.op10_url_filter]
-_MODULES = [quality, url_filter]
+_OPS: list[Query] = [secrets.op6_secrets, quality.op7_quality, toxicity.op8_toxicity, url_filter.op10_url_filter]
+_MODULES = [secrets, quality, toxicity, url_filter]
 
 
 def _query(f: Query) -> Query:
