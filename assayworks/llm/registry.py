@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, secrets, toxicity, url_filter
+from . import packing, quality, secrets, token_files, toxicity, url_filter
 from .common import ready
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_OPS: list[Query] = [secrets.op6_secrets, quality.op7_quality, toxicity.op8_toxicity, url_filter.op10_url_filter]
+_OPS: list[Query] = [packing.op1_best_fit_packing, token_files.op5_token_files, secrets.op6_secrets, quality.op7_quality, toxicity.op8_toxicity, url_filter.op10_url_filter]
 _MODULES = [secrets, quality, toxicity, url_filter]
 
 
