@@ -45,21 +45,25 @@ MIN_WORDS = 50
 
 def counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the counts that the table's ratios are made of."""
-    # Each array is made in a projection of its own, so nothing below evaluates it anew for every element.
+    # Each array is made in a projection of its own, so nothing below evaluates it anew for every element. The fence, a
+    # running number that no optimizer rule can see through, keeps a filter on the results from being pushed below.
     t = F.coalesce(F.col(text), F.lit(""))
-    df = docs.withColumn("_w", F.filter(F.split(t, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    fence = F.monotonically_increasing_id()
+    on = F.col("_fence") + F.monotonically_increasing_id()
+    df = docs.withColumns({"_fence": fence, "_w": F.filter(F.split(t, r"[\x20\x09-\x0D]+"), lambda w: w != "")})
     df = df.withColumn("_l", F.filter(F.split(t, "\n"), lambda s: F.translate(s, SPACES, "") != ""))
     n = F.size("_w")
     windows = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.concat_ws(" ", F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)).alias("g"), i.alias("i"))))
-    df = df.withColumn("_g", F.sort_array(F.coalesce(windows, F.array().cast("array<struct<g:string,i:int>>"))))
+    df = df.withColumns({"_fence": on, "_g": F.sort_array(F.coalesce(windows, F.array().cast("array<struct<g:string,i:int>>")))})
     # Windows equal to a neighbour in sorted order are those found twice or more; their places, in order.
     twice = F.filter("_g", lambda x, k: (x["g"] == F.get("_g", k - 1)["g"]) | (x["g"] == F.get("_g", k + 1)["g"]))
-    df = df.withColumn("_p", F.sort_array(F.transform(twice, lambda x: x["i"])))
+    df = df.withColumns({"_fence": on, "_p": F.sort_array(F.transform(twice, lambda x: x["i"]))})
     # Each place covers three words, less those that the next place covers too.
     covered = F.aggregate("_p", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).alias("last")), lambda a, p: F.struct((a["n"] + F.least(F.lit(3), p - a["last"])).alias("n"), p.alias("last")), lambda a: a["n"])
     plain = F.translate(t, SPACES, "")
     return df.withColumns(
         {
+            "_fence": on,
             "n_words": n.cast("long"),
             "word_chars": F.length(plain).cast("long"),
             "n_symbols": (F.length(plain) - F.length(F.translate(plain, SYMBOLS, ""))).cast("long"),
@@ -92,7 +96,7 @@ def quality(docs: DataFrame, text: str = "text", keep: Iterable[str] = ("doc_id"
     df = counts(docs.select(*keep, *([] if text in keep else [text])), text)
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     df = df.withColumns({"base_failed": base, "missed": compiled(thresholds)})
-    df = df.withColumn("kept", ~F.col("base_failed") & (F.size("missed") == 0))
+    df = df.withColumn("kept", ~F.col("base_failed") & (F.size("missed") == 0) & (F.col("_fence") >= 0))
     return df.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_word_lines", "n_stop_words", "base_failed", "missed", "kept")
 
 
