@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dup, packing, quality, secrets, token_files, topk, toxicity, url_filter
+from . import near_dup, packing, quality, secrets, sentencepiece, token_files, topk, toxicity, url_filter, warc
 from .common import ready
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_OPS: list[Query] = [packing.op1_best_fit_packing, near_dup.op2_near_duplicates, token_files.op5_token_files, secrets.op6_secrets, quality.op7_quality, toxicity.op8_toxicity, topk.op9_top_k, url_filter.op10_url_filter]
+_OPS: list[Query] = [packing.op1_best_fit_packing, near_dup.op2_near_duplicates, warc.op3_warc_derivatives, sentencepiece.op4_sentencepiece, token_files.op5_token_files, secrets.op6_secrets, quality.op7_quality, toxicity.op8_toxicity, topk.op9_top_k, url_filter.op10_url_filter]
 _MODULES = [quality, topk, url_filter]
 
 

@@ -44,6 +44,9 @@ class Encoder:
         self.n = np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.uint16)
 
+    def cut(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        return pretokens(data, off)
+
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -61,7 +64,7 @@ class Encoder:
 
     def slice_ids(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids one after another, and the texts' offsets among them."""
-        s, e, first, far = pretokens(data, off)
+        s, e, first, far = self.cut(data, off)
         h = span_hashes(data, s, e)
         keys, where, inv = np.unique(h, return_index=True, return_inverse=True)
         if len(self.keys) > MOST_KNOWN:
