@@ -13,38 +13,69 @@ from ..functions.text import string_columns
 AUDIT_SCHEMA = "row_id int, field string, step string, original_value string, new_value string, reason string"
 
 
+LOG = "_audit"
+_ENTRY = "array<struct<field:string,step:string,original_value:string,new_value:string,reason:string>>"
+
+
 @dataclass
 class Step:
-    """data, the rows changed, and the tags of columns that were added; all lazy."""
+    """A step's rows, each with the log of its own changes so far, and the tags of columns that were added.
+
+    The log travels in a column, so a chain of steps is one pass over the table and its audit another, however long it is.
+    """
 
-    data: DataFrame
-    audit: DataFrame
+    rows: DataFrame
     new_tags: dict[str, str] = field(default_factory=dict)
 
+    @property
+    def data(self) -> DataFrame:
+        return self.rows.drop(LOG)
+
+    @property
+    def audit(self) -> DataFrame:
+        """row_id, field, step, original_value, new_value, reason of every cell changed."""
+        got = self.rows.select(F.col("original_row_id").cast("int").alias("row_id"), F.explode(LOG).alias("c"))
+        return got.select("row_id", "c.*")
+
+
+def logged(df: DataFrame) -> DataFrame:
+    return df if LOG in df.columns else df.withColumn(LOG, F.array().cast(_ENTRY))
+
+
+def entries(pairs: dict[str, tuple[Column, Column]], step: str, reason: Column | str) -> Column:
+    """The log of the fields whose value before and after differ, both being present. pairs: field to (before, after)."""
+    why = F.lit(reason) if isinstance(reason, str) else reason
+    cells = [F.when(a != b, F.struct(F.lit(n).alias("field"), F.lit(step).alias("step"), a.cast("string").alias("original_value"), b.cast("string").alias("new_value"), why.alias("reason"))) for n, (a, b) in pairs.items()]
+    return F.array_compact(F.array(*cells)).cast(_ENTRY)
+
 
 def empty_audit(spark: SparkSession) -> DataFrame:
     return spark.sql("select " + ", ".join(f"cast(null as {t}) {n}" for n, t in (x.split() for x in AUDIT_SCHEMA.split(", "))) + " where false")
 
 
 def changes(df: DataFrame, pairs: dict[str, tuple[Column, Column]], step: str, reason: Column | str, row_id: str = "original_row_id") -> DataFrame:
-    """A row for each cell whose value before and after differ, both being present. pairs: field to (before, after)."""
+    """The log of a table of before and after values, as rows."""
     if not pairs:
         return empty_audit(df.sparkSession)
-    cells = F.array(*[F.struct(F.lit(n).alias("field"), a.cast("string").alias("original_value"), b.cast("string").alias("new_value")) for n, (a, b) in pairs.items()])
-    cells = F.filter(cells, lambda c: c["original_value"] != c["new_value"])
-    got = df.select(F.col(row_id).cast("int").alias("row_id"), F.explode(cells).alias("c"))
-    reason = F.lit(reason) if isinstance(reason, str) else reason
-    return got.select("row_id", "c.field", F.lit(step).alias("step"), "c.original_value", "c.new_value", reason.alias("reason"))
+    got = df.select(F.col(row_id).cast("int").alias("row_id"), F.explode(entries(pairs, step, reason)).alias("c"))
+    return got.select("row_id", "c.*")
+
 
+def stepped(df: DataFrame, new: dict[str, Column], step: str, reason: str, audited: list[str] | None = None, shown=lambda c: c, tags: dict[str, str] | None = None) -> Step:
+    """df with columns replaced or added by expressions over it, and the log of the audited ones.
 
-def stepped(df: DataFrame, new: dict[str, Column], step: str, reason: str, audited: list[str] | None = None) -> Step:
-    """df with columns replaced or added by expressions over it, and the audit of the audited ones. One scan for each output."""
+    New values are made in a projection of their own, so each is evaluated once for the column and its log.
+    """
+    df = logged(df)
     audited = [c for c in (audited if audited is not None else new) if c in df.columns]
-    return Step(df.withColumns(new), changes(df, {c: (F.col(c), new[c]) for c in audited}, step, reason))
+    made = df.withColumns({f"_new_{c}": e for c, e in new.items()})
+    log = F.concat(LOG, entries({c: (F.col(c), shown(F.col(f"_new_{c}"))) for c in audited}, step, reason)) if audited else F.col(LOG)
+    kept = [F.col(f"_new_{c}").alias(c) if c in new else F.col(c) for c in df.columns if c != LOG]
+    return Step(made.select(*kept, *[F.col(f"_new_{c}").alias(c) for c in new if c not in df.columns], log.alias(LOG)), tags or {})
 
 
 def skipped(df: DataFrame) -> Step:
-    return Step(df, empty_audit(df.sparkSession))
+    return Step(logged(df))
 
 
 def deduplicated(step_fn, df: DataFrame, cols: list[str], threshold: float = 0.5) -> Step:
@@ -57,12 +88,12 @@ def deduplicated(step_fn, df: DataFrame, cols: list[str], threshold: float = 0.5
         return step_fn(df)
     keyed = df.select(*cols).distinct().withColumns({"original_row_id": F.lit(0), "_key": F.struct(*cols)})
     got = step_fn(keyed)
-    new = [c for c in got.data.columns if c not in ("original_row_id", "_key")]
-    right = got.data.select("_key", *[F.col(c).alias(f"_new_{c}") for c in new])
-    on = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_key.{c}")) for c in cols])
-    joined = df.join(right, on, "left")
-    data = joined.select(*[F.col(f"_new_{c}").alias(c) if c in new else F.col(c) for c in df.columns], *[F.col(f"_new_{c}").alias(c) for c in new if c not in df.columns])
-    return Step(data, changes(joined, {c: (F.col(c), F.col(f"_new_{c}")) for c in cols}, "dedup", "distinct values"), got.new_tags)
+    new = [c for c in got.rows.columns if c not in ("original_row_id", "_key", LOG)]
+    right = got.rows.select("_key", F.col(LOG).alias("_more"), *[F.col(c).alias(f"_new_{c}") for c in new])
+    df = logged(df)
+    joined = df.join(right, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_key.{c}")) for c in cols]), "left")
+    kept = [F.col(f"_new_{c}").alias(c) if c in new else F.col(c) for c in df.columns if c != LOG]
+    return Step(joined.select(*kept, *[F.col(f"_new_{c}").alias(c) for c in new if c not in df.columns], F.concat(LOG, "_more").alias(LOG)), got.new_tags)
 
 
 def build_audit_trail(before: DataFrame, after: DataFrame, step: str, reason: str, row_id: str = "original_row_id") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cas, names, text
 from ..sources.shared import checkpoint_folder
-from .audit import Step, changes, empty_audit, skipped, stepped
+from .audit import LOG, Step, entries, logged, skipped, stepped
 
 CHIRAL_FLAG = "WARNING: chiral designation"
 MULTI_FLAG = "WARNING: potential multi-analyte"
@@ -73,8 +73,7 @@ def normalize_cas_step(df: DataFrame, tags: dict[str, str]) -> Step:
         for k in range(1, most[c] or 0):
             new[f"cas_extract_{c}_{k}"] = F.get(lists[c], k)
             more[f"cas_extract_{c}_{k}"] = "CASRN"
-    shown = {c: (F.col(c), F.coalesce(new[c], F.lit("[NA]"))) for c in cols}
-    return Step(df.withColumns(new), changes(df, shown, "normalize_cas", "registry number normalised"), more)
+    return stepped(df, new, "normalize_cas", "registry number normalised", cols, lambda c: F.coalesce(c, F.lit("[NA]")), more)
 
 
 def rescue_cas_step(df: DataFrame, tags: dict[str, str]) -> Step:
@@ -84,27 +83,25 @@ def rescue_cas_step(df: DataFrame, tags: dict[str, str]) -> Step:
         return skipped(df)
     first = {c: F.get(cas.extract_cas(F.col(c).cast("string")), 0) for c in cols}
     any_ = df.agg(*[F.max(first[c].isNotNull()).alias(c) for c in cols]).first().asDict()
-    new, more, pairs = {}, {}, {}
+    new, more = {}, {}
     for c in cols:
         if any_[c]:
             new[f"cas_extract_{c}"] = first[c]
             more[f"cas_extract_{c}"] = "CASRN"
             new[c] = text.squish(F.regexp_replace(F.col(c), cas.IN_TEXT, " "))
-            pairs[c] = (F.col(c), new[c])
-    return Step(df.withColumns(new) if new else df, changes(df, pairs, "rescue_cas", "registry number moved out of the text"), more)
+    return stepped(df, new, "rescue_cas", "registry number moved out of the text", cols, tags=more) if new else skipped(df)
 
 
 def multi_cas_step(df: DataFrame, tags: dict[str, str]) -> Step:
     cols = [c for c in tagged(tags, "CASRN") if c in df.columns]
     n = reduce(lambda a, b: a + b, [F.coalesce(F.col(c) != "", F.lit(False)).cast("int") for c in cols], F.lit(0))
-    return Step(df.withColumns({"multi_cas": n > 1, "multi_cas_count": n}), empty_audit(df.sparkSession))
+    return Step(logged(df).withColumns({"multi_cas": n > 1, "multi_cas_count": n}))
 
 
 def protect_chiral_step(df: DataFrame, cols: list[str]) -> Step:
     has = reduce(lambda a, b: a | b, [F.coalesce(F.col(c).rlike(names.CHIRAL), F.lit(False)) for c in cols], F.lit(False))
-    got = stepped(df, {c: names.protect_chiral(F.col(c)) for c in cols}, "protect_chiral", "chiral marker set aside")
-    flagged = df.withColumns({**{c: names.protect_chiral(F.col(c)) for c in cols}, "cleaning_flag": with_flag(_flag(df), CHIRAL_FLAG, has)})
-    return Step(flagged, got.audit)
+    new = {c: names.protect_chiral(F.col(c)) for c in cols} | {"cleaning_flag": with_flag(_flag(df), CHIRAL_FLAG, has)}
+    return stepped(df, new, "protect_chiral", "chiral marker set aside", cols)
 
 
 def restore_chiral_step(df: DataFrame, cols: list[str]) -> Step:
@@ -138,18 +135,19 @@ def strip_terms_step(df: DataFrame, cols: list[str], terms: list[tuple[str, str]
 def split_synonyms_step(df: DataFrame, cols: list[str], tags: dict[str, str]) -> Step:
     """A row for each synonym; registry numbers stay with the first. Rows that do not split come first (split_order 0)."""
     numbers = [c for c in tagged(tags, "CASRN") if c in df.columns]
-    audit = empty_audit(df.sparkSession)
+    df = logged(df)
     for c in cols:
         parts = names.split_synonyms(F.col(c))
-        got = df.withColumn("_parts", F.when(F.coalesce(F.size(parts), F.lit(0)) > 1, parts).otherwise(F.array(F.col(c))))
-        audit = audit.unionByName(
-            got.filter(F.size("_parts") > 1).select(F.col("original_row_id").cast("int").alias("row_id"), F.lit(c).alias("field"), F.lit("split_synonyms").alias("step"), F.col(c).alias("original_value"), F.array_join("_parts", " | ").alias("new_value"), F.concat(F.lit("split into "), F.size("_parts"), F.lit(" names")).alias("reason"))
-        )
-        others = [x for x in got.columns if x not in (c, "_parts", "synonym_count", "synonym_index")]
-        got = got.select(*others, F.size("_parts").alias("synonym_count"), F.posexplode("_parts").alias("_i", c))
-        got = got.withColumns({"synonym_index": F.col("_i") + 1, **{x: F.when(F.col("_i") == 0, F.col(x)) for x in numbers}})
+        got = df.withColumn("_split", parts)
+        got = got.withColumn("_parts", F.when(F.coalesce(F.size("_split"), F.lit(0)) > 1, F.col("_split")).otherwise(F.array(F.col(c)))).drop("_split")
+        many = F.size("_parts") > 1
+        log = F.concat(LOG, F.when(many, entries({c: (F.col(c), F.array_join("_parts", " | "))}, "split_synonyms", F.concat(F.lit("split into "), F.size("_parts"), F.lit(" names")))).otherwise(F.slice(LOG, 1, 0)))
+        others = [x for x in got.columns if x not in (c, "_parts", "synonym_count", "synonym_index", LOG)]
+        got = got.select(*others, log.alias(LOG), F.size("_parts").alias("synonym_count"), F.posexplode("_parts").alias("_i", c))
+        first = F.col("_i") == 0  # registry numbers and the log stay with the first
+        got = got.withColumns({"synonym_index": F.col("_i") + 1, LOG: F.when(first, F.col(LOG)).otherwise(F.slice(LOG, 1, 0)), **{x: F.when(first, F.col(x)) for x in numbers}})
         df = got.select(*[x for x in df.columns if x not in ("synonym_count", "synonym_index")], "synonym_count", "synonym_index")
-    return Step(df.withColumn("split_order", (F.col("synonym_count") > 1).cast("int")) if cols else df, audit)
+    return Step(df.withColumn("split_order", (F.col("synonym_count") > 1).cast("int")) if cols else df)
 
 
 def expand_isotopes_step(df: DataFrame, cols: list[str], isotopes: DataFrame | None, alternates: dict[str, str] | None = None) -> Step:
@@ -160,19 +158,19 @@ def expand_isotopes_step(df: DataFrame, cols: list[str], isotopes: DataFrame | N
     new = {c: names.expand_isotopes(F.col(c), [tuple(r) for r in rows], alternates) for c in cols}
     got = stepped(df, new, "expand_isotopes", "isotope spelled out")
     ids = isotopes.select(F.lower(F.concat_ws("-", "element_name", "mass")).alias("_canon"), F.col("dtxsid").alias("_id")).groupBy("_canon").agg(F.min("_id").alias("_id"))
-    data = got.data
+    data = got.rows
     for c in cols:
         data = data.join(F.broadcast(ids), F.lower(F.trim(c)) == F.col("_canon"), "left")
         old = F.col("isotope_dtxsid") if "isotope_dtxsid" in data.columns else F.lit(None).cast("string")
         was = F.col("isotope_match") if "isotope_match" in data.columns else F.lit(False)
         data = data.withColumns({"isotope_dtxsid": F.coalesce(old, "_id"), "isotope_match": was | F.col("_canon").isNotNull()}).drop("_canon", "_id")
-    return Step(data, got.audit)
+    return Step(data)
 
 
 def flag_multi_analyte_step(df: DataFrame, cols: list[str]) -> Step:
     has = reduce(lambda a, b: a | b, [names.is_multi_analyte(F.col(c)) for c in cols], F.lit(False))
     reviewed = F.coalesce(_flag(df).contains("REVIEWED: multi-analyte"), F.lit(False))
-    return Step(df.withColumn("cleaning_flag", with_flag(_flag(df), MULTI_FLAG, has & ~reviewed)), empty_audit(df.sparkSession))
+    return Step(logged(df).withColumn("cleaning_flag", with_flag(_flag(df), MULTI_FLAG, has & ~reviewed)))
 
 
 def truncated_step(df: DataFrame, cols: list[str]) -> Step:
@@ -182,7 +180,7 @@ def truncated_step(df: DataFrame, cols: list[str]) -> Step:
         count = lambda x, v=v: F.length(v) - F.length(F.translate(v, x, ""))
         flag = with_flag(flag, DELIMITER_FLAG, (v != "") & ((count("(") != count(")")) | (count("[") != count("]"))))
         flag = with_flag(flag, ELLIPSIS_FLAG, (v != "") & v.rlike(r"\.\.\.+|…"))
-    return Step(df.withColumn("cleaning_flag", flag), empty_audit(df.sparkSession))
+    return Step(logged(df).withColumn("cleaning_flag", flag))
 
 
 def bare_formula_step(df: DataFrame, cols: list[str]) -> Step:
@@ -193,8 +191,7 @@ def bare_formula_step(df: DataFrame, cols: list[str]) -> Step:
         flag = F.when(bare, F.lit(BARE_FLAG)).otherwise(flag)
         new[f"formula_blocked_{c}"] = F.when(bare, F.col(c))
         new[c] = F.when(~bare, F.col(c))
-    pairs = {c: (F.col(c), F.coalesce(new[c], F.lit("[NA]"))) for c in cols}
-    return Step(df.withColumns({**new, "cleaning_flag": flag}), changes(df, pairs, "detect_bare_formulas", "value is a formula only"))
+    return stepped(df, {**new, "cleaning_flag": flag}, "detect_bare_formulas", "value is a formula only", cols, lambda c: F.coalesce(c, F.lit("[NA]")))
 
 
 def flag_references_step(df: DataFrame, cols: list[str], terms: list[tuple[str, str]], kind: str, label: str) -> Step:
@@ -213,8 +210,9 @@ def flag_references_step(df: DataFrame, cols: list[str], terms: list[tuple[str,
         by_pattern = v.rlike("(?i)" + "|".join(found)) if found else F.lit(False)
         new = F.when(by_value, F.lit(f"{prefix}: {label} [exact]")).when(by_pattern, F.lit(f"{prefix}: {label} [substring]"))
         flag = F.when(taken, flag).otherwise(F.coalesce(new, flag))
-    pairs = {"cleaning_flag": (F.coalesce(_flag(df), F.lit("")), F.coalesce(flag, F.lit("")))}
-    return Step(df.withColumn("cleaning_flag", flag), changes(df, pairs, "flag_reference_matches", label))
+    made = logged(df).withColumns({"_old": _flag(df), "_flag": flag})
+    log = F.concat(LOG, entries({"cleaning_flag": (F.coalesce("_old", F.lit("")), F.coalesce("_flag", F.lit("")))}, "flag_reference_matches", label))
+    return Step(made.withColumns({"cleaning_flag": F.col("_flag"), LOG: log}).drop("_old", "_flag"))
 
 
 def first_match(df: DataFrame, column: str, patterns: DataFrame) -> DataFrame:
@@ -242,12 +240,11 @@ def run(df: DataFrame, tags: dict[str, str] | None = None, references: dict | No
     tags, references, on = dict(tags or {}), references or {}, normalized_mask(mask)
     if "original_row_id" not in df.columns:
         df = with_row_ids(df)
-    audits: list[DataFrame] = []
+    df = logged(df)
 
     def take(step: Step) -> DataFrame:
-        audits.append(step.audit)
         tags.update(step.new_tags)
-        return step.data
+        return step.rows
 
     if on["unicode"]:
         df = take(unicode_step(df))
@@ -284,7 +281,7 @@ def run(df: DataFrame, tags: dict[str, str] | None = None, references: dict | No
         for name, kind, label in (("functional", "warning", "functional category"), ("stop_words", "warning", "stop word"), ("block_patterns", "blocking", "blocked pattern")):
             if references.get(name):
                 df = take(flag_references_step(df, cols, references[name], kind, label))
-    return Step(df, reduce(lambda a, b: a.unionByName(b), audits), tags)
+    return Step(df, tags)
 
 
 def preflight(df: DataFrame, tags: dict[str, str], isotopes: Iterable[str] = (), units: Iterable[str] = (), dates: Iterable[str] = (), media: Iterable[str] = (), durations: Iterable[str] = ()) -> DataFrame:
