@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql.functions import pandas_udf
 
 
@@ -32,8 +33,7 @@ def jaro(a: str, b: str) -> float:
     return (m / la + m / lb + (m - moved) / m) / 3
 
 
-@pandas_udf("double")
-def jaro_similarity(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+def _over_pairs(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in pairs:
         seen: dict[tuple, float] = {}
         out = []
@@ -45,3 +45,7 @@ def jaro_similarity(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd
                 seen[x, y] = jaro(x, y)
             out.append(seen[x, y])
         yield pd.Series(out, dtype="float64")
+
+
+def jaro_similarity(a: Column | str, b: Column | str) -> Column:
+    return pandas_udf(_over_pairs, "double")(a, b)

@@ -135,7 +135,7 @@ def strip_terms_step(df: DataFrame, cols: list[str], terms: list[tuple[str, str]
 def split_synonyms_step(df: DataFrame, cols: list[str], tags: dict[str, str]) -> Step:
     """A row for each synonym; registry numbers stay with the first. Rows that do not split come first (split_order 0)."""
     numbers = [c for c in tagged(tags, "CASRN") if c in df.columns]
-    df = logged(df)
+    df = text.fenced(logged(df), cols)
     for c in cols:
         parts = names.split_synonyms(F.col(c))
         got = df.withColumn("_split", parts)
@@ -263,6 +263,7 @@ def run(df: DataFrame, tags: dict[str, str] | None = None, references: dict | No
         if references.get("strip_terms"):
             df = take(strip_terms_step(df, cols, references["strip_terms"]))
         df = take(tidy_step(df, cols))
+    df = text.fenced(df, [c for c in tags if c in df.columns])
     if cols and on["synonyms"]:
         df = take(split_synonyms_step(df, cols, tags))
         df = take(tidy_step(df, cols))
@@ -281,7 +282,7 @@ def run(df: DataFrame, tags: dict[str, str] | None = None, references: dict | No
         for name, kind, label in (("functional", "warning", "functional category"), ("stop_words", "warning", "stop word"), ("block_patterns", "blocking", "blocked pattern")):
             if references.get(name):
                 df = take(flag_references_step(df, cols, references[name], kind, label))
-    return Step(df, tags)
+    return Step(text.fenced(df, [c for c in tags if c in df.columns]), tags)
 
 
 def preflight(df: DataFrame, tags: dict[str, str], isotopes: Iterable[str] = (), units: Iterable[str] = (), dates: Iterable[str] = (), media: Iterable[str] = (), durations: Iterable[str] = ()) -> DataFrame:

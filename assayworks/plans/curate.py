@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import dates, units
 from ..operators import cleaning, consensus, detection, matching, measurements, media, review, shape, toxval
 from ..operators import tags as tagging
+from ..operators.audit import Step
 from ..sources import files
+from ..sources.shared import stored
 
 
 @dataclass
@@ -78,11 +80,13 @@ def curate(spark: SparkSession, input_path: str, output_path: str | None = None,
     """The headless run. Without tags they are taken from the headers."""
     df, _ = loaded(spark, input_path, header_row)
     tags = dict(tags) if tags else tagging.suggest([c for c in df.columns if c != "original_row_id"])
-    step = cleaning.run(df, tags, references, mask)
+    # The cleaned table is kept once: its audit, the lookups and the measurements all read it.
+    step = cleaning.run(stored(df, "loaded"), tags, references, mask)
+    step = Step(stored(step.rows, "cleaned"), step.new_tags)
     tags = tags | step.new_tags
     data = step.data
     if catalog is not None:
-        data = identified(data, tags, catalog, dictionary, starts_with, wqx_threshold)
+        data = stored(identified(data, tags, catalog, dictionary, starts_with, wqx_threshold), "identified")
     data = review.replayed(data, overrides)
     out = Curated(data, step.audit, tags, summary=consensus.summary(data) if "consensus_status" in data.columns else None)
     if harmonize:
