@@ -1,0 +1,286 @@
+"""The corpus operators against brute force, round trips and the libraries, on small tables with the odd cases."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from assayworks.llm import near_dup, packing, quality, secrets, sentencepiece, token_files, tokens, topk, toxicity, url_filter, warc
+from assayworks.llm.common import ready
+
+TEXTS = [None, "", "   \n", "one two", "one two", "It's 's \t\n 'LL x中 <|endoftext|>", "word " * 3000, "a b c d e f g h i j", "a b c d e f g h i k", "A B C D E F G H I J", "é" * 50]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    ready(spark)
+    # columns with clashing names beside those that are used
+    return spark.createDataFrame([(i, t, "x", "y", 1, "z") for i, t in enumerate(TEXTS)], "doc_id long, text string, rank string, label string, bucket int, score string")
+
+
+@pytest.fixture(scope="module")
+def none(docs):
+    return docs.limit(0)
+
+
+def words(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+
+def test_quality(docs, none):
+    got = {r["doc_id"]: r for r in quality.quality(docs).collect()}
+    for i, t in enumerate(TEXTS):
+        w = words(t)
+        grams = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+        covered = {k + j for k, g in enumerate(grams) if grams.count(g) > 1 for j in range(3)} if len(w) < 1000 else set(range(len(w)))
+        assert (got[i]["n_words"], got[i]["word_chars"], got[i]["n_repeat_words"]) == (len(w), sum(map(len, w)), len(covered))
+    assert got[0]["base_failed"] and not got[0]["kept"] and quality.quality(none).count() == 0
+    assert quality.quality(docs).filter("kept").count() == sum(r["kept"] for r in got.values())
+
+
+def test_secrets(docs, none):
+    key = "AKIA" + "A1" * 9
+    text = f'password = "hunter22" {key} {"ab12" * 7} token:abc api_key=xyz123'
+    base, spans = secrets.spans_of(text)
+    assert [s[0] for s in base] == ["assign", "access", "hex", "assign"] and base == spans
+    part = "client_id=abcd99 host=db.example.com " + "aB3" * 9
+    assert [s[0] for s in secrets.spans_of(part)[1]] == ["linked"]
+    assert secrets.spans_of("aB3" * 9)[1] == [] and secrets.spans_of("host=db.example.com " + "aB3" * 9)[1] == []
+    assert secrets.redacted(text, spans).count("<assign>") == 2 and "hunter22" not in secrets.redacted(text, spans)
+    assert secrets.digest(base)[1] == hashlib.sha256(secrets.digest(base)[0].encode()).hexdigest()
+    assert secrets.scan(docs).count() == len(TEXTS) and secrets.scan(none).count() == 0
+
+
+def test_pretokens_equal_the_library():
+    enc, rng = tokens.Encoder(tokens.default_path()), random.Random(3)
+    alphabet = " \t\n\r  'sdmtlvre aBé1²½!?-_ßñ·'  \n\n's'll've're中"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + [t or "" for t in TEXTS]
+    for a, b, ids, off in tokens.encoded(enc, pa.array(texts)):
+        want = enc.whole(texts[a:b])
+        for i in range(b - a):
+            assert ids[off[i] : off[i + 1]].tolist() == want[i], texts[a + i]
+
+
+def test_token_files(spark, docs, none, tmp_path):
+    want = [i + [2] for i in tokens.Encoder(tokens.default_path()).whole([t or "" for t in TEXTS])]
+    for df, n in ((docs, len(TEXTS)), (none, 0)):
+        folder = f"file://{tmp_path}/{n}"
+        token_files.write_tokens(df, folder, tokens.default_path(), 3)
+        got = token_files.with_crc32(token_files.read_tokens(spark, folder)).orderBy("doc_id").collect()
+        assert len(got) == n
+        at = 0
+        for r, ids in zip(got, want):  # noqa: B905
+            assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+            at += len(ids)
+
+
+def test_packing(spark, docs, none):
+    got = packing.packed_documents(spark, docs).collect()
+    want = [i + [2] for i in tokens.Encoder(tokens.default_path()).whole([t or "" for t in TEXTS])]
+    rows = {}
+    for r in got:
+        rows.setdefault(r["sequence_id"], []).append(r)
+        assert zlib.crc32(np.array(want[r["doc_id"]][r["start"] : r["start"] + r["length"]], "<u4").tobytes()) == r["ids_crc32"]
+    for s in rows.values():
+        at = 0
+        for r in sorted(s, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= packing.CAPACITY
+    assert sum(r["length"] for r in got) == sum(map(len, want)) and len(rows) == -(-sum(map(len, want)) // packing.CAPACITY)
+    assert packing.packed_documents(spark, none).count() == 0
+
+
+def test_evolve_is_a_partition():
+    rng = random.Random(1)
+    sizes = [rng.randint(1, 1023) for _ in range(700)]
+    bins = packing.evolve(sizes)
+    assert sorted(i for b in bins for i in b) == list(range(700)) and max(sum(sizes[i] for i in b) for b in bins) <= 1024
+    # no bin holds two pieces above half the capacity, so their number bounds the bins from below as the sum does
+    least = max(-(-sum(sizes) // 1024), sum(s > 512 for s in sizes))
+    down = packing.best_fit(sizes, 1024, sorted(range(700), key=lambda i: -sizes[i]))
+    assert least <= len(bins) <= min(len(down), least * 1.02 + 1) and packing.evolve([]) == []
+
+
+def brute_components(texts):
+    sets = []
+    for t in texts:
+        w = words((t or "").translate({c: c + 32 for c in range(65, 91)}))
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set()))
+    label = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            x, y = sets[a], sets[b]
+            if x and y and 100 * len(x & y) >= 75 * len(x | y):
+                la, lb = label[a], label[b]
+                label = [min(la, lb) if v in (la, lb) else v for v in label]
+    return [len(s) for s in sets], label
+
+
+def test_near_duplicates(spark, docs, none):
+    rng = random.Random(5)
+    base = [[f"w{rng.randint(0, 500)}" for _ in range(120)] for _ in range(6)]
+    texts = [" ".join(w) for w in base] + TEXTS[1:]
+    for k in range(60):  # copies of the first, each with edits of its own; one passage in all others
+        w = list(base[0])
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(120)] = f"e{rng.randint(0, 10**6)}"
+        texts.append(" ".join(w))
+        texts.append(" ".join(base[1][:60] + [f"u{rng.randint(0, 10**6)}" for _ in range(50)]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in near_dup.near_duplicates(spark, df).collect()}
+    sizes, label = brute_components(texts)
+    assert [got[i]["n_shingles"] for i in range(len(texts))] == sizes
+    assert [got[i]["component_id"] for i in range(len(texts))] == label
+    assert near_dup.near_duplicates(spark, none).count() == 0
+
+
+def test_superminhash_estimates():
+    rng = np.random.default_rng(1)
+    a = rng.integers(1, 2**63, 400, dtype=np.uint64)
+    b = np.concatenate([a[:300], rng.integers(1, 2**63, 100, dtype=np.uint64)])
+    h = np.concatenate([np.sort(a), np.sort(b), a[:1]])
+    sig = near_dup.superminhash(h, np.array([0, 400, 800, 801, 801]))
+    assert abs((sig[0] == sig[1]).mean() - 0.6) < 0.08 and (sig[2] != 0xFFFFFFFF).all() and (sig[3] == 0xFFFFFFFF).all()
+
+
+def test_top_k(spark):
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(5, 8))
+    x = np.concatenate([base[rng.integers(0, 5, 200)] + rng.normal(size=(200, 8)) * 0.02, np.repeat(base[:1], 40, 0), rng.normal(size=(60, 8)) * 3]).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(400, None), (420, [1.0, None]), (440, [float("nan")] * 8), (460, [float("inf")] * 8), (None, x[0].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    topk.BUCKET_ROWS, was = 32, topk.BUCKET_ROWS
+    try:
+        got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(spark, df, F.col("vec_id") % 20 == 0).collect()}
+    finally:
+        topk.BUCKET_ROWS = was
+    v = np.floor(64 * x.astype(np.float64)).astype(np.int64)
+    for q in range(0, len(x), 20):
+        s = v @ v[q]
+        want = sorted((-s[i], i) for i in range(len(x)) if i != q)[:20]
+        assert [got[q, k + 1] for k in range(20)] == [(i, -n) for n, i in want]
+    assert topk.top_k(spark, df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_url_filter(spark):
+    urls = [None, "", "no scheme", "http://A.Example.org/es/x?q", "https://example.org/en/12", "http://example.org", "x://sub.org/#f", "http://xorg/", "http://a.com/de/", "http://a.com/fr/1", "http://net/?a://b.org/"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: r for r in url_filter.filter_urls(df, url_filter.rules_frame(spark, url_filter.QUERY_RULES)).collect()}
+    want = [(None, "allow")] * 3 + [("example.org/es/", "block"), ("example.org/en/1", "block"), (None, "allow"), ("org/", "allow"), (None, "allow"), ("com/de/", "block"), ("com/fr/", "allow"), (None, "allow")]
+    assert [(got[i]["rule"], got[i]["verdict"]) for i in range(len(urls))] == want
+    assert got[3]["host"] == "a.example.org" and got[3]["path"] == "/es/x" and got[5]["path"] == ""
+    assert url_filter.filter_urls(df.limit(0), url_filter.rules_frame(spark, url_filter.QUERY_RULES)).count() == 0
+    assert url_filter.filter_urls(df, url_filter.rules_frame(spark, [])).filter("verdict = 'allow'").count() == len(urls)
+
+
+def test_toxicity(spark, docs, none):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    rows, labels = [], []
+    for i in range(600):
+        toxic = i % 5 == 0
+        w = [word() for _ in range(60)]
+        if toxic:
+            for _ in range(3):
+                w[rng.randrange(60)] = rng.choice(["scoundrel", "vermin", "qzx" + word()])
+        rows.append((i, " ".join(w)))
+        labels.append((i, 1, int(toxic)))
+    df, l = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.trained(df, l)
+    got = {r["doc_id"]: r for r in toxicity.score(df, model).collect()}
+    held = [i for i in range(600) if zlib.crc32(str(i).encode()) % 3 == 1]
+    right = sum((got[i]["score"] >= 0.7) == (i % 5 == 0) for i in held) / len(held)
+    assert right >= 0.95
+    texts = dict(rows)
+    for i in held[:50]:
+        for s in got[i]["toxic_spans"]:
+            assert re.match("scoundrel|vermin|qzx", texts[i][s["start"] : s["end"]])
+    assert toxicity.score(docs, model).filter("score between 0 and 1").count() == len(TEXTS) and toxicity.score(none, model).count() == 0
+    assert toxicity.score(docs, toxicity.trained(df, l.limit(0))).filter("score = 0").count() == len(TEXTS)
+
+
+def test_marginals_equal_enumeration():
+    from itertools import product
+
+    trans, emit, places, n = np.array([-1.0, 0.3, 0.5, -2.0]), np.array([1.5, 0.2]), [1, 4], 6
+    weight, one = 0.0, np.zeros(2)
+    for path in product((0, 1), repeat=n):
+        w, last = 0.0, 0
+        for k, s in enumerate(path):
+            w += {(0, 0): 0.0, (0, 1): trans[0], (1, 0): trans[1], (1, 1): trans[2]}[last, s] + s * (trans[3] + (emit[places.index(k)] if k in places else 0.0))
+            last = s
+        weight += np.exp(w)
+        one += np.exp(w) * np.array([path[p] for p in places])
+    post, z = toxicity.marginals(np.array([1, 2]), emit, np.array([0, 2]), np.array([n]), trans)
+    assert np.allclose(post, one / weight) and np.allclose(z, np.log(weight))
+
+
+def test_warc(spark):
+    page = '<html><head><title>T &amp; x</title><script>var a="<p>"</script></head><body><p>One<br>two</p><a href="/l">l</a><!-- no --></body></html>'
+    rows = [(1, "http://a/", page), (1, "http://a/", page), (2, None, None), (3, "http://b/\r\nX: y", "")]
+    got = warc.derive(warc.responses(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()
+    assert len(got) == 8
+    for r in got:
+        headers, block = warc.parsed(r["record"])
+        named = dict(headers)
+        assert named["WARC-Refers-To"] == r["refers_to"] and named["WARC-Block-Digest"] == warc.sha1_of(block) and block.decode() == r["text"] and "X" not in named
+    text = next(r["text"] for r in got if r["page_id"] == 1 and r["kind"] == "conversion")
+    meta = next(r["text"] for r in got if r["page_id"] == 1 and r["kind"] == "metadata")
+    assert text == "T & x\nOne\ntwo\nl" and "title: T & x" in meta and "outlink: /l" in meta and "source-header-content-type: text/html" in meta
+    assert warc.derivatives(None) == warc.derivatives(b"junk") == [] and warc.parsed(__import__("gzip").compress(got[0]["record"])) is not None
+
+
+def test_sentencepiece(spark, docs, none):
+    library = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=sentencepiece.default_path())
+    rng = random.Random(3)
+    enc = sentencepiece.PieceEncoder(sentencepiece.default_path())
+    texts = ["".join(rng.choice("   \n\tabcdethininger▁éß中🙂0129.,-'") for _ in range(rng.randint(0, 60))) for _ in range(1500)] + [t or "" for t in TEXTS]
+    for a, b, ids, off in enc.encode(pa.array(texts)):
+        want = library.encode(texts[a:b])
+        for i in range(b - a):
+            got = ids[off[i] : off[i + 1]].tolist()
+            assert got == want[i] and enc.model.decode(got) == texts[a + i].replace("▁", " ")
+    rows = sentencepiece.decode(sentencepiece.encode(docs, sentencepiece.default_path()), sentencepiece.default_path()).collect()
+    assert {r["doc_id"]: r["text"] for r in rows} == {i: t or "" for i, t in enumerate(TEXTS)}
+    assert sentencepiece.encode(none, sentencepiece.default_path()).count() == 0
+
+
+def test_unigram_is_the_best_sum():
+    from functools import lru_cache
+
+    model = sentencepiece.Model(sentencepiece.default_path())
+    model.type = sentencepiece.UNIGRAM
+    word = "▁thinginger"
+
+    @lru_cache
+    def best(end):
+        return max((best(s) + model.scores[model.index[word[s:end]]] for s in range(end) if word[s:end] in model.index), default=-1e18) if end else 0.0
+
+    got = model.segmented([word])[0]
+    assert "".join(got) == word and sum(model.scores[model.index[p]] for p in got) == best(len(word))
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    stop = ["the", "of", "and", "to"]
+    prose = lambda: [rng.choice(stop) if k % 3 == 0 else "w" + str(rng.randint(0, 10**6)) for k in range(90)]
+    good = [prose() for _ in range(8)]
+    texts = [" ".join(w) for w in good] + [" ".join(good[0]), " ".join(good[1][:-1] + ["x"]), "too short", None, " ".join(good[2][:60]) + " password = hunter2222 " + " ".join(prose()[:60])]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    docs = df
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, f"file://{tmp_path}")
+        assert tuple(docs.columns) == corpus_pipeline.COLUMNS, name
+    kept = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert sorted(kept) == [*range(8), 12] and "hunter2222" not in kept[12] and "<assign>" in kept[12]
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}").select("doc_id").distinct().count() == 9
