@@ -84,7 +84,8 @@ def curate(spark: SparkSession, input_path: str, output_path: str | None = None,
     step = cleaning.run(stored(df, "loaded"), tags, references, mask)
     step = Step(stored(step.rows, "cleaned"), step.new_tags)
     tags = tags | step.new_tags
-    data = step.data
+    # Synonyms share the row they were split from: the rows as they now are get ids of their own.
+    data = cleaning.with_row_ids(step.data.withColumnRenamed("original_row_id", "source_row_id"))
     if catalog is not None:
         data = stored(identified(data, tags, catalog, dictionary, starts_with, wqx_threshold), "identified")
     data = review.replayed(data, overrides)
