@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -46,6 +47,18 @@ def written(spark: SparkSession, df: DataFrame, label: str) -> tuple[DataFrame,
     return spark.read.schema(df.schema).parquet(path), path
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, n: int) -> Iterator[None]:
+    """At most n rows in a batch to or from Python, for what runs within: long rows in full batches take much memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name)
+    spark.conf.set(name, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
+
+
 def dropped(spark: SparkSession, *paths: str) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for p in paths:

@@ -22,12 +22,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens
-from .common import shared_dir
+from .common import arrow_rows, shared_dir, written
 
 END_ID = 2
-ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 1 << 20, 2000
-#: Texts sorted into one file, in bytes of the input as it is stored.
-FILE_BYTES = 32 << 20
+ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 16 << 20, 1 << 20, 2000
+#: Documents in a batch to and from Python.
+BATCH_ROWS = 512
 
 
 def crc32_of(ids: np.ndarray) -> int:
@@ -64,7 +64,9 @@ def write_tokens(docs: DataFrame, folder: str, path: str, n_files: int | None =
     ordered = docs.select("doc_id", "text").repartitionByRange(n_files, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     out = token_rows(ordered, path, end_id).write.mode("overwrite").option("compression", "zstd").option("parquet.writer.version", "v2")
     out = out.option("parquet.block.size", ROW_GROUP_BYTES).option("parquet.page.size", PAGE_BYTES).option("parquet.page.row.count.limit", PAGE_ROWS)
-    out.option("parquet.enable.dictionary", "true").option("parquet.dictionary.page.size", 1 << 20).parquet(folder)
+    out = out.option("parquet.enable.dictionary", "true").option("parquet.dictionary.page.size", 1 << 20)
+    with arrow_rows(spark, BATCH_ROWS):
+        out.parquet(folder)
 
 
 def read_tokens(spark: SparkSession, folder: str, columns: Iterable[str] = ("doc_id", "n_tokens", "tokens")) -> DataFrame:
@@ -106,5 +108,6 @@ def with_crc32(df: DataFrame, column: str = "tokens", to: str = "ids_crc32") ->
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder, tokens.default_path())
-    got = with_crc32(read_tokens(spark, folder))
+    with arrow_rows(spark, BATCH_ROWS):
+        got, _ = written(spark, with_crc32(read_tokens(spark, folder)), "token-digests")
     return got.select("doc_id", "start", "n_tokens", "ids_crc32")
