@@ -229,7 +229,7 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
 def agreeing(blocks: DataFrame) -> DataFrame:
     """Pairs a, b of different labels, near enough sizes and codes that agree, of each block.
 
-    blocks: bucket, band, i, j, home, id, label, n, code; rows of a block (bucket, i, j) follow each other. Pairs are of a home
+    blocks: bucket, band, i, j, home, id, label, n, code, bands; rows of a block (bucket, i, j) follow each other. Pairs are of a home
     row and a probe.
     """
     kind = blocks.schema["id"].dataType
@@ -245,6 +245,7 @@ def agreeing(blocks: DataFrame) -> DataFrame:
         home = rows.column("home").to_numpy(zero_copy_only=False)
         ids, label, n, band = (rows.column(c).to_numpy() for c in ("id", "label", "n", "band"))
         code = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(-1, CODE)
+        bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
         left, right = [], []
         for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
             h, p = s + np.flatnonzero(home[s:e]), s + np.flatnonzero(~home[s:e])
@@ -254,10 +255,10 @@ def agreeing(blocks: DataFrame) -> DataFrame:
                 ok = (label[h] != label[q]) & (100 * np.minimum(n[h], n[q]) >= THRESHOLD_PERCENT * np.maximum(n[h], n[q]))
                 at = h[ok]
                 if len(at):
-                    same = code[at] == code[q]
-                    # of the buckets that a pair shares, only that of its first equal band makes it
-                    first = same.reshape(-1, BANDS, ROWS).all(2).argmax(1) == band[q]
-                    at = at[(same.sum(1) >= need) & first]
+                    at = at[(code[at] == code[q]).sum(1) >= need]
+                    # of the buckets that a pair shares, only that of its first equal band makes it; the bands' hashes
+                    # decide, as codes of unequal slots may agree
+                    at = at[(bands[at] == bands[q]).argmax(1) == band[q]]
                     left.append(np.minimum(ids[at], ids[q]))
                     right.append(np.maximum(ids[at], ids[q]))
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
@@ -280,7 +281,7 @@ def agreeing(blocks: DataFrame) -> DataFrame:
         if held is not None and held.num_rows:
             yield pairs(held)
 
-    return blocks.select("bucket", "i", "j", "home", F.col("id").cast("long").alias("id"), F.col("label").cast("long").alias("label"), "n", "band", "code").mapInArrow(run, schema)
+    return blocks.select("bucket", "i", "j", "home", F.col("id").cast("long").alias("id"), F.col("label").cast("long").alias("label"), "n", "band", "code", "bands").mapInArrow(run, schema)
 
 
 def _met(members: DataFrame, codes: DataFrame) -> DataFrame:
@@ -296,7 +297,7 @@ def _met(members: DataFrame, codes: DataFrame) -> DataFrame:
     rows = members.join(sizes, "bucket").join(codes, "id")
     deal = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
     span = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    cols = ["bucket", "band", "id", "label", "n", "code"]
+    cols = ["bucket", "band", "id", "label", "n", "code", "bands"]
     homes = rows.select(*cols, F.lit(True).alias("home"), deal("nh", 1).alias("i"), F.explode(span("np")).alias("j"))
     probes = rows.filter("label <> most").select(*cols, F.lit(False).alias("home"), F.explode(span("nh")).alias("i"), deal("np", 2).alias("j"))
     return homes.unionByName(probes).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
@@ -336,7 +337,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", t
     full = full.select("id", "n", F.coalesce("label", "id").alias("label"), F.posexplode("bands").alias("band", "bucket"))
     mixed = full.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("bucket")
     members, member_path = written(spark, full.join(mixed, "bucket"), "members")
-    codes = found.select("id", "code").join(members.select("id").distinct(), "id", "left_semi")
+    codes = found.select("id", "code", "bands").join(members.select("id").distinct(), "id", "left_semi")
     more = linked(agreeing(_met(members, codes)), "blocks")
     dropped(spark, member_path)
 

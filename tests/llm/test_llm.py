@@ -140,6 +140,18 @@ def test_near_duplicates(spark, docs, none):
     assert near_dup.near_duplicates(spark, none).count() == 0
 
 
+def test_a_pair_is_made_in_its_first_common_band(spark):
+    rng = np.random.default_rng(6)
+    bands = rng.integers(-(2**63), 2**63 - 1, (2, near_dup.BANDS))
+    bands[1, [4, 9]] = bands[0, [4, 9]]
+    code = np.tile(rng.integers(0, 256, near_dup.CODE, dtype=np.uint8), (2, 1))
+    code[1, -60:] += 1  # the codes of the bands before agree by chance
+    rows = [(int(bands[0, b]), b, 0, 0, k == 0, k, k, 100, code[k].tobytes(), bands[k].tolist()) for b in (4, 9) for k in (0, 1)]
+    blocks = spark.createDataFrame(rows, "bucket long, band int, i int, j int, home boolean, id long, label long, n long, code binary, bands array<long>")
+    once = near_dup.agreeing(blocks.filter("band = 4").coalesce(1)).collect() + near_dup.agreeing(blocks.filter("band = 9").coalesce(1)).collect()
+    assert [tuple(r) for r in once] == [(0, 1)]
+
+
 def test_superminhash_estimates():
     rng = np.random.default_rng(1)
     a = rng.integers(1, 2**63, 400, dtype=np.uint64)
