@@ -30,7 +30,7 @@ MIN_ASSIGN, MIN_ACCESS = 6, 20
 #: Weak parts. Alone, none of them is reported.
 IDENTIFIER = re.compile(r"""\b(?:client|account|access|user|app|key)[_-]?(?:id|name)["']?\x20{0,8}[:=]\x20{0,8}["']?([A-Za-z0-9_.@-]{4,128})""", re.IGNORECASE | re.ASCII)
 ENDPOINT = re.compile(r"""\b(?:https?|postgres|mysql|mongodb|redis|amqp|s3)://[^\s"'<>]{4,256}|\b(?:host|endpoint|server|url)["']?\x20{0,8}[:=]\x20{0,8}["']?([A-Za-z0-9.-]{4,128})""", re.IGNORECASE | re.ASCII)
-OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,200}={0,2}(?![A-Za-z0-9+/_=-])")
+OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])")
 #: Code points between two parts of one credential, at most.
 SCOPE = 300
 
@@ -58,7 +58,8 @@ def _meets(points: list[tuple[int, int]], start: int, end: int, scope: int) -> b
 
 
 def linked_spans(text: str, base: list[Span], scope: int = SCOPE) -> list[Span]:
-    """Opaque tokens with an identifier and an endpoint in their scope, apart from base spans."""
+    """Opaque tokens with an identifier and an endpoint in their scope, apart from base spans and from what is part of a
+    complement; a value after = within an endpoint, as in a query string, is a token."""
     endpoints = [m.span() for m in ENDPOINT.finditer(text)]
     if not endpoints:
         return []
@@ -66,16 +67,18 @@ def linked_spans(text: str, base: list[Span], scope: int = SCOPE) -> list[Span]:
     if not ids:
         return []
     taken, out, b = sorted((s, e) for _, s, e in base), [], 0
-    parts = [*endpoints, *ids]
-    parts.sort()
-    p = 0
+    i = p = 0
     for m in OPAQUE.finditer(text):
         s, e = m.span()
         while b < len(taken) and taken[b][1] <= s:
             b += 1
-        while p < len(parts) and parts[p][1] <= s:
+        while i < len(ids) and ids[i][1] <= s:
+            i += 1
+        while p < len(endpoints) and endpoints[p][1] <= s:
             p += 1
-        if (b < len(taken) and taken[b][0] < e) or (p < len(parts) and parts[p][0] < e) or not _mixed(m.group()):
+        if (b < len(taken) and taken[b][0] < e) or (i < len(ids) and ids[i][0] < e) or not _mixed(m.group()):
+            continue
+        if p < len(endpoints) and endpoints[p][0] < e and text[s - 1 : s] != "=":
             continue
         if _meets(endpoints, s, e, scope) and _meets(ids, s, e, scope):
             out.append(("linked", s, e))

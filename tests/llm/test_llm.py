@@ -56,6 +56,16 @@ def test_secrets(docs, none):
     assert secrets.scan(docs).count() == len(TEXTS) and secrets.scan(none).count() == 0
 
 
+def test_opaque_tokens_as_values_and_of_any_length():
+    token = "aB3xYz9Qw2Lk8Mn4Pq7Rs"
+    for secret in (f"client_key={token}", f"client_key={token}==;", f"https://example.com/?client_key={token}&x=1", "client_key: " + "aB3" * 80, "client_key=" + "aB3" * 200):
+        text = f"client_id=abcd99\nhost=db.example.com\n{secret}\n"
+        ((kind, s, e),) = secrets.spans_of(text)[1]
+        assert kind == "linked" and text[s:e].strip("=") in (token, "aB3" * 80, "aB3" * 200)
+    # the parts themselves are none
+    assert secrets.spans_of(f"client_id={token} https://example.com/{token}")[1] == []
+
+
 def test_pretokens_equal_the_library():
     enc, rng = tokens.Encoder(tokens.default_path()), random.Random(3)
     alphabet = " \t\n\r  'sdmtlvre aBé1²½!?-_ßñ·'  \n\n's'll've're中"
