@@ -1,10 +1,11 @@
 """Secret scan with multipart credential linking.
 
 Three base kinds are found by pattern (assign, access, hex). Beyond them, weak parts are collected: identifiers (client,
-account and user ids), endpoints (urls and host settings) and opaque tokens that no base span covers. A part spans an
-interval, widened by the scope on both sides; an interval join over each document's parts, done as one sweep in order of
-position, links an opaque token to identifiers and endpoints whose intervals meet it. Only a token with both complements
-in its scope is reported, as kind `linked`; the complements themselves are no secrets and are not reported.
+account, user and access key ids, and the base spans of kind access), endpoints (urls and host settings) and opaque tokens
+that no base span covers. A part spans an interval, widened by the scope on both sides; an interval join over each
+document's parts, done as one sweep in order of position, links an opaque token to identifiers and endpoints whose intervals
+meet it. Only a token with both complements in its scope is reported, as kind `linked`; the complements are not reported as
+such.
 
 Offsets are code points, end exclusive. Defined results: null and empty texts have no spans; repeated rows are scanned one
 by one; long texts are scanned whole, in time linear in their length; an empty table gives an empty table; other columns
@@ -28,7 +29,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # maximal runs, so the same matches as a run of any length kept at 24 and more
 MIN_ASSIGN, MIN_ACCESS = 6, 20
 #: Weak parts. Alone, none of them is reported.
-IDENTIFIER = re.compile(r"""\b(?:client|account|access|user|app|key)[_-]?(?:id|name)["']?\x20{0,8}[:=]\x20{0,8}["']?([A-Za-z0-9_.@-]{4,128})""", re.IGNORECASE | re.ASCII)
+IDENTIFIER = re.compile(r"""(?:(?:\b|(?<=_))(?:client|account|access|user|app|key)[_-]?(?:id|name)|access[_-]?key[_-]?id)["']?\x20{0,8}[:=]\x20{0,8}["']?([A-Za-z0-9_.@-]{4,128})""", re.IGNORECASE | re.ASCII)
 ENDPOINT = re.compile(r"""\b(?:https?|postgres|mysql|mongodb|redis|amqp|s3)://[^\s"'<>]{4,256}|\b(?:host|endpoint|server|url)["']?\x20{0,8}[:=]\x20{0,8}["']?([A-Za-z0-9.-]{4,128})""", re.IGNORECASE | re.ASCII)
 OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])")
 #: Code points between two parts of one credential, at most.
@@ -51,6 +52,17 @@ def _mixed(token: str) -> bool:
     return any(c.isdigit() for c in token) and any(c.islower() for c in token) and any(c.isupper() for c in token)
 
 
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, those that overlap as one."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], e))
+        else:
+            out.append((s, e))
+    return out
+
+
 def _meets(points: list[tuple[int, int]], start: int, end: int, scope: int) -> bool:
     """Whether some (start, end) lies within `scope` of the interval; points are in order and do not overlap."""
     k = bisect_left(points, (start,))
@@ -63,7 +75,7 @@ def linked_spans(text: str, base: list[Span], scope: int = SCOPE) -> list[Span]:
     endpoints = [m.span() for m in ENDPOINT.finditer(text)]
     if not endpoints:
         return []
-    ids = [m.span() for m in IDENTIFIER.finditer(text)]
+    ids = _joined([*(m.span() for m in IDENTIFIER.finditer(text)), *((s, e) for k, s, e in base if k == "access")])
     if not ids:
         return []
     taken, out, b = sorted((s, e) for _, s, e in base), [], 0
