@@ -70,27 +70,44 @@ def search_starts_with(values: DataFrame, catalog: DataFrame, least: int = 3) ->
     return _tier(_best(found, "search_value"), "starts_with")
 
 
-def fuzzy(values: DataFrame, targets: DataFrame, threshold: float = 0.85) -> DataFrame:
+def fuzzy(values: DataFrame, targets: DataFrame, threshold: float = 0.85, beyond: bool = True) -> DataFrame:
     """search_value, wqx_name, match_distance: the nearest target of each distinct value by Jaro, ties by name.
 
     A similarity s needs min(len)/max(len) >= 3 s - 2, so with lengths as an equi-join key only lengths near enough meet;
-    a value with no target of such a length has none within the threshold.
+    a value with no target of such a length has none within the threshold. With `beyond`, values with none within the
+    threshold then meet targets of the other lengths as far as these can be as near as what was found.
     """
     share = max(0.0, 3 * threshold - 2)
     v = values.withColumn("_n", F.length("search_key"))
     lengths = targets.select(F.length("target_key").alias("_tn")).distinct()
-    near = v.select("_n").distinct().join(F.broadcast(lengths), F.least("_n", "_tn") >= F.greatest("_n", "_tn") * share)
-    met = v.join(F.broadcast(near), "_n").join(targets.withColumn("_tn", F.length("target_key")), "_tn")
-    scored = met.withColumn("match_distance", 1 - jaro_similarity("search_key", "target_key"))
-    return scored.groupBy("search_value").agg(F.min_by(F.struct(F.col("target").alias("wqx_name"), "match_distance"), F.struct("match_distance", "target")).alias("b")).select("search_value", "b.*")
+    sized = targets.withColumn("_tn", F.length("target_key"))
+    fits = F.least("_n", "_tn") >= F.greatest("_n", "_tn") * share
 
+    def best(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("search_value").agg(F.min_by(F.struct(F.col("target").alias("wqx_name"), "match_distance"), F.struct("match_distance", "target")).alias("b")).select("search_value", "b.*")
 
-def match_wqx(values: DataFrame, dictionary: DataFrame, threshold: float = 0.85) -> DataFrame:
+    def met(rows: DataFrame, lengths_: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(lengths_), "_n").join(sized, "_tn")
+
+    scored = lambda rows: rows.withColumn("match_distance", 1 - jaro_similarity("search_key", "target_key"))
+    pairs = v.select("_n").distinct().join(F.broadcast(lengths))
+    near = best(scored(met(v, pairs.filter(fits))))
+    if not beyond:
+        return near
+    left = v.join(near.select("search_value", F.col("match_distance").alias("_d")), "search_value", "left").filter(f"_d is null or _d > {1 - threshold} + 1e-12")
+    # a distance is a third of the lengths' difference, as a share of the longer, at least; an empty text has the distance 1
+    able = (1 - F.least("_n", "_tn") / F.greatest("_n", "_tn", F.lit(1))) / 3 <= F.coalesce("_d", F.lit(1.0)) + 1e-9
+    far = best(scored(met(left, pairs.filter(~fits)).filter(able)))
+    both = near.unionByName(far).withColumnRenamed("wqx_name", "target")
+    return best(both)
+
+
+def match_wqx(values: DataFrame, dictionary: DataFrame, threshold: float = 0.85, beyond: bool = True) -> DataFrame:
     """input_name, wqx_name, match_tier, match_distance, alias_type of every distinct value.
 
     dictionary: name, canonical_name, type (canonical, standardize, synonym, retired). First an equal canonical key, then
     an alias (standardize before synonym before retired), then the nearest canonical name. A distance beyond the
-    threshold is kept with the miss.
+    threshold is kept with the miss; without `beyond` it may not be that of the nearest name.
     """
     d = dictionary.withColumn("_key", names.wqx_key(F.col("name")))
     rank = F.when(F.col("type") == "standardize", 1).when(F.col("type") == "synonym", 2).otherwise(3)
@@ -99,7 +116,7 @@ def match_wqx(values: DataFrame, dictionary: DataFrame, threshold: float = 0.85)
     v = values.select("search_value").distinct().withColumn("_key", names.wqx_key(F.col("search_value")))
     got = v.join(canonical, "_key", "left").join(alias, "_key", "left")
     missing = got.filter("wqx_name is null and a_name is null").select("search_value", F.col("_key").alias("search_key"))
-    near = fuzzy(missing, canonical.select(F.col("_key").alias("target_key"), F.col("wqx_name").alias("target")), threshold).select("search_value", F.col("wqx_name").alias("f_name"), "match_distance")
+    near = fuzzy(missing, canonical.select(F.col("_key").alias("target_key"), F.col("wqx_name").alias("target")), threshold, beyond).select("search_value", F.col("wqx_name").alias("f_name"), "match_distance")
     got = got.join(near, "search_value", "left")
     within = F.col("match_distance") <= 1 - threshold + 1e-12
     tier = F.when(F.col("wqx_name").isNotNull(), "wqx_exact").when(F.col("a_name").isNotNull(), "wqx_alias").when(within, "wqx_fuzzy").otherwise("miss")
@@ -116,7 +133,7 @@ def tiered(names_: DataFrame, numbers: DataFrame, catalog: DataFrame, dictionary
     out = [exact, in_name]
     left = left.join(in_name.filter("dtxsid is not null").select("search_value"), "search_value", "left_anti")
     if dictionary is not None:
-        w = match_wqx(left, dictionary, threshold).filter("wqx_name is not null")
+        w = match_wqx(left, dictionary, threshold, beyond=False).filter("wqx_name is not null")
         w = w.select(F.col("input_name").alias("search_value"), F.lit(None).cast("string").alias("dtxsid"), F.col("wqx_name").alias("preferred_name"), F.col("wqx_name").alias("search_name"), F.lit(None).cast("int").alias("rank"), F.col("match_tier").alias("source_tier"), F.lit(TIERS.index("wqx")).alias("tier_order"))
         out.append(w)
         left = left.join(w.select("search_value"), "search_value", "left_anti")

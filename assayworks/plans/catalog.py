@@ -345,6 +345,58 @@ def tiered_lookup(spark, d):
     return matching.chosen(got).select("search_value", "dtxsid", "source_tier")
 
 
+_WQX_VALUE = "case when n_nationkey % 3 = 0 then n_name when n_nationkey % 3 = 1 then concat('old ', lower(n_name)) when n_nationkey % 2 = 0 then concat(n_name, 'x') else reverse(n_name) end"
+
+
+@_query(f"""
+with v as (select distinct {_WQX_VALUE} as input_name from nation),
+c as (select distinct n_name from nation),
+x as (select input_name, e.n_name as e_name, a.n_name as a_name from v left join c e on lower(e.n_name) = lower(input_name) left join c a on 'old ' || lower(a.n_name) = lower(input_name)),
+s as (select input_name, n_name, 1 - jaro_similarity(lower(input_name), lower(n_name)) as d from x, c where e_name is null and a_name is null),
+f as (select input_name, n_name, d from s qualify row_number() over (partition by input_name order by d, n_name) = 1)
+select input_name, case when e_name is not null then e_name when a_name is not null then a_name when d <= 0.15 then f.n_name end as wqx_name,
+  case when e_name is not null then 'wqx_exact' when a_name is not null then 'wqx_alias' when d <= 0.15 then 'wqx_fuzzy' else 'miss' end as match_tier,
+  case when e_name is not null or a_name is not null then 0.0::double else round(d, 6) end as match_distance, case when e_name is null and a_name is not null then 'synonym' end as alias_type
+from x left join f using (input_name)
+""")
+def wqx_tiers_all(spark, d):
+    """Every row of nation: equal names, aliases, misspelt and unknown ones."""
+    n = _t(spark, d, "nation")
+    own = n.select(F.col("n_name").alias("name"), F.col("n_name").alias("canonical_name"), F.lit("canonical").alias("type"))
+    alias = n.select(F.concat(F.lit("Old "), "n_name").alias("name"), F.col("n_name").alias("canonical_name"), F.explode(F.array(F.lit("retired"), F.lit("synonym"))).alias("type"))
+    got = matching.match_wqx(n.select(F.expr(_WQX_VALUE).alias("search_value")), own.unionByName(alias))
+    return got.withColumn("match_distance", F.round("match_distance", 6))
+
+
+#: A registry number of a row of nation: its first part and what that part adds to the check digit, which `off` makes wrong.
+_NUMBER = "concat('{first}-', lpad(cast(n_nationkey as {s}), 2, '0'), '-', cast((cast(n_nationkey % 10 as int) + 2 * cast(floor(n_nationkey / 10) as int) + {adds} + {off}) % 10 as {s}))"
+_IN_NAME = {"first": 2000, "adds": 12, "off": 0}
+_OF_COLUMN = {"first": 1000, "adds": 6, "off": "case when n_nationkey % 3 = 2 then 1 else 0 end"}
+_LOOKUP = "case cast(n_nationkey % 5 as int) when 0 then n_name when 1 then concat('0', {number}) when 2 then case when n_nationkey % 10 = 2 then concat('old ', lower(n_name)) else concat(n_name, 'x') end when 3 then concat('Hydrate of ', n_name) else reverse(n_name) end"
+
+
+@_query(f"""
+select {_LOOKUP.format(number=_NUMBER.format(s="varchar", **_IN_NAME))} as search_value,
+  case n_nationkey % 5 when 0 then 'D' || n_nationkey when 1 then 'E' || n_nationkey when 3 then 'S' || n_nationkey end as dtxsid,
+  case n_nationkey % 5 when 2 then n_name when 0 then n_name when 1 then n_name when 3 then n_name end as preferred_name,
+  case n_nationkey % 5 when 0 then 'exact' when 1 then 'cas_in_name' when 2 then case when n_nationkey % 10 = 2 then 'wqx_alias' else 'wqx_fuzzy' end when 3 then 'starts_with' else 'cas_invalid' end as source_tier from nation
+union all select {_NUMBER.format(s="varchar", **_OF_COLUMN)}, case when n_nationkey % 3 = 0 then 'C' || n_nationkey end, case when n_nationkey % 3 = 0 then n_name end,
+  case n_nationkey % 3 when 0 then 'cas' when 1 then 'cas_miss' else 'cas_invalid' end from nation
+""")
+def tiered_lookup_all(spark, d):
+    """All tiers: names and numbers of the catalog, aliases and misspelt names of a dictionary, prefixes, unknown names."""
+    n = _t(spark, d, "nation")
+    name, column = (F.expr(_NUMBER.format(s="string", **x)) for x in (_IN_NAME, _OF_COLUMN))
+    key = lambda rows, k, id_: F.when(F.expr(rows), F.struct(k.alias("search_key"), F.concat(F.lit(id_), "n_nationkey").alias("dtxsid")))
+    keys = [key("n_nationkey % 5 = 0", F.lower("n_name"), "D"), key("n_nationkey % 5 = 1", name, "E"), key("n_nationkey % 5 = 3", F.concat(F.lit("hydrate of "), F.lower("n_name"), F.lit(" (ii)")), "S"), key("n_nationkey % 3 = 0", column, "C")]
+    catalog = n.select("n_name", F.explode(F.array_compact(F.array(*keys))).alias("k")).select("k.*", F.col("n_name").alias("preferred_name"), F.col("n_name").alias("search_name"), F.explode(F.array(F.lit(1), F.lit(2))).alias("rank"))
+    listed = F.explode(F.array(F.struct(F.col("n_name").alias("name"), F.lit("canonical").alias("type")), F.struct(F.concat(F.lit("Old "), "n_name").alias("name"), F.lit("synonym").alias("type")))).alias("x")
+    dictionary = n.filter("n_nationkey % 5 = 2").select(F.col("n_name").alias("canonical_name"), listed).select("x.name", "canonical_name", "x.type")
+    values = n.select(F.expr(_LOOKUP.format(number=_NUMBER.format(s="string", **_IN_NAME))).alias("search_value"))
+    got = matching.tiered(values, n.select(column.alias("search_value")), catalog, dictionary, starts_with=True)
+    return matching.chosen(got).select("search_value", "dtxsid", "preferred_name", "source_tier")
+
+
 _IDS = "case when p_partkey % 3 = 0 then cast(null as {s}) else concat('D', p_partkey % 4) end", "case when p_size % 5 = 0 then cast(null as {s}) else concat('D', p_size % 4) end"
 
 

@@ -112,3 +112,19 @@ def test_streams(spark, tmp_path):
     q = rows.cleaned(stream, {"name": "Name"}).select("name").writeStream.format("memory").queryName("cleaned_names").option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {r["name"] for r in spark.table("cleaned_names").collect()} == {"Benzene", "2015"}
+
+
+def test_queries_of_all_tiers_equal_their_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from assayworks.plans import catalog
+
+    names_ = "ALGERIA ARGENTINA BRAZIL CANADA EGYPT ETHIOPIA FRANCE GERMANY INDIA INDONESIA IRAN IRAQ JAPAN JORDAN KENYA MOROCCO MOZAMBIQUE PERU CHINA ROMANIA SAUDI_ARABIA VIETNAM RUSSIA UNITED_KINGDOM UNITED_STATES".split()
+    spark.createDataFrame([(i, n.replace("_", " ")) for i, n in enumerate(names_)], "n_nationkey long, n_name string").coalesce(1).write.parquet(f"file://{tmp_path}/nation.parquet")
+    db = duckdb.connect()
+    db.execute(f"create view nation as select * from read_parquet('{tmp_path}/nation.parquet/*.parquet')")
+    for query, tiers in (("wqx_tiers_all", {"wqx_exact", "wqx_alias", "wqx_fuzzy", "miss"}), ("tiered_lookup_all", {"exact", "cas_in_name", "wqx_alias", "wqx_fuzzy", "starts_with", "cas", "cas_miss", "cas_invalid"})):
+        got = catalog.queries()[query](spark, f"file://{tmp_path}")
+        want = db.execute(catalog.oracle_sql()[query])
+        rows = got.select([c[0] for c in want.description]).collect()
+        assert sorted(map(repr, map(tuple, rows))) == sorted(map(repr, want.fetchall()))
+        assert {t for r in rows for t in r if t in tiers} == tiers
