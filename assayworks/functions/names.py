@@ -178,10 +178,9 @@ def expand_isotopes(c: Column, isotopes: Iterable[tuple[str, str, str]], alterna
 def wqx_key(c: Column) -> Column:
     """The lookup key of a characteristic's name: case, ampersands and locants in one spelling."""
     c = F.regexp_replace(F.lower(F.trim(c)), r"\s*&\s*", " and ")
-    # blanks round commas within a locant group, as often as a group may have commas
-    group = r"([(\[][a-z0-9]+(?:,[a-z0-9]+)*)\s*,\s*([a-z0-9]+(?:\s*,\s*[a-z0-9]+)*[)\]])"
-    for _ in range(6):
-        c = F.regexp_replace(c, group, "$1,$2")
+    # blanks round commas within a locant group: from its bracket on, each match goes on where the one before ended
+    group = r"[(\[](?=[a-z0-9]+(?:\s*,\s*[a-z0-9]+)*[)\]])"
+    c = F.regexp_replace(c, rf"((?:{group}|\G(?!^))[a-z0-9]+)\s*,\s*", "$1,")
     c = F.regexp_replace(c, r"\s+([(\[])([a-z0-9]+(?:,[a-z0-9]+)*)([)\]])", "$1$2$3")
     c = F.regexp_replace(c, r"\[([a-z0-9]+(?:,[a-z0-9]+)*)\]", "($1)")
     return F.regexp_replace(c, r"\(([a-z0-9]+(?:,[a-z0-9]+)*)\)\s+", "($1)")

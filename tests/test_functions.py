@@ -58,3 +58,8 @@ def test_names(apply):
 
 def test_jaro():
     assert jaro("arsenick", "arsenic") == pytest.approx(0.9583, abs=1e-4) and jaro("", "a") == 0 and jaro("a", "a") == 1
+
+
+def test_wqx_key_of_many_commas(apply):
+    wide = "(" + " , ".join(map(str, range(40))) + ")"
+    assert apply(names.wqx_key, ["dioxin (1, 2, 3, 4, 6, 7, 8, 9)", f"x{wide}y", "a, b (1 ,2) c, (d e, f)", "1, 2"]) == ["dioxin(1,2,3,4,6,7,8,9)", f"x{wide.replace(' ', '')}y", "a, b(1,2)c, (d e, f)", "1, 2"]
