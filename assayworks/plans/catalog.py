@@ -195,6 +195,18 @@ def unicode_ascii(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.md5(text.clean_unicode(t)).alias("h"))
 
 
+_MAPPED = ", ".join("'{}': '{}'".format(k, v.replace("'", "''")) for k, v in text.UNICODE.items())
+
+
+@_query(f"""
+with m as (select map {{{_MAPPED}}} as m)
+select doc_id, md5(case when regexp_matches(coalesce(text, ''), '[^\\x00-\\x7F]') then array_to_string(list_transform(regexp_extract_all(text, '(?s).'), lambda c: coalesce(m[c], c)), '') else coalesce(text, '') end) as h from documents, m
+""")
+def unicode_ascii_all(spark, d):
+    """Whole texts: what the map lacks stays."""
+    return _t(spark, d, "documents").select("doc_id", F.md5(text.clean_unicode(F.coalesce("text", F.lit("")))).alias("h"))
+
+
 @_query("""
 with c as (select unnest(regexp_extract_all(coalesce(text, ''), '[^\\x00-\\x7F]')) as "char" from documents)
 select "char", 'U+' || lpad(upper(to_hex(unicode("char"))), 4, '0') as code_point, count(*) as n from c group by 1, 2

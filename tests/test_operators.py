@@ -128,3 +128,20 @@ def test_queries_of_all_tiers_equal_their_sql(spark, tmp_path):
         rows = got.select([c[0] for c in want.description]).collect()
         assert sorted(map(repr, map(tuple, rows))) == sorted(map(repr, want.fetchall()))
         assert {t for r in rows for t in r if t in tiers} == tiers
+
+
+def test_unicode_query_takes_whole_texts(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from assayworks.functions.text import UNICODE
+    from assayworks.plans import catalog
+
+    texts = [None, "", "plain", "É È Ñ Ó Ç Ê Ü Ö Ä Í stay", "a" + "".join(UNICODE) + "z", "e\u0301 中\n🙂 α-naphthol 10⁻³ µg ‘x’"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"file://{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = sorted(map(tuple, catalog.queries()["unicode_ascii_all"](spark, f"file://{tmp_path}").collect()))
+    assert got == sorted(db.execute(catalog.oracle_sql()["unicode_ascii_all"]).fetchall())
+    import hashlib
+
+    whole = "".join(["a", *UNICODE.values(), "z"])
+    assert got[4][1] == hashlib.md5(whole.encode()).hexdigest() and got[3][1] == hashlib.md5(texts[3].encode()).hexdigest()
