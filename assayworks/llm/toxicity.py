@@ -34,6 +34,8 @@ MIN_LIFT, MIN_TOXIC_DOCS, MAX_FEATURES = 2.0, 3, 50_000
 LABEL_PRECISION, LABEL_GAIN = 0.9, 12.0
 PREFIXES = (3, 4, 5, 6, 7, 8)
 WINDOW = 8
+#: Windows whose gradients are computed at once; all of them are summed in every round.
+FIT_ROWS = 60_000
 THRESHOLD = 0.7
 
 _TOKEN = np.zeros(256, bool)
@@ -202,40 +204,50 @@ def scored(model: Model, data: np.ndarray, off: np.ndarray):
     return score, np.searchsorted(doc_off, hit, "right") - 1, s[hit], e[hit], post[hit]
 
 
+def _gradients(feats: np.ndarray, y: np.ndarray, mask: np.ndarray, w: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over the windows of the gradients by transitions and by weights."""
+    rows, size = y.shape
+    flat = feats.reshape(-1, feats.shape[-1])
+    emit = (w[flat].sum(1).reshape(rows, size) + trans[3]) * mask
+    edge = np.exp(np.array([[0.0, trans[0]], [trans[1], trans[2]]]))
+    node = np.exp(np.clip(emit, -30, 30))
+    fwd, bwd = np.zeros((size, rows, 2)), np.zeros((size, rows, 2))
+    state = np.tile([1.0, 0.0], (rows, 1))
+    for k in range(size):
+        state = state @ edge
+        state[:, 1] *= node[:, k]
+        state /= state.sum(1)[:, None]
+        fwd[k] = state
+    state = np.ones((rows, 2))
+    for k in range(size - 1, -1, -1):
+        bwd[k] = state
+        x = state * np.stack([np.ones(rows), node[:, k]], 1)
+        state = x @ edge.T
+        state /= state.sum(1)[:, None]
+    p = fwd * bwd
+    p = (p[:, :, 1] / p.sum(2)).T
+    prev = np.concatenate([np.tile([1.0, 0.0], (1, rows, 1)), fwd[:-1]])
+    joint = prev[:, :, :, None] * edge[None, None] * np.stack([np.ones((size, rows)), node.T], 2)[:, :, None, :] * bwd[:, :, None, :]
+    joint /= joint.sum((2, 3))[:, :, None, None]
+    before = np.concatenate([np.zeros((rows, 1)), y[:, :-1]], 1)
+    diff = (y - p) * mask
+    want = np.array([(y * (1 - before)).sum(), ((1 - y) * before).sum(), (y * before).sum()])
+    got = joint.sum((0, 1))
+    d = np.append(want - [got[0, 1], got[1, 0], got[1, 1]], diff.sum())
+    return d, np.bincount(flat.ravel(), np.repeat(diff.ravel(), flat.shape[1]), len(w))
+
+
 def _fit_chain(feats: np.ndarray, y: np.ndarray, mask: np.ndarray, n: int, rounds: int = 80) -> tuple[np.ndarray, np.ndarray]:
     """Weights and transitions by Adagrad on the conditional likelihood of windows [rows, tokens] of labelled tokens."""
     w, trans = np.zeros(n + 1), np.array([-1.0, 0.0, 0.0, -2.0])
     gw, gt = np.full(n + 1, 1e-6), np.full(4, 1e-6)
     rows, size = y.shape
-    flat = feats.reshape(-1, feats.shape[-1])
     for _ in range(rounds):
-        emit = (w[flat].sum(1).reshape(rows, size) + trans[3]) * mask
-        edge = np.exp(np.array([[0.0, trans[0]], [trans[1], trans[2]]]))
-        node = np.exp(np.clip(emit, -30, 30))
-        fwd, bwd = np.zeros((size, rows, 2)), np.zeros((size, rows, 2))
-        state = np.tile([1.0, 0.0], (rows, 1))
-        for k in range(size):
-            state = state @ edge
-            state[:, 1] *= node[:, k]
-            state /= state.sum(1)[:, None]
-            fwd[k] = state
-        state = np.ones((rows, 2))
-        for k in range(size - 1, -1, -1):
-            bwd[k] = state
-            x = state * np.stack([np.ones(rows), node[:, k]], 1)
-            state = x @ edge.T
-            state /= state.sum(1)[:, None]
-        p = fwd * bwd
-        p = (p[:, :, 1] / p.sum(2)).T
-        prev = np.concatenate([np.tile([1.0, 0.0], (1, rows, 1)), fwd[:-1]])
-        joint = prev[:, :, :, None] * edge[None, None] * np.stack([np.ones((size, rows)), node.T], 2)[:, :, None, :] * bwd[:, :, None, :]
-        joint /= joint.sum((2, 3))[:, :, None, None]
-        before = np.concatenate([np.zeros((rows, 1)), y[:, :-1]], 1)
-        diff = (y - p) * mask
-        want = np.array([(y * (1 - before)).sum(), ((1 - y) * before).sum(), (y * before).sum()])
-        got = joint.sum((0, 1))
-        d = np.append(want - [got[0, 1], got[1, 0], got[1, 1]], diff.sum()) / rows - 0.002 * trans
-        g = np.bincount(flat.ravel(), np.repeat(diff.ravel(), flat.shape[1]), n + 1) / rows - 1e-4 * w
+        d, g = np.zeros(4), np.zeros(n + 1)
+        for a in range(0, rows, FIT_ROWS):
+            more = _gradients(feats[a : a + FIT_ROWS], y[a : a + FIT_ROWS].astype(float), mask[a : a + FIT_ROWS], w, trans)
+            d, g = d + more[0], g + more[1]
+        d, g = d / rows - 0.002 * trans, g / rows - 1e-4 * w
         g[0] = 0
         gw += g * g
         gt += d * d
@@ -308,8 +320,6 @@ def fit(texts: pa.Array, labels: np.ndarray) -> Model:
     windows_f, windows_y, windows_m = [], [], []
     kept_slices = []
     rng = np.random.Generator(np.random.PCG64(7))
-    budget = 60_000
-    rows = 0
     for a, b, data, off in text_slices(texts, SLICE_BYTES):
         data = folded(data)
         s, e, place, feats, doc_off, lengths = events(model, data, off)
@@ -319,11 +329,11 @@ def fit(texts: pa.Array, labels: np.ndarray) -> Model:
         label = strong[feats].any(1) & y[a:b][doc]
         # windows round events; the tokens without features between them are features 0, label 0
         pick = np.flatnonzero(label | (rng.random(len(label)) < 0.25))
-        if len(pick) == 0 or rows >= budget:
+        if len(pick) == 0:
             continue
         size = 2 * WINDOW + 1
         f = np.zeros((len(pick), size, feats.shape[1]), np.int32)
-        t, m = np.zeros((len(pick), size)), np.zeros((len(pick), size))
+        t, m = np.zeros((len(pick), size), bool), np.zeros((len(pick), size), bool)
         places = place[pick][:, None] + np.arange(-WINDOW, WINDOW + 1)[None]
         m[:] = (places >= 0) & (places < lengths[doc[pick]][:, None])
         for j in range(-WINDOW, WINDOW + 1):
@@ -338,13 +348,9 @@ def fit(texts: pa.Array, labels: np.ndarray) -> Model:
         windows_f.append(f)
         windows_y.append(t)
         windows_m.append(m)
-        rows += len(pick)
     if not windows_f:
         return empty
     f, t, m = (np.concatenate(x) for x in (windows_f, windows_y, windows_m))
-    if len(f) > budget:
-        pick = rng.permutation(len(f))[:budget]
-        f, t, m = f[pick], t[pick], m[pick]
     w, trans = _fit_chain(f, t, m, len(keys))
     x = []
     for feats, place, doc_off, lengths in kept_slices:

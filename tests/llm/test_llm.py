@@ -238,6 +238,19 @@ def test_toxicity(spark, docs, none):
     assert toxicity.score(docs, toxicity.trained(df, l.limit(0))).filter("score = 0").count() == len(TEXTS)
 
 
+def test_every_window_is_fitted(monkeypatch):
+    texts = pa.array(["vermin " * 2000] * 35 + ["plain words " * 20] * 105)
+    seen, fit = [], toxicity._fit_chain
+    monkeypatch.setattr(toxicity, "_fit_chain", lambda f, t, m, n: seen.append((f, t, m, n)) or (np.zeros(n), np.zeros(4)))
+    toxicity.fit(texts, np.arange(140) < 35)
+    ((f, t, m, n),) = seen
+    assert len(f) == 70_000
+    part = [x[:500] for x in (f, t, m)]
+    whole = fit(*part, n)
+    monkeypatch.setattr(toxicity, "FIT_ROWS", 99)
+    assert all(np.allclose(a, b) for a, b in zip(whole, fit(*part, n), strict=True))
+
+
 def test_marginals_equal_enumeration():
     from itertools import product
 
