@@ -6,9 +6,10 @@ s / (|q| l) and more. From that local threshold each bucket is searched in one o
 (only the bucket's vectors of length s / |q| and more, a prefix); where it is high, by coordinates (only vectors whose
 values in the query's largest coordinates can still reach the cosine). What is left is verified by exact products.
 
-Defined results: vectors that are null, hold a null or non-finite component, or scale beyond 32 bits take no part; neither
-do rows without an id. Vectors of different dimensions are not compared. Rows with the query's own id are not its results;
-repeated rows are results each, and equal queries are asked once. An empty table gives an empty table.
+Defined results: vectors that are null or empty, hold a null or non-finite component, or have a square beyond a double take
+no part; neither do rows without an id. Scores beyond 64 bits, which the SQL cannot give, are 2^63 - 1 with their sign.
+Vectors of different dimensions are not compared. Rows with the query's own id are not its results; repeated rows are
+results each, and equal queries are asked once. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ PACKED = "dim int, number bigint, top double, n int, ids binary, norms binary, v
 
 
 def scaled(df: DataFrame, key: str = "vec_id", vector: str = "embedding", scale: float = SCALE) -> DataFrame:
-    """vec_id, dim, norm and v (32-bit integers as bytes) of the vectors that take part."""
+    """vec_id, dim, norm and v of the vectors that take part: 32-bit integers as bytes, or whole doubles if some are beyond."""
     src = df.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("x")).filter("vec_id is not null and x is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -43,47 +44,63 @@ def scaled(df: DataFrame, key: str = "vec_id", vector: str = "embedding", scale:
             off = lists.offsets.to_numpy()
             for i, a, b in zip(batch.column("vec_id").to_pylist(), off[:-1].tolist(), off[1:].tolist(), strict=True):
                 x = np.floor(flat[a:b] * scale)
-                if not len(x) or not np.isfinite(x).all() or np.abs(x).max() >= 2**31:
+                with np.errstate(over="ignore", invalid="ignore"):
+                    square = x @ x
+                if not len(x) or not np.isfinite(square):
                     continue
                 ids.append(i)
                 dims.append(len(x))
-                norms.append(float(np.sqrt(x @ x)))
-                vs.append(x.astype("<i4").tobytes())
+                norms.append(float(np.sqrt(square)))
+                vs.append(x.astype("<i4" if np.abs(x).max() < 2**31 else "<f8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(norms, pa.float64()), pa.array(vs, pa.binary())], names=["vec_id", "dim", "norm", "v"])
 
     return src.mapInArrow(run, "vec_id bigint, dim int, norm double, v binary")
 
 
 def packed(vectors: DataFrame, rows: int) -> DataFrame:
-    """Up to `rows` consecutive vectors of one dimension as one row, numbered uniquely."""
+    """Up to `rows` consecutive vectors of one dimension and width as one row, numbered uniquely."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
-        held: dict[int, list] = {}
+        held: dict[tuple[int, int], list] = {}
 
-        def out(dim: int) -> pa.RecordBatch:
+        def out(kind: tuple[int, int]) -> pa.RecordBatch:
             nonlocal number
-            ids, norms, vs = zip(*held.pop(dim), strict=True)
+            ids, norms, vs = zip(*held.pop(kind), strict=True)
             number += 1
-            row = [dim, number, max(norms), len(ids), np.array(ids, "<i8").tobytes(), np.array(norms, "<f8").tobytes(), b"".join(vs)]
+            row = [kind[0], number, max(norms), len(ids), np.array(ids, "<i8").tobytes(), np.array(norms, "<f8").tobytes(), b"".join(vs)]
             kinds = [pa.int32(), pa.int64(), pa.float64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=["dim", "number", "top", "n", "ids", "norms", "vectors"])
 
         for batch in batches:
             for i, d, n, v in zip(*(batch.column(c).to_pylist() for c in ("vec_id", "dim", "norm", "v")), strict=True):
-                held.setdefault(d, []).append((i, n, v))
-                if len(held[d]) >= rows:
-                    yield out(d)
-        for d in list(held):
-            yield out(d)
+                held.setdefault((d, len(v)), []).append((i, n, v))
+                if len(held[d, len(v)]) >= rows:
+                    yield out((d, len(v)))
+        for kind in list(held):
+            yield out(kind)
 
     return vectors.select("vec_id", "dim", "norm", "v").mapInArrow(run, PACKED)
 
 
-def _matrix(raw: bytes, dim: int, kind) -> np.ndarray:
-    return np.frombuffer(raw, "<i4").reshape(-1, dim).astype(kind)
+def _matrix(raw: bytes, dim: int, rows: int) -> np.ndarray:
+    return np.frombuffer(raw, "<i4" if len(raw) == 4 * dim * rows else "<f8").reshape(-1, dim).astype(np.float64)
+
+
+def _products(q: np.ndarray, v: np.ndarray, long_q: float, long_v: float) -> np.ndarray:
+    """Exact products of rows of whole numbers, of which the longest have these lengths; beyond 64 bits 2^63 - 1 with the sign."""
+    bound = long_q * long_v
+    # sums stay exact in doubles below 2^53, else whole numbers are multiplied
+    if max(bound, long_q, long_v) < 2**24:
+        return (q.astype(np.float32) @ v.T.astype(np.float32)).astype(np.int64)
+    if bound < 2**53:
+        return (q @ v.T).astype(np.int64)
+    if max(bound, long_q, long_v) < 2**62:
+        return q.astype(np.int64) @ v.T.astype(np.int64)
+    whole = lambda x: np.array([[int(c) for c in row] for row in x.tolist()], dtype=object).reshape(x.shape)
+    return np.clip(whole(q) @ whole(v).T, 1 - 2**63, 2**63 - 1).astype(np.int64)
 
 
 class _Block:
@@ -92,7 +109,7 @@ class _Block:
     def __init__(self, k: int, dim: int, ids: bytes, norms: bytes, vectors: bytes):
         self.k, self.dim = k, dim
         self.ids, self.norms = np.frombuffer(ids, "<i8"), np.frombuffer(norms, "<f8")
-        self.q = _matrix(vectors, dim, np.float64)
+        self.q = _matrix(vectors, dim, len(self.ids))
         self.best = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in self.ids]
         self.low = np.full(len(self.ids), -np.inf)  # a result must reach this score
 
@@ -110,14 +127,7 @@ class _Block:
             # the longest prefix that any of them needs; norms fall
             most = int(np.searchsorted(-norms, -(need.min() * (1 - 1e-12)), "right"))
             if most:
-                # sums stay exact in doubles below 2^53, else whole numbers are multiplied
-                bound = self.norms[i].max() * norms[0]
-                if bound < 2**24:
-                    s = (self.q[i].astype(np.float32) @ v[:most].T.astype(np.float32)).astype(np.int64)
-                elif bound < 2**53:
-                    s = (self.q[i] @ v[:most].T).astype(np.int64)
-                else:
-                    s = self.q[i].astype(np.int64) @ v[:most].T.astype(np.int64)
+                s = _products(self.q[i], v[:most], self.norms[i].max(), norms[0])
                 hit = s >= self.low[i][:, None]
                 for r, j in enumerate(i.tolist()):
                     at = np.flatnonzero(hit[r])
@@ -134,7 +144,7 @@ class _Block:
                 ok &= np.abs(x - local * q[f]) <= room + (1 - local) * abs(q[f])
             at = np.flatnonzero(ok)
             if len(at):
-                exact = v[at].astype(np.int64) @ self.q[j].astype(np.int64)
+                exact = _products(self.q[j : j + 1], v[at], self.norms[j], norms[at[0]])[0]
                 hit = exact >= self.low[j]
                 self._take(j, ids[at[hit]], exact[hit])
 
@@ -181,7 +191,7 @@ def top_k(spark: SparkSession, df: DataFrame, is_query, k: int = 20, key: str =
                     if len(held) >= MOST_BLOCKS:
                         yield held.pop(next(iter(held))).out()
                     block = held[x["q_number"]] = _Block(k, x["dim"], *(batch.column(c)[row].as_py() for c in ("q_ids", "q_norms", "q_vectors")))
-                block.meet(np.frombuffer(x["ids"], "<i8"), np.frombuffer(x["norms"], "<f8"), _matrix(x["vectors"], x["dim"], np.float64), x["top"])
+                block.meet(np.frombuffer(x["ids"], "<i8"), np.frombuffer(x["norms"], "<f8"), _matrix(x["vectors"], x["dim"], len(x["ids"]) // 8), x["top"])
         for block in held.values():
             yield block.out()
 

@@ -201,6 +201,21 @@ def test_top_k(spark):
     assert topk.top_k(spark, df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_top_k_of_long_vectors(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(80, 4)).astype(np.float32)
+    x[::3] *= np.float32(1e8)  # beyond 32 bits as scaled
+    x[[40, 41]] = [[3e38, 0, 0, 0], [-3e38, 1, 0, 0]]
+    x[60] = 0
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(spark, df, F.col("vec_id") % 20 == 0).collect()}
+    v = [[int(c) for c in np.floor(64 * row.astype(np.float64)).tolist()] for row in x]
+    for q in range(0, 80, 20):
+        s = [max(1 - 2**63, min(2**63 - 1, sum(a * b for a, b in zip(v[q], w, strict=True)))) for w in v]
+        want = sorted((-s[i], i) for i in range(80) if i != q)[:20]
+        assert [got[q, k + 1] for k in range(20)] == [(i, -n) for n, i in want]
+
+
 def test_url_filter(spark):
     urls = [None, "", "no scheme", "http://A.Example.org/es/x?q", "https://example.org/en/12", "http://example.org", "x://sub.org/#f", "http://xorg/", "http://a.com/de/", "http://a.com/fr/1", "http://net/?a://b.org/"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
