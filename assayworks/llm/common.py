@@ -32,9 +32,11 @@ def ready(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; only where the session names none (tests) a folder of its own."""
+    """The folder that all executors share, as the session names it; a local session that names none gets one of its own."""
     got = spark.conf.get("spark.checkpoint.dir", None)
     if not got:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         got = f"file://{tempfile.mkdtemp(prefix='assayworks-')}"
         spark.conf.set("spark.checkpoint.dir", got)
     return got.rstrip("/")
@@ -48,9 +50,9 @@ def written(spark: SparkSession, df: DataFrame, label: str) -> tuple[DataFrame,
 
 
 @contextmanager
-def arrow_rows(spark: SparkSession, n: int) -> Iterator[None]:
-    """At most n rows in a batch to or from Python, for what runs within: long rows in full batches take much memory."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def arrow_bytes(spark: SparkSession, n: int) -> Iterator[None]:
+    """At most n bytes (or one row) in a batch to or from Python, for plans made and run within."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
     old = spark.conf.get(name)
     spark.conf.set(name, str(n))
     try:
@@ -107,21 +109,51 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((run[ends] - run[starts]) * _pow(_B_INV, "i", n + 1)[starts] + (ends - starts).astype(np.uint64) * _GOLDEN)
 
 
-def text_slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) of runs of whole texts of about `most` bytes; nulls are empty texts."""
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bytes of texts; nulls are empty texts."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.cast(pa.large_string()).fill_null("")
     off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
-    a = 0
-    while a < len(texts):
+    return off, np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+
+
+def text_slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets) of runs of whole texts of about `most` bytes; nulls are empty texts."""
+    off, data = text_bytes(texts)
+    a, n = 0, len(texts)
+    while a < n:
         b = max(a + 1, int(np.searchsorted(off, off[a] + most, "right")) - 1)
-        b = min(b, len(texts))
+        b = min(b, n)
         yield a, b, data[off[a] : off[b]], off[a : b + 1] - off[a]
         a = b
 
 
+def blank_places(data: np.ndarray) -> np.ndarray:
+    """Where a text may be cut between words: before white space that follows something else."""
+    blank = _SPACE[data]
+    return np.flatnonzero(blank[1:] & ~blank[:-1]) + 1
+
+
+def text_parts(data: np.ndarray, places=blank_places, most: int = SLICE_BYTES) -> Iterator[np.ndarray]:
+    """One text in parts of about `most` bytes, cut only where `places` allows: a stretch without such a place stays whole."""
+    a = 0
+    while len(data) - a > most:
+        lo, b = a, a + most
+        while True:
+            found = places(data[lo:b])
+            if len(found):
+                b = lo + int(found[-1])
+                break
+            if b >= len(data):
+                break
+            lo, b = b - 1, min(len(data), b + most)
+        yield data[a:b]
+        a = b
+    if a < len(data) or not len(data):
+        yield data[a:]
+
+
 def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words `[^\\x20\\x09-\\x0D]+` of each text, and the words' offsets by text."""
     solid = np.zeros(len(data) + 2, bool)

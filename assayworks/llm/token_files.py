@@ -3,10 +3,12 @@
 File format: documents in ascending order of doc_id, over files in the order of their numbers. `tokens` is a list of int32
 in data pages of the second version: plain dictionary pages where a row group's ids repeat enough, else delta-packed.
 Row groups and pages have a bounded size, and pages have an index, so a read by doc_id, or of `n_tokens` alone, takes only
-the pages it needs. `start` is not stored: it follows from the files' totals and each document's place in its file.
+the pages it needs. `start` is not stored: it follows from the files' totals and each document's place in its file. There is
+a file for each FILE_BYTES of input, but one for each core at least.
 
-Defined results: a null or empty text has the end id alone; repeated rows (and equal doc_ids) are kept, in an order fixed
-by the files; a text of any length is one row; an empty table gives an empty table; other columns are carried on request.
+Defined results: a null or empty text has the end id alone; rows without a doc_id come first; repeated rows (and equal
+doc_ids) are kept, in an order fixed by the files; a text of any length is one row, encoded in parts, so that a task holds
+the text, its ids and batches of BATCH_BYTES; an empty table gives an empty table; other columns are carried on request.
 """
 
 from __future__ import annotations
@@ -22,12 +24,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens
-from .common import arrow_rows, shared_dir, written
+from .common import arrow_bytes, dropped, shared_dir, written
 
 END_ID = 2
-ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 16 << 20, 1 << 20, 2000
-#: Documents in a batch to and from Python.
-BATCH_ROWS = 512
+#: Pages stay below half a region of a small Java heap, so that their buffers are no humongous objects there.
+ROW_GROUP_BYTES, PAGE_BYTES, DICTIONARY_BYTES, PAGE_ROWS = 8 << 20, 128 << 10, 256 << 10, 2000
+#: Bytes of a batch to and from Python; a longer document is a batch of its own.
+BATCH_BYTES = 2 << 20
+#: Bytes of input, as stored, that one file of ids is made from.
+FILE_BYTES = 32 << 20
 
 
 def crc32_of(ids: np.ndarray) -> int:
@@ -56,17 +61,21 @@ def token_rows(docs: DataFrame, path: str, end_id: int | None = END_ID, text: st
     return src.mapInArrow(run, schema)
 
 
+def n_files_of(docs: DataFrame) -> int:
+    """Files for docs: by the size of what it reads, as the optimizer knows it from the files, without reading them."""
+    stored = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    # a table whose size is not known counts as endless there
+    return max(docs.sparkSession.sparkContext.defaultParallelism, min(-(-stored // FILE_BYTES), 1 << 22))
+
+
 def write_tokens(docs: DataFrame, folder: str, path: str, n_files: int | None = None, end_id: int | None = END_ID) -> None:
     """Writes the documents' ids to folder in ascending order of doc_id."""
-    spark = docs.sparkSession
-    if n_files is None:
-        n_files = max(spark.conf.get("spark.sql.shuffle.partitions") and int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    ordered = docs.select("doc_id", "text").repartitionByRange(n_files, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    out = token_rows(ordered, path, end_id).write.mode("overwrite").option("compression", "zstd").option("parquet.writer.version", "v2")
-    out = out.option("parquet.block.size", ROW_GROUP_BYTES).option("parquet.page.size", PAGE_BYTES).option("parquet.page.row.count.limit", PAGE_ROWS)
-    out = out.option("parquet.enable.dictionary", "true").option("parquet.dictionary.page.size", 1 << 20)
-    with arrow_rows(spark, BATCH_ROWS):
-        out.parquet(folder)
+    spark, docs = docs.sparkSession, docs.select("doc_id", "text")
+    ordered = docs.repartitionByRange(n_files or n_files_of(docs), F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    with arrow_bytes(spark, BATCH_BYTES):
+        out = token_rows(ordered, path, end_id).write.mode("overwrite").option("compression", "zstd").option("parquet.writer.version", "v2")
+        out = out.option("parquet.block.size", ROW_GROUP_BYTES).option("parquet.page.size", PAGE_BYTES).option("parquet.page.row.count.limit", PAGE_ROWS)
+        out.option("parquet.enable.dictionary", "true").option("parquet.dictionary.page.size", DICTIONARY_BYTES).parquet(folder)
 
 
 def read_tokens(spark: SparkSession, folder: str, columns: Iterable[str] = ("doc_id", "n_tokens", "tokens")) -> DataFrame:
@@ -108,6 +117,7 @@ def with_crc32(df: DataFrame, column: str = "tokens", to: str = "ids_crc32") ->
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder, tokens.default_path())
-    with arrow_rows(spark, BATCH_ROWS):
+    with arrow_bytes(spark, BATCH_BYTES):
         got, _ = written(spark, with_crc32(read_tokens(spark, folder)), "token-digests")
+    dropped(spark, folder)
     return got.select("doc_id", "start", "n_tokens", "ids_crc32")

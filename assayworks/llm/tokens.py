@@ -4,6 +4,9 @@ The ids come from the tokenizers library. A text's pretokens (the pieces that th
 found for a whole slice of texts at once with array operations, and the library encodes each distinct pretoken once; ids of
 repeated pretokens are copied. A pretoken encodes alike alone and in its text, since the pattern cuts it into itself and
 merges never cross pretokens. Texts with code points outside the range that the array form covers go to the library whole.
+
+A text longer than a slice is encoded in parts, cut only where the pattern always cuts, whatever stands before and after: the
+parts' ids one after another are the text's. So the arrays of the work do not grow with a text, only its ids do.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from .common import SLICE_BYTES, span_hashes, text_slices
+from .common import SLICE_BYTES, span_hashes, text_parts, text_slices
 
 #: Code points up to here are cut by arrays.
 COVERED = 0x250
@@ -47,6 +50,9 @@ class Encoder:
     def cut(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         return pretokens(data, off)
 
+    def places(self, data: np.ndarray) -> np.ndarray:
+        return sure_cuts(data)
+
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -96,6 +102,24 @@ class Encoder:
         return ids, bounds
 
 
+# ASCII by kind, all else apart; the last bytes of full stops and commas that stand between letters without blanks.
+_ASCII = np.full(256, FAR, np.uint8)
+_ASCII[:128] = _KIND[:128]
+
+
+def sure_cuts(data: np.ndarray) -> np.ndarray:
+    """Places where the pattern cuts whatever surrounds them: after an ASCII letter or digit before ASCII of another kind,
+    after other ASCII before white space, and after a CJK full stop or comma before a CJK letter."""
+    a, b = _ASCII[data[:-1]], _ASCII[data[1:]]
+    word = ((a == LETTER) | (a == DIGIT)) & (b != a) & (b != FAR)
+    ok = word | ((a == OTHER) & (b == SPACE))
+    if len(data) > 3:
+        last, middle, first = data[2:-1], data[1:-2], data[:-3]
+        stop = ((first == 0xE3) & (middle == 0x80) & (last == 0x82)) | ((first == 0xEF) & (middle == 0xBC) & (last == 0x8C))
+        ok[2:] |= stop & (data[3:] >= 0xE5) & (data[3:] <= 0xE8)  # U+5000 to U+8FFF, letters without a gap
+    return np.flatnonzero(ok) + 1
+
+
 def pretokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Byte spans of the pretokens, their offsets by text, and the texts that arrays do not cover (these get no spans)."""
     head = (data & 0xC0) != 0x80
@@ -173,7 +197,12 @@ def encoder(path: str) -> Encoder:
 def encoded(enc: Encoder, texts: pa.Array, end_id: int | None = None, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, ids, offsets) by slice; with the end id after each text, where there is one."""
     for a, b, data, off in text_slices(texts, most):
-        ids, bounds = enc.slice_ids(data, off)
+        if b - a == 1 and len(data) > most:
+            got = [enc.slice_ids(part, np.array([0, len(part)]))[0] for part in text_parts(data, enc.places, most)]
+            ids = np.concatenate(got)
+            bounds = np.array([0, len(ids)])
+        else:
+            ids, bounds = enc.slice_ids(data, off)
         if end_id is not None:
             ids = np.insert(ids, bounds[1:], np.uint32(end_id))
             bounds = bounds + np.arange(len(bounds))
