@@ -1,22 +1,27 @@
 """Best-fit packing by a grouping genetic algorithm on islands.
 
-A chromosome is a set of bins (sequences), each a group of pieces. Crossover injects the best-filled bins of one parent into
-the other, removes the bins that hold a piece a second time, and best-fits the pieces so displaced; mutation empties some
-badly filled bins the same way. Pieces are dealt to islands by hash, so many islands evolve at once and no island grows with
-the data. After an epoch an island's elite migrates: bins that are full enough are final, and the pieces of the elite's
-other bins move on, dealt to fewer islands, where they meet the leftovers of others. The epochs end when one island takes
-all that is left.
+A chromosome is a set of bins (sequences), each a group of pieces. Crossover injects the best-filled bins of one parent whole
+into the other, removes the bins that hold a piece a second time, and puts the pieces so displaced back: first by exchange,
+where a bin gives up one or two pieces for a displaced one that fills it better, then by best fit. Mutation empties some
+badly filled bins and puts their pieces back the same way. New blood is made by filling bins exactly, with the pieces first
+that were left in unfilled bins before.
+
+Pieces are dealt to islands by hash, so many islands evolve at once and no island grows with the data. After an epoch an
+island's elite migrates: its exactly filled bins are final, and its other bins move on whole, dealt to fewer islands, where
+the bins that several elites sent there are a chromosome of the new population, beside those that best fit makes of the same
+pieces. The epochs end when one island takes all that is left.
 
 Documents longer than the capacity are cut: the first piece takes the remainder, all others are full and make a sequence of
 their own.
 
-Defined results: a null or empty text is the end id alone; repeated rows (and equal doc_ids) are packed as documents of
-their own; ties in best fit go to the bin found first; an empty table gives an empty table; columns other than those
-named are not looked at.
+Defined results: a null or empty text is the end id alone; repeated rows (and equal doc_ids, and rows without one) are packed
+as documents of their own; ties in best fit go to the bin found last; a text of any length is encoded in parts, so that a task
+holds the text and its ids; an empty table gives an empty table; columns other than those named are not looked at.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,14 +31,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens
-from .common import written
+from .common import dropped, written
 from .token_files import END_ID, crc32_of
 
 CAPACITY = 1024
-#: Pieces to an island, on average; chromosomes and generations of each.
-ISLAND_PIECES, POPULATION, GENERATIONS = 4096, 6, 12
-#: Bins with so little left over are final when an epoch ends.
-SLACK = 0
+#: Pieces to an island, on average; chromosomes of a population; generations of an island, and of the last one.
+ISLAND_PIECES, POPULATION, GENERATIONS, LAST_GENERATIONS = 4096, 6, 24, 150
 MAX_EPOCHS = 8
 
 Bin = list[int]  # pieces, by their numbers in the island
@@ -79,16 +82,93 @@ def best_fit(sizes: list[int], capacity: int, order: list[int], bins: list[Bin]
     return got.all()
 
 
+def filled(sizes: list[int], capacity: int, order: list[int]) -> list[Bin]:
+    """A bin for each piece in order that has none: with one or two others that fill it exactly, the largest there are, else
+    with the largest that fits and so on. The small pieces, which fill any room, are left for last."""
+    by_size: dict[int, list[int]] = {}
+    for i in order:
+        by_size.setdefault(sizes[i], []).append(i)
+    have, placed, out = 0, set(), []
+    for x in by_size:
+        have |= 1 << x
+
+    def take(size: int) -> int:
+        nonlocal have
+        same = by_size[size]
+        i = same.pop()
+        placed.add(i)
+        if not same:
+            have ^= 1 << size
+        return i
+
+    for i in order:
+        if i in placed:
+            continue
+        by_size[sizes[i]].remove(i)
+        if not by_size[sizes[i]]:
+            have ^= 1 << sizes[i]
+        b, room = [i], capacity - sizes[i]
+        while room:
+            fits = have & ((1 << room + 1) - 1)
+            if not fits:
+                break
+            most = fits.bit_length() - 1
+            if most < room:
+                for x in range(most, (room - 1) // 2, -1):
+                    if have >> x & 1 and have >> room - x & 1 and (2 * x != room or len(by_size[x]) > 1):
+                        most = x
+                        break
+            b.append(take(most))
+            room -= most
+        out.append(b)
+    return out
+
+
+def exchanged(sizes: list[int], capacity: int, bins: list[Bin], loose: list[int]) -> tuple[list[Bin], list[int]]:
+    """Bins that are not full give up one or two pieces for a loose one that fills them better. New bins, and what is loose."""
+    free = sorted((sizes[i], i) for i in loose)
+    out = []
+    for b in bins:
+        room = capacity - sum(sizes[i] for i in b)
+        while room and free:
+            best = None
+            for x, i in enumerate(b):
+                for j in (None, *b[x + 1 :]) if len(b) <= 8 else (None,):
+                    held = sizes[i] + (0 if j is None else sizes[j])
+                    k = bisect_right(free, (held + room, len(sizes))) - 1
+                    if k >= 0 and free[k][0] > held and (best is None or free[k][0] - held > best[0]):
+                        best = (free[k][0] - held, k, i, j)
+            if best is None:
+                break
+            gain, k, i, j = best
+            b = [x for x in b if x not in (i, j)] + [free.pop(k)[1]]
+            for x in (i, j):
+                if x is not None:
+                    insort(free, (sizes[x], x))
+            room -= gain
+        out.append(b)
+    return out, [i for _, i in free]
+
+
+def put_back(sizes: list[int], capacity: int, bins: list[Bin], loose: list[int], rng: np.random.Generator, noise: float) -> list[Bin]:
+    """Loose pieces into bins, by exchange and then by best fit, the largest first but for some noise."""
+    bins, loose = exchanged(sizes, capacity, bins, loose)
+    by = rng.random(len(loose)) * noise + 1 - noise / 2
+    order = [i for _, i in sorted(zip((-sizes[i] * x for i, x in zip(loose, by.tolist(), strict=True)), loose, strict=True))]
+    return best_fit(sizes, capacity, order, bins)
+
+
 def fitness(sizes: list[int], capacity: int, bins: list[Bin]) -> tuple[int, float]:
     """Fewer bins first; among equals, fuller and emptier rather than alike (mean square fill)."""
     return -len(bins), sum((sum(sizes[i] for i in b) / capacity) ** 2 for b in bins) / max(1, len(bins))
 
 
-def crossover(sizes: list[int], capacity: int, into: list[Bin], fill_of: list[tuple[int, Bin]], share: float, rng: np.random.Generator) -> list[Bin]:
-    """Injects well-filled bins of one parent, removes bins with duplicates from the other, best-fits what they displace."""
-    best = [b for f, b in fill_of if f >= capacity - 4] or [b for _, b in fill_of[: max(1, len(fill_of) // 4)]]
-    n = max(1, int(len(best) * share))
-    injected = [best[k] for k in rng.choice(len(best), n, replace=False)]
+def crossover(sizes: list[int], capacity: int, into: list[Bin], of: list[Bin], rng: np.random.Generator) -> list[Bin]:
+    """Injects well-filled bins of one parent, removes bins with duplicates from the other, puts back what they displace."""
+    fill = sorted(((sum(sizes[i] for i in b), k) for k, b in enumerate(of)), reverse=True)
+    full = sum(f == capacity for f, _ in fill)
+    best = [of[k] for _, k in fill[: max(full, len(fill) // 4, 1)]]
+    injected = [best[k] for k in rng.choice(len(best), max(1, len(best) // 2), replace=False)]
     seen = {i for b in injected for i in b}
     kept, displaced = list(injected), []
     for b in into:
@@ -96,47 +176,54 @@ def crossover(sizes: list[int], capacity: int, into: list[Bin], fill_of: list[tu
             kept.append(b)
         else:
             displaced += [i for i in b if i not in seen]
-    displaced.sort(key=lambda i: -sizes[i])
-    return best_fit(sizes, capacity, displaced, kept)
+    return put_back(sizes, capacity, kept, displaced, rng, 0.0)
 
 
 def mutated(sizes: list[int], capacity: int, bins: list[Bin], rng: np.random.Generator) -> list[Bin]:
-    """Empties the worst-filled bins and as many at random, and best-fits their pieces anew in a shuffled order."""
+    """Empties the worst-filled bins and as many at random, and puts their pieces back in a noisy order."""
     fill = sorted(range(len(bins)), key=lambda k: sum(sizes[i] for i in bins[k]))
-    n = min(len(bins), max(2, len(bins) // 50))
+    n = min(len(bins), int(rng.integers(2, max(3, len(bins) // 25))))
     out = set(fill[:n]) | set(rng.choice(len(bins), n, replace=False).tolist())
-    pieces = [i for k in out for i in bins[k]]
-    noise = rng.random(len(pieces))
-    order = [i for _, i in sorted(zip((-(sizes[i] * (0.8 + 0.4 * x)) for i, x in zip(pieces, noise, strict=True)), pieces, strict=True))]
-    return best_fit(sizes, capacity, order, [b for k, b in enumerate(bins) if k not in out])
+    return put_back(sizes, capacity, [b for k, b in enumerate(bins) if k not in out], [i for k in sorted(out) for i in bins[k]], rng, 0.4)
+
 
+def bound(sizes: list[int], capacity: int) -> int:
+    """Bins that any packing needs: by the sum, and by pieces of which no two fit together."""
+    return max(-(-sum(sizes) // capacity), sum(2 * s > capacity for s in sizes))
 
-def evolve(sizes: list[int], capacity: int = CAPACITY, seed: int = 0, population: int = POPULATION, generations: int = GENERATIONS) -> list[Bin]:
-    """The elite chromosome of one island."""
+
+def evolve(sizes: list[int], capacity: int = CAPACITY, seed: int = 0, migrants: list[Bin] = (), population: int = POPULATION, generations: int = GENERATIONS) -> list[Bin]:
+    """The elite chromosome of one island. migrants: bins that earlier elites sent, together a chromosome of the population."""
     n = len(sizes)
     if not n:
         return []
     rng = np.random.Generator(np.random.PCG64(seed))
+    least = bound(sizes, capacity)
     down = sorted(range(n), key=lambda i: -sizes[i])
-    lower = -(-sum(sizes) // capacity)
-    people = [best_fit(sizes, capacity, down)]
-    rate = lambda bins: fitness(sizes, capacity, bins)
-    scores = [rate(people[0])]
-    if -scores[0][0] > lower:
-        while len(people) < population:
-            noise = rng.random(n) * 0.3 + 0.85
-            people.append(best_fit(sizes, capacity, sorted(range(n), key=lambda i: -sizes[i] * noise[i])))
-            scores.append(rate(people[-1]))
-    for _ in range(generations):
-        if max(scores)[0] >= -lower:
+    people = [best_fit(sizes, capacity, down)] + ([[list(b) for b in migrants]] if migrants else [])
+    scores = [fitness(sizes, capacity, p) for p in people]
+    weight = [1.0] * n  # pieces of bins that stay unfilled come earlier in the next order
+    for g in range(generations):
+        if max(scores)[0] >= -least:
             break
-        order = sorted(range(len(people)), key=lambda k: scores[k], reverse=True)
-        a, b = order[int(rng.integers(0, max(1, len(order) // 2)))], order[int(rng.integers(0, len(order)))]
-        fill = sorted(((sum(sizes[i] for i in x), x) for x in people[a]), key=lambda x: -x[0])
-        child = mutated(sizes, capacity, crossover(sizes, capacity, people[b], fill, 0.5, rng), rng)
-        score = rate(child)
-        worst = order[-1]
-        if score > scores[worst]:
+        if g % 3 == 0 or len(people) < 3:
+            child = filled(sizes, capacity, sorted(range(n), key=lambda i: -sizes[i] * weight[i]))
+            for b in child:
+                room = capacity - sum(sizes[i] for i in b)
+                if room > 4:
+                    for i in b:
+                        weight[i] += min(0.1, room / 1000)
+        else:
+            order = sorted(range(len(people)), key=lambda k: scores[k], reverse=True)
+            a, b = order[int(rng.integers(0, max(1, len(order) // 2)))], order[int(rng.integers(0, len(order)))]
+            child = crossover(sizes, capacity, people[b], people[a], rng) if a != b and g % 3 == 1 else mutated(sizes, capacity, people[a], rng)
+        score = fitness(sizes, capacity, child)
+        if len(people) < population:
+            people.append(child)
+            scores.append(score)
+            continue
+        worst = min(range(len(people)), key=lambda k: scores[k])
+        if score > scores[worst] and score not in scores:
             people[worst], scores[worst] = child, score
     return people[max(range(len(people)), key=lambda k: scores[k])]
 
@@ -173,28 +260,29 @@ def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
 
 
 def pack(spark: SparkSession, pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """pieces (with uid and length) + sequence_id and offset."""
+    """pieces (with uid and length) + sequence_id and offset, as a table in the shared folder."""
     cols = pieces.columns
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("final", T.BooleanType())])
-    full = pieces.filter(F.col("length") >= capacity).withColumns({"sequence_id": F.col("uid") * 2, "offset": F.lit(0).cast("long")})
-    left = pieces.filter(F.col("length") < capacity)
-    done = [full]
-    count = left.count()
+    done = [pieces.filter(F.col("length") >= capacity).withColumns({"sequence_id": F.col("uid") * 2, "offset": F.lit(0).cast("long")})]
+    left = pieces.filter(F.col("length") < capacity).withColumn("nest", F.lit(-1).cast("long"))
+    count, paths = left.count(), []
     for epoch in range(MAX_EPOCHS):
         if not count:
             break
         islands = max(1, -(-count // ISLAND_PIECES))
         last = islands == 1 or epoch == MAX_EPOCHS - 1
-
-        run = _island(cols, schema, capacity, epoch, last)
-        island = F.pmod(F.xxhash64("uid", F.lit(epoch)), F.lit(islands)).alias("island")
-        packed, _ = written(spark, left.select(*cols, island).groupBy("island").applyInArrow(run, schema), f"packed-{epoch}")
+        # Single pieces at first, later whole bins of the elites before.
+        island = F.pmod(F.xxhash64("nest" if epoch else "uid", F.lit(epoch)), F.lit(islands)).alias("island")
+        packed, path = written(spark, left.select(*cols, "nest", island).groupBy("island").applyInArrow(_island(cols, schema, capacity, epoch, last), schema), f"packed-{epoch}")
+        paths.append(path)
         done.append(packed.filter("final").drop("final"))
-        left = packed.filter("not final").select(*cols)
+        left = packed.filter("not final").select(*cols, F.col("sequence_id").alias("nest"))
         count = 0 if last else left.count()
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
+    out, _ = written(spark, out, "sequences")
+    dropped(spark, *paths)
     return out
 
 
@@ -202,15 +290,18 @@ def _island(cols: list[str], schema: T.StructType, capacity: int, epoch: int, la
     def run(group: pa.Table) -> pa.Table:
         # An island's rows come in no fixed order; sorted, the same pieces always give the same bins.
         group = group.sort_by([("length", "descending"), ("uid", "ascending")])
-        uid, sizes = group.column("uid").to_numpy(), group.column("length").to_pylist()
-        bins = evolve(sizes, capacity, int(uid[0] & 0x7FFFFFFF) * 31 + epoch)
+        uid, sizes, nest = group.column("uid").to_numpy(), group.column("length").to_pylist(), group.column("nest").to_pylist()
+        migrants: dict[int, Bin] = {}
+        for i, k in enumerate(nest):
+            migrants.setdefault(k, []).append(i)
+        bins = evolve(sizes, capacity, int(uid[0] & 0x7FFFFFFF) * 31 + epoch, list(migrants.values()) if epoch else [], generations=LAST_GENERATIONS if last else GENERATIONS)
         seq, off, final = np.zeros(len(uid), np.int64), np.zeros(len(uid), np.int64), np.zeros(len(uid), bool)
         for b in bins:
-            at, name = 0, int(min(uid[i] for i in b)) * 2 + 1  # a piece is in one final bin only
+            at, name = 0, int(min(uid[i] for i in b)) * 2 + 1  # no other bin of this or of any other island holds that piece
             for i in b:
                 seq[i], off[i] = name, at
                 at += sizes[i]
-            final[b] = last or at >= capacity - SLACK
+            final[b] = last or at == capacity
         return pa.Table.from_arrays([*[group.column(c) for c in cols], pa.array(seq), pa.array(off), pa.array(final)], names=schema.names)
 
     return run
@@ -221,5 +312,7 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packed_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    pieces, _ = written(spark, pieces_of(docs, tokens.default_path()), "pieces")
-    return pack(spark, pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    pieces, path = written(spark, pieces_of(docs, tokens.default_path()), "pieces")
+    got = pack(spark, pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    dropped(spark, path)
+    return got
