@@ -5,10 +5,11 @@ element offers slot p(j) the value j + r(j), r uniform in [0, 1). Slots of one e
 signatures less varied than independent minima, and the draw stops as soon as every slot holds a value of a lower step. Here
 step j runs over all elements of the documents that still have an empty slot, which is the same early stop by document.
 
-Documents with equal sets are one class from the start. Then stars: each bucket of the first bands is joined to one
+Documents with equal sets are one class from the start: a digest of the whole sorted set, of 128 bits without known
+collisions, confirms them. Then stars: each bucket of the first bands is joined to one
 hub only, the member that shares most with others, which in a group of edited copies is their original; verified links
-merge classes into components, so that large groups of copies fall together at a cost in proportion to their size. What is left are buckets of all bands that still hold several components. Their members
-meet in blocks of bounded size, with short codes of their signatures, and only pairs of different components whose codes
+merge classes into components, so that large groups of copies fall together at a cost in proportion to their size. What is
+left are buckets of all bands that still hold several components. Their members meet in blocks of bounded size, with short codes of their signatures, and only pairs of different components whose codes
 agree enough go on. Links are confirmed on the full sets, so every link found is right. A link of similarity 0.75 is missed
 by all bands, or by its codes, with a probability of about one in a hundred thousand, and no bucket, however large, is cut.
 
@@ -22,6 +23,7 @@ empty table; other columns are not looked at.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import dropped, lowered, mix, span_hashes, text_slices, word_spans, written
+from .common import SLICE_BYTES, blank_places, dropped, lowered, mix, span_hashes, text_parts, text_slices, word_spans, written
 
 SHINGLE, THRESHOLD_PERCENT = 5, 75
 BANDS, ROWS = 60, 6
@@ -42,12 +44,44 @@ STAR_BANDS = 16
 CODE, CODE_SHARE = SLOTS, 0.65  # the code covers all bands
 #: Members of a bucket that meet in one task, on either side.
 BLOCK = 512
+#: Elements of a step of the signatures that are drawn at once.
+STEP_ROWS = 1 << 18
 _G = np.uint64(0x9E3779B97F4A7C15)
 _R_BITS = 22
 
 
+def _combined(w: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of n windows of SHINGLE words that follow each other in w."""
+    h = np.zeros(n, np.uint64)
+    for k in range(SHINGLE):
+        h = mix(h * np.uint64(0xD1342543DE82EF95) + w[k : k + n] + _G)
+    return h
+
+
+def _long_set(data: np.ndarray) -> np.ndarray:
+    """shingle_sets of one long text, in parts: what stays is eight bytes for each word."""
+    words = []
+    for part in text_parts(data):
+        part = lowered(part)
+        s, e, _ = word_spans(part, np.array([0, len(part)]))
+        words.append(span_hashes(part, s, e))
+    w = np.concatenate(words)
+    if len(w) < SHINGLE:
+        return shingle_sets(data, np.array([0, len(data)]))[0]
+    n, step = len(w) - SHINGLE + 1, 1 << 18
+    h = np.empty(n, np.uint64)
+    for a in range(0, n, step):
+        b = min(n, a + step)
+        h[a:b] = _combined(w[a : b + SHINGLE - 1], b - a)
+    h.sort()
+    return h[np.append(True, h[1:] != h[:-1])]
+
+
 def shingle_sets(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct 64-bit hashes of each text's shingles, one text after another, and their offsets."""
+    if len(off) == 2 and len(data) > 2 * SLICE_BYTES and len(blank_places(data)) >= SHINGLE:
+        h = _long_set(data)
+        return h, np.array([0, len(h)])
     data = lowered(data)
     s, e, first = word_spans(data, off)
     w = span_hashes(data, s, e)
@@ -74,33 +108,37 @@ def superminhash(h: np.ndarray, bounds: np.ndarray, slots: int = SLOTS) -> np.nd
     """[texts, slots] signatures: step in the high 10 bits, r in the others. Texts with an empty set keep the highest value."""
     docs = len(bounds) - 1
     sig = np.full(docs * slots, np.uint32(0xFFFFFFFF))
-    doc = np.repeat(np.arange(docs), np.diff(bounds))
+    doc = np.repeat(np.arange(docs, dtype=np.int32), np.diff(bounds))
     past: list[np.ndarray] = []
     perm = None
     for j in range(slots):
         if not len(h):
             break
-        x = mix(h + np.uint64((j + 1) * int(_G) % 2**64))
-        k = (j + (((x & np.uint64(0xFFFFFFFF)) * np.uint64(slots - j)) >> np.uint64(32)).astype(np.int64)).astype(np.int32)
+        k = np.empty(len(h), np.int32)
         if j == 16:  # few texts are so short; their permutations are written out
             perm = np.tile(np.arange(slots, dtype=np.int32), (len(h), 1))
             rows = np.arange(len(h))
             for t, p in enumerate(past):
                 perm[rows, t], perm[rows, p] = perm[rows, p], perm[rows, t].copy()
             past = []
-        if perm is not None:
-            rows = np.arange(len(h))
-            slot = perm[rows, k].copy()
-            perm[rows, k] = perm[:, j]
-            perm[:, j] = slot
-        else:  # what swaps 0..j-1 left at place k
-            slot = k.copy()
-            for t in range(j - 1, -1, -1):
-                p = past[t]
-                slot = np.where(slot == p, t, np.where(slot == t, p, slot))
+        for a in range(0, len(h), STEP_ROWS):  # the elements of a step in runs, so that its arrays are bounded
+            b = min(len(h), a + STEP_ROWS)
+            x = mix(h[a:b] + np.uint64((j + 1) * int(_G) % 2**64))
+            k[a:b] = (j + (((x & np.uint64(0xFFFFFFFF)) * np.uint64(slots - j)) >> np.uint64(32)).astype(np.int64)).astype(np.int32)
+            if perm is not None:
+                rows = np.arange(a, b)
+                slot = perm[rows, k[a:b]].copy()
+                perm[rows, k[a:b]] = perm[a:b, j]
+                perm[a:b, j] = slot
+            else:  # what swaps 0..j-1 left at place k
+                slot = k[a:b].copy()
+                for t in range(j - 1, -1, -1):
+                    p = past[t][a:b]
+                    slot = np.where(slot == p, t, np.where(slot == t, p, slot))
+            value = (np.uint32(j) << np.uint32(_R_BITS)) | (x >> np.uint64(64 - _R_BITS)).astype(np.uint32)
+            np.minimum.at(sig, doc[a:b].astype(np.int64) * slots + slot, value)
+        if perm is None:
             past.append(k)
-        value = (np.uint32(j) << np.uint32(_R_BITS)) | (x >> np.uint64(64 - _R_BITS)).astype(np.uint32)
-        np.minimum.at(sig, doc * slots + slot, value)
         open_ = (sig.reshape(docs, slots) == 0xFFFFFFFF).any(1)
         if not open_.any():
             break
@@ -122,7 +160,7 @@ def band_hashes(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.nda
 
 
 def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_shingles, f1 and f2 (a 128-bit fingerprint of the set), bands and code."""
+    """key, n_shingles, f1 and f2 (a 128-bit digest of the whole sorted set), bands and code."""
     src = docs.select(F.col(key).alias("id"), F.col(text).alias("_text"))
     schema = T.StructType([src.schema["id"], *T.StructType.fromDDL("n_shingles bigint, f1 bigint, f2 bigint, bands array<bigint>, code binary").fields])
 
@@ -135,10 +173,11 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
                 code = mix(sig[:, :CODE].astype(np.uint64)).astype(np.uint8)
                 codes = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(np.arange(0, (b - a + 1) * CODE, CODE, dtype=np.int32)), pa.py_buffer(code.tobytes())])
                 n = np.diff(bounds)
-                sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h + np.uint64(k * int(_G) % 2**64)))]) for k in (1, 2)]
-                f = [(x[bounds[1:]] - x[bounds[:-1]]).view(np.int64) for x in sums]
+                # the whole set, sorted, in a digest without known collisions: equal digests confirm equal sets
+                marks = [hashlib.blake2b(h[x:y], digest_size=16).digest() for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                f = np.frombuffer(b"".join(marks), "<i8").reshape(-1, 2).T
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(bands.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(n), pa.array(f[0]), pa.array(f[1]), lists, codes], names=schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(n), pa.array(f[0].copy()), pa.array(f[1].copy()), lists, codes], names=schema.names)
 
     return src.mapInArrow(run, schema)
 
@@ -341,7 +380,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", t
     more = linked(agreeing(_met(members, codes)), "blocks")
     dropped(spark, member_path)
 
-    # Copies are linked to their class by fingerprint; rows with one id are one node.
+    # Copies are linked to their class by the digest of their sets; rows with one id are one node.
     wide = lambda df: df.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
     copies = found.select("id", "n_shingles", "f1", "f2").join(classes, ["n_shingles", "f1", "f2"]).filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     named = components(spark, wide(copies).unionByName(wide(links)).unionByName(wide(more)))
