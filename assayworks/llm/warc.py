@@ -86,21 +86,76 @@ def response_record(source: object, url: str | None, body: str | None, date: str
     return serialised(headers, http + payload)
 
 
-_GONE = re.compile(r"(?is)<!--.*?-->|<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>|<!doctype[^>]*>")
-_BREAK = re.compile(r"(?i)<\s*/?\s*(?:p|br|div|li|ul|ol|tr|table|h[1-6]|article|section|nav|header|footer|blockquote|pre|title|hr)\b[^>]*>")
-_TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
-_BLANKS = re.compile(r"[ \t\f\v\r ]+")
+#: Elements whose whole content is no text, and elements that begin or end a line.
+HIDDEN = ("script", "style", "noscript", "template")
+BREAKS = frozenset("p br div li ul ol tr table h1 h2 h3 h4 h5 h6 article section nav header footer blockquote pre title hr".split())
+_COMMENT = re.compile("-->")
+_OPEN = re.compile(r"<(?:!--|[!?/a-zA-Z])")
+_NAME = re.compile(r"</?\s*([a-zA-Z][a-zA-Z0-9:-]*)")
+_CLOSE = {n: re.compile(rf"(?i)</{n}\s*>") for n in (*HIDDEN, "title")}
+_BLANKS = re.compile(r"[ \t\f\v\r\u00a0]+")
 _LINES = re.compile(r" ?\n[ \n]*")
-_TITLE = re.compile(r"(?is)<title[^>]*>(.*?)</title")
-_LINK = re.compile(r"""(?is)<a\b[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
+_HREF = re.compile(r"""(?is)\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
 _CHARSET = re.compile(r"(?i)charset=[\"']?([\w-]+)")
 
 
+class Page:
+    """What one pass over a page's markup finds: text (a line for each block), title and links.
+
+    Every search begins where the one before ended, and what was not found once is not looked for again, so time is linear
+    in the page's length whatever its markup. Comments, declarations and hidden elements with their content are no text; a
+    comment or a hidden element that is never closed is a tag like any other, and its content text. A `<` that begins no
+    tag, or is never closed, is text.
+    """
+
+    def __init__(self, page: str):
+        self.title: str | None = None
+        self.links: list[str] = []
+        out, missing, at, n = [], set(), 0, len(page)
+        plain = lambda x: x.replace("\n", " ")  # noqa: E731 - a line break of the source is a blank
+
+        def after(what: re.Pattern, key: str, start: int) -> re.Match | None:
+            got = None if key in missing else what.search(page, start)
+            if got is None:
+                missing.add(key)
+            return got
+
+        while at < n:
+            tag = _OPEN.search(page, at)
+            if tag is None:
+                break
+            s = tag.start()
+            if tag[0] == "<!--" and (end := after(_COMMENT, "-->", s + 4)):
+                out += [plain(page[at:s]), " "]
+                at = end.end()
+                continue
+            e = page.find(">", s)
+            if e < 0:
+                break
+            body = page[s : e + 1]
+            found = _NAME.match(body)
+            name = found[1].lower() if found else ""
+            out.append(plain(page[at:s]))
+            at = e + 1
+            if body[1] == "/" or not found:
+                out.append("\n" if name in BREAKS else "")
+                continue
+            if name == "a" and (href := _HREF.search(body)):
+                self.links.append(html.unescape(href[1].strip("\"'")))
+            if name in HIDDEN and (end := after(_CLOSE[name], name, at)):
+                out.append(" ")
+                at = end.end()
+                continue
+            if name == "title" and self.title is None and (end := after(_CLOSE[name], name, at)):
+                self.title = html.unescape(page[at : end.start()])
+            out.append("\n" if name in BREAKS else "")
+        out.append(plain(page[at:]))
+        self.text = _LINES.sub("\n", _BLANKS.sub(" ", html.unescape("".join(out)))).strip()
+
+
 def text_of(page: str) -> str:
     """The page's text: no markup, scripts or comments; a line for each block."""
-    page = _GONE.sub(" ", page)
-    page = _TAG.sub("", _BREAK.sub("\n", page.replace("\n", " ")))
-    return _LINES.sub("\n", _BLANKS.sub(" ", html.unescape(page))).strip()
+    return Page(page).text
 
 
 def derivatives(record: bytes | None) -> list[tuple[str, Headers, bytes, str, str]]:
@@ -125,20 +180,19 @@ def derivatives(record: bytes | None) -> list[tuple[str, Headers, bytes, str, st
     except LookupError:
         page = payload.decode("utf-8", "replace")
     digest = named.get("warc-payload-digest") or sha1_of(payload)
-    title = _TITLE.search(page)
-    links = [html.unescape(x.strip("\"'")) for x in _LINK.findall(page)]
+    seen = Page(page)
     clean = lambda s: re.sub(r"\s+", " ", s).strip()
     fields = [("source-status", status.decode("utf-8", "replace")), *[(f"source-header-{k.lower()}", v) for k, v in http]]
     fields += [("source-payload-digest", digest), ("source-block-digest", named.get("warc-block-digest") or sha1_of(block))]
-    fields += [("title", clean(html.unescape(title[1])))] if title else []
-    fields += [("outlink", clean(x)) for x in links]
+    fields += [("title", clean(seen.title))] if seen.title is not None else []
+    fields += [("outlink", clean(x)) for x in seen.links]
     meta = "".join(f"{k}: {v}{CRLF}" for k, v in fields).encode("utf-8", "replace")
     shared = [("WARC-Target-URI", named["warc-target-uri"])] if "warc-target-uri" in named else []
     shared += [("WARC-Date", named.get("warc-date", DATE)), ("WARC-Refers-To", source)]
     ids = {k: record_id(k, source) for k in ("metadata", "conversion")}
     out = []
-    for k, other, content, body in (("metadata", "conversion", "application/warc-fields", meta), ("conversion", "metadata", "text/plain; charset=utf-8", text_of(page).encode("utf-8", "replace"))):
-        h = [("WARC-Type", k), ("WARC-Record-ID", ids[k]), *shared, ("WARC-Concurrent-To", ids[other]), ("WARC-Source-Payload-Digest", digest), ("WARC-Payload-Digest", sha1_of(body)), ("Content-Type", content)]
+    for k, content, body in (("metadata", "application/warc-fields", meta), ("conversion", "text/plain; charset=utf-8", seen.text.encode("utf-8", "replace"))):
+        h = [("WARC-Type", k), ("WARC-Record-ID", ids[k]), *shared, ("WARC-Source-Payload-Digest", digest), ("WARC-Payload-Digest", sha1_of(body)), ("Content-Type", content)]
         out.append((k, h, body, source, digest))
     return out
 
