@@ -8,9 +8,11 @@ For a unigram model the state is Viterbi's: the piece with the highest sum of sc
 do not give the model's own segmentation, so there the state is the one last piece that the merges give this prefix: of the
 pieces that end there, the one that stays apart from the last piece before it when the two are merged alone. Both are exact.
 
-Characters without a piece become their bytes' pieces. Defined results: null and empty texts have no ids; repeated rows are
-encoded one by one; a word of any length takes time linear in its length; an empty table gives an empty table. U+2581 in a
-text is white space to the model and is decoded as a blank.
+Characters without a piece become their bytes' pieces, or, where the model has none, one unknown piece for each run of them
+in a word. Defined results: null and empty texts have no ids; repeated rows are encoded one by one; of sums that are equal the
+one whose last piece is longest wins; a text longer than a slice is encoded in parts cut before blanks; a word of any length
+is encoded whole, in time and memory linear in its length; an empty table gives an empty table; other columns are not looked
+at. U+2581 in a text is white space to the model and is decoded as a blank.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from .common import text_bytes
 from .tokens import Encoder, encoded
 
 MARK = "▁"
@@ -83,8 +86,10 @@ class Model:
         self.byte_ids = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if self.kinds[i] == BYTE}
         self.unknown = self.kinds.index(UNKNOWN)
         self.floor = min(self.scores) - 10.0  # what a character without a piece scores
+        self.has_bytes = len(self.byte_ids) == 256
         self.raw = [bytes([int(p[3:5], 16)]) if k == BYTE else b" \xe2\x81\x87 " if k == UNKNOWN else p.replace(MARK, " ").encode() if k in (NORMAL, USER) else b"" for p, k in zip(self.pieces, self.kinds, strict=True)]
         self._apart: dict[tuple[str, str], bool] = {}
+        self._flat: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
     def merged(self, text: str) -> list[str]:
         """The merge model's pieces of a short text, merge by merge: the highest score first, the leftmost of equals."""
@@ -147,14 +152,61 @@ class Model:
                 return 0.0, start, piece
         return 0.0, end - 1, word[end - 1]
 
-    def ids(self, piece: str) -> list[int]:
-        k = self.index.get(piece)
-        return [k] if k is not None else [self.byte_ids.get(b, self.unknown) for b in piece.encode()]
+    def ids(self, parts: list[str]) -> list[int]:
+        """The ids of a word's pieces."""
+        out: list[int] = []
+        for piece in parts:
+            k = self.index.get(piece)
+            if k is not None:
+                out.append(k)
+            elif self.has_bytes:
+                out += [self.byte_ids[b] for b in piece.encode()]
+            elif out[-1:] != [self.unknown]:
+                out.append(self.unknown)
+        return out
 
     def decode(self, ids: list[int]) -> str:
         raw = b"".join([self.raw[i] for i in ids])
         return (raw[1:] if self.dummy_prefix and raw[:1] == b" " else raw).decode("utf-8", "replace")
 
+    def spells(self, ids: np.ndarray, off: np.ndarray, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Whether each text's ids decode to its marked bytes. off, ends: the texts' offsets among ids and bytes."""
+        if self._flat is None:
+            n = np.array([len(r) for r in self.raw], np.int64)
+            self._flat = np.frombuffer(b"".join(self.raw), np.uint8), np.cumsum(n) - n, n
+        flat, at, n = self._flat
+        right = np.zeros(len(off) - 1, bool)
+        for i in range(len(right)) if len(ids) > 1 << 20 else ():  # long texts one by one, in runs of ids
+            x, e, ok = off[i], ends[i], True
+            while ok and x < off[i + 1]:
+                run = ids[x : min(x + (1 << 17), off[i + 1])]
+                made = self._bytes(run)
+                ok = np.array_equal(made, data[e : min(e + len(made), ends[i + 1])])
+                x, e = x + len(run), e + len(made)
+            right[i] = ok and e == ends[i + 1]
+        if len(ids) > 1 << 20:
+            return right
+        places = np.concatenate([[0], np.cumsum(n[ids])])[off]
+        same = np.diff(places) == np.diff(ends)
+        made = self._bytes(ids)
+        if same.all():
+            right[:] = True
+            right[np.searchsorted(ends, np.flatnonzero(made != data), "right") - 1] = False
+            return right
+        return np.array([bool(ok) and np.array_equal(made[places[i] : places[i + 1]], data[ends[i] : ends[i + 1]]) for i, ok in enumerate(same)])
+
+    def _bytes(self, ids: np.ndarray) -> np.ndarray:
+        flat, at, n = self._flat
+        size = n[ids]
+        made = np.cumsum(size)
+        return flat[np.repeat(at[ids] - (made - size), size) + np.arange(made[-1] if len(made) else 0)]
+
+
+def marked_places(data: np.ndarray) -> np.ndarray:
+    """Where a text may be cut between marked words."""
+    blank = data == 0x20
+    return np.flatnonzero(blank[1:] & ~blank[:-1]) + 1
+
 
 def marked_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Byte spans of runs of blanks with what follows them, and their offsets by text."""
@@ -175,13 +227,14 @@ class PieceEncoder(Encoder):
         self.forget()
 
     cut = staticmethod(marked_words)
+    places = staticmethod(marked_places)
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         words = [t.replace(" ", MARK) for t in texts]
         order = sorted(range(len(words)), key=words.__getitem__)
         out: list = [None] * len(words)
         for i, parts in zip(order, self.model.segmented([words[i] for i in order]), strict=True):
-            out[i] = [k for p in parts for k in self.model.ids(p)]
+            out[i] = self.model.ids(parts)
         return out
 
     def marked(self, texts: pa.Array) -> pa.Array:
@@ -212,14 +265,13 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
-            for a, b, ids, off in enc.encode(batch.column("_text")):
+            marked = enc.marked(batch.column("_text"))
+            ends, data = text_bytes(marked)
+            for a, b, ids, off in encoded(enc, marked):
                 raw = ids.astype("<u4")
-                cuts = list(zip(off[:-1].tolist(), off[1:].tolist(), strict=True))
-                crc = [zlib.crc32(raw[x:y].tobytes()) for x, y in cuts]
+                crc = [zlib.crc32(raw[x:y]) for x, y in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
                 if check:
-                    texts = batch.column("_text").slice(a, b - a).to_pylist()
-                    flat = ids.tolist()
-                    got = pa.array([enc.model.decode(flat[x:y]) == (t or "").replace(MARK, " ") for (x, y), t in zip(cuts, texts, strict=True)])
+                    got = pa.array(enc.model.spells(ids, off, data[ends[a] : ends[b]], ends[a : b + 1] - ends[a]))
                 else:
                     got = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(key).slice(a, b - a), pa.array(np.diff(off)), pa.array(crc, pa.int64()), got], names=schema.names)
