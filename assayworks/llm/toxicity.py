@@ -7,11 +7,17 @@ toxic documents. The field has two states; its weights are fitted to the labelle
 each whole document gives marginals: tokens above a half are the offending offsets, and the document's score is a logistic
 function, fitted to the sample's labels, of the log odds of any toxic token, the expected number of them and the length.
 
-Bounds: at most MAX_TOXIC toxic and MAX_CLEAN clean training rows, chosen by a hash of doc_id, are fitted on, on the
-driver. Everything else covers all rows. Rows with crc32(doc_id) mod 3 = 1 are held out and never fitted on.
-
-Defined results: null and empty texts are scored as empty documents; repeated rows are scored one by one; without a toxic
-and a clean training label the score is the share of toxic labels (0 without any); an empty table gives an empty table.
+Bounds of the fit, which is on the driver: at most MAX_TOXIC toxic and MAX_CLEAN clean training documents, in the order of a
+hash of doc_id, and of each no more than TOXIC_BYTES and CLEAN_BYTES; one text of each doc_id; MAX_FEATURES features; all
+windows round labelled tokens and UNLABELLED_SHARE of those round others, but MAX_WINDOWS of either at most, drawn by a hash
+evenly from all training documents. Everything else covers all rows. Rows with crc32(doc_id) mod 3 = 1 are held out and
+never fitted on.
+
+Defined results: null and empty texts are scored as empty documents; repeated rows are scored one by one; of training rows
+with one doc_id and several texts, one text by its hash is fitted on; without a toxic and a clean training label the score is
+the share of toxic labels (0 without any); a text of any length is scored whole, in parts, so that only its tokens with
+features are held at once; of equally good features or rows the order of hashes decides; an empty table gives an empty table;
+other columns are carried only when asked for, and may not be named like an output.
 """
 
 from __future__ import annotations
@@ -21,19 +27,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SLICE_BYTES, lowered, span_hashes, text_slices
+from .common import SLICE_BYTES, dropped, lowered, mix, span_hashes, text_parts, text_slices, written
 
 MAX_TOXIC, MAX_CLEAN = 3000, 9000
+TOXIC_BYTES, CLEAN_BYTES = 16 << 20, 48 << 20
 #: Features kept: so strongly, and in so many toxic documents of the sample.
 MIN_LIFT, MIN_TOXIC_DOCS, MAX_FEATURES = 2.0, 3, 50_000
 #: A token is labelled toxic by a feature of this precision and log-likelihood gain over the base rate.
 LABEL_PRECISION, LABEL_GAIN = 0.9, 12.0
 PREFIXES = (3, 4, 5, 6, 7, 8)
 WINDOW = 8
+UNLABELLED_SHARE, MAX_WINDOWS = 0.25, 200_000
 #: Windows whose gradients are computed at once; all of them are summed in every round.
 FIT_ROWS = 60_000
 THRESHOLD = 0.7
@@ -64,6 +72,12 @@ def token_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return s, np.flatnonzero(ends), np.searchsorted(s, off)
 
 
+def token_places(data: np.ndarray) -> np.ndarray:
+    """Where a text may be cut between tokens."""
+    token = _TOKEN[data]
+    return np.flatnonzero(~token[1:] & token[:-1]) + 1
+
+
 def lead(data: np.ndarray, s: np.ndarray) -> np.ndarray:
     """The first three bytes of tokens of three bytes and more."""
     return (data[s].astype(np.int32) << 16) | (data[s + 1].astype(np.int32) << 8) | data[s + 2]
@@ -192,10 +206,26 @@ def _doc_features(post: np.ndarray, z: np.ndarray, doc_off: np.ndarray, lengths:
     return np.stack([np.ones(len(z)), odds, np.log1p(expected), np.log1p(lengths)], 1)
 
 
+def _found(model: Model, data: np.ndarray, off: np.ndarray):
+    """Events as spans in code points of their document, and their features; long texts in parts."""
+    whole = len(off) == 2 and len(data) > 2 * SLICE_BYTES
+    got, tokens, chars = [], 0, 0
+    for part in text_parts(data, token_places) if whole else [data]:
+        part = folded(part)
+        s, e, place, feats, doc_off, lengths = events(model, part, np.array([0, len(part)]) if whole else off)
+        n = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80, dtype=np.int64)])
+        base = 0 if whole else n[np.repeat(off[:-1], np.diff(doc_off))]
+        got.append((n[s] - base + chars, n[e] - base + chars, place + tokens, feats))
+        if not whole:
+            return *got[0], doc_off, lengths
+        tokens, chars = tokens + int(lengths[0]), chars + int(n[-1])
+    s, e, place, feats = (np.concatenate(x) for x in zip(*got, strict=True))
+    return s, e, place, feats, np.array([0, len(s)]), np.array([tokens])
+
+
 def scored(model: Model, data: np.ndarray, off: np.ndarray):
-    """Scores of the documents, and the offending tokens as (document, start byte, end byte, marginal)."""
-    data = folded(data)
-    s, e, place, feats, doc_off, lengths = events(model, data, off)
+    """Scores of the documents, and the offending tokens as documents, first and end code points, and marginals."""
+    s, e, place, feats, doc_off, lengths = _found(model, data, off)
     emit = np.append(0.0, model.weights)[feats].sum(1)
     post, z = marginals(_gaps(place, doc_off), emit, doc_off, lengths, model.trans)
     x = _doc_features(post, z, doc_off, lengths)
@@ -317,18 +347,22 @@ def fit(texts: pa.Array, labels: np.ndarray) -> Model:
     strong = np.append(False, ((precision >= LABEL_PRECISION) & (gain >= LABEL_GAIN))[kept])
     model = Model(keys, np.zeros(len(keys)), np.ones(1 << 24, bool), empty.trans, np.zeros(4), -1.0)
     leads = np.zeros(1 << 24, bool)
-    windows_f, windows_y, windows_m = [], [], []
-    kept_slices = []
-    rng = np.random.Generator(np.random.PCG64(7))
+    kept_slices, counts = [], np.zeros(2)
     for a, b, data, off in text_slices(texts, SLICE_BYTES):
         data = folded(data)
         s, e, place, feats, doc_off, lengths = events(model, data, off)
         leads[lead(data, s)] = True
-        kept_slices.append((feats.astype(np.int32), place, doc_off, lengths))
         doc = np.repeat(np.arange(b - a), np.diff(doc_off))
         label = strong[feats].any(1) & y[a:b][doc]
+        kept_slices.append((feats.astype(np.int32), place, doc_off, lengths, label, a))
+        counts += [(~label).sum(), label.sum()]
+    share = np.minimum([UNLABELLED_SHARE, 1.0], MAX_WINDOWS / np.maximum(counts, 1))
+    windows_f, windows_y, windows_m = [], [], []
+    for feats, place, doc_off, lengths, label, a in kept_slices:
+        doc = np.repeat(np.arange(len(lengths)), np.diff(doc_off))
         # windows round events; the tokens without features between them are features 0, label 0
-        pick = np.flatnonzero(label | (rng.random(len(label)) < 0.25))
+        drawn = mix((doc + a).astype(np.uint64) << np.uint64(32) | place.astype(np.uint64)).astype(np.float64) / 2.0**64
+        pick = np.flatnonzero(drawn < share[label.astype(int)])
         if len(pick) == 0:
             continue
         size = 2 * WINDOW + 1
@@ -353,7 +387,7 @@ def fit(texts: pa.Array, labels: np.ndarray) -> Model:
     f, t, m = (np.concatenate(x) for x in (windows_f, windows_y, windows_m))
     w, trans = _fit_chain(f, t, m, len(keys))
     x = []
-    for feats, place, doc_off, lengths in kept_slices:
+    for feats, place, doc_off, lengths, _, _ in kept_slices:
         post, z = marginals(_gaps(place, doc_off), np.append(0.0, w)[feats].sum(1), doc_off, lengths, trans)
         x.append(_doc_features(post, z, doc_off, lengths))
     return Model(keys, w, leads, trans, _fit_logit(np.concatenate(x), y.astype(float)), -1.0)
@@ -363,24 +397,32 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def trained(docs: DataFrame, labels: DataFrame, text: str = "text", most: tuple[int, int] = (MAX_TOXIC, MAX_CLEAN)) -> Model:
-    """A model fitted to labelled rows that are not held out; of each label, the bounded sample with the smallest hashes."""
+def trained(docs: DataFrame, labels: DataFrame, text: str = "text", most: tuple[int, int] = (MAX_TOXIC, MAX_CLEAN), most_bytes: tuple[int, int] = (TOXIC_BYTES, CLEAN_BYTES)) -> Model:
+    """A model fitted to labelled documents that are not held out; of each label, the bounded sample with the smallest hashes."""
+    spark = docs.sparkSession
     l = labels.filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("y"))
     l = l.withColumn("h", F.xxhash64("doc_id"))
     sample = None
     for value, n in ((1, most[0]), (0, most[1])):
         part = l.filter(F.col("y") == value).orderBy("h", "doc_id").limit(n)
         sample = part if sample is None else sample.unionByName(part)
-    # At most the sum of the bounds: the broadcast and what comes to the driver do not grow with the data.
-    got = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("_t")).join(F.broadcast(sample.select("doc_id", "y")), "doc_id").toArrow()
-    order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
-    got = got.take(pa.array(order))
+    # At most the sum of the bounds: the broadcast, the table and what comes to the driver do not grow with the data.
+    texts = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("_t")).join(F.broadcast(sample), "doc_id")
+    texts = texts.groupBy("doc_id", "y", "h").agg(F.min_by("_t", F.struct(F.xxhash64("_t"), F.octet_length("_t"))).alias("_t"))
+    texts, path = written(spark, texts, "fitted")
+    so_far = F.sum(F.octet_length("_t").cast("long")).over(Window.partitionBy("y").orderBy("h", "doc_id"))
+    fits = texts.select("doc_id", "y", so_far.alias("n")).filter(F.col("n") <= F.when(F.col("y") == 1, most_bytes[0]).otherwise(most_bytes[1])).select("doc_id")
+    got = texts.join(F.broadcast(fits), "doc_id").select("doc_id", "y", "_t").toArrow()
+    dropped(spark, path)
+    got = got.take(pa.array(np.argsort(got.column("doc_id").to_numpy(), kind="stable")))
     return fit(got.column("_t").combine_chunks() if got.num_rows else pa.array([], pa.string()), got.column("y").to_numpy())
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: Iterable[str] = ("doc_id",)) -> DataFrame:
-    """keep + score, n_toxic and the offending offsets (code points, end exclusive, with their marginals)."""
+    """keep + score and toxic_spans, the offending offsets (code points, end exclusive, with their marginals)."""
     keep = list(keep)
+    if clash := {"score", "toxic_spans"} & set(keep):
+        raise ValueError(f"columns named like an output: {sorted(clash)}")
     src = docs.select(*keep, docs[text].alias("_text"))
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("p", T.DoubleType())])
     schema = T.StructType([*src.select(*keep).schema.fields, T.StructField("score", T.DoubleType()), T.StructField("toxic_spans", T.ArrayType(span))])
@@ -394,9 +436,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: Iterable[str]
         for batch in batches:
             for a, b, data, off in text_slices(batch.column("_text")):
                 scores, doc, s, e, p = scored(m, data, off)
-                chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-                base = chars[off[doc]] if len(doc) else doc
-                spans = pa.StructArray.from_arrays([pa.array(chars[s] - base, pa.int64()), pa.array(chars[e] - base, pa.int64()), pa.array(p)], names=["start", "end", "p"])
+                spans = pa.StructArray.from_arrays([pa.array(s, pa.int64()), pa.array(e, pa.int64()), pa.array(p)], names=["start", "end", "p"])
                 at = np.searchsorted(doc, np.arange(b - a + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(at), spans).cast(kind)
                 part = batch.slice(a, b - a)
