@@ -4,7 +4,7 @@ Words are `[^\\x20\\x09-\\x0D]+`; all counts are over the whole text.
 
 Defined results: a null or empty text has no words, so all counts are 0 and base_failed is true; repeated rows are judged
 one by one; very long texts go through the same expressions; an empty table gives an empty table. Columns of the input
-that clash with those made here are not carried, only those asked for.
+that clash with those made here are not carried, only those asked for, which may not be named like an output.
 """
 
 from __future__ import annotations
@@ -41,6 +41,7 @@ THRESHOLDS = (
     Threshold("repeated_words", "n_repeat_words", "n_words", None, 0.50),
 )
 MIN_WORDS = 50
+OUTPUTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_word_lines", "n_stop_words", "base_failed", "missed", "kept")
 
 
 def counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -93,11 +94,13 @@ def compiled(thresholds: Iterable[Threshold] = THRESHOLDS) -> Column:
 def quality(docs: DataFrame, text: str = "text", keep: Iterable[str] = ("doc_id",), thresholds: Iterable[Threshold] = THRESHOLDS) -> DataFrame:
     """keep + counts, base_failed, the missed thresholds and the verdict."""
     keep = list(keep)
+    if clash := set(OUTPUTS) & set(keep):
+        raise ValueError(f"columns named like an output: {sorted(clash)}")
     df = counts(docs.select(*keep, *([] if text in keep else [text])), text)
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     df = df.withColumns({"base_failed": base, "missed": compiled(thresholds)})
     df = df.withColumn("kept", ~F.col("base_failed") & (F.size("missed") == 0) & (F.col("_fence") >= 0))
-    return df.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_word_lines", "n_stop_words", "base_failed", "missed", "kept")
+    return df.select(*keep, *OUTPUTS)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
