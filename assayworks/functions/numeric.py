@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import let
-
 # Texts that say no number was found.
 NARRATIVE = ("bdl", "nd", "non-detect", "nondetect", "trace", "not detected", "below detection", "below quantitation", "bql", "lod", "loq")
 QUALIFIER = r"^\s*(<=|>=|<|>|~|=)\s*(.*)"
@@ -21,19 +19,29 @@ def as_number(c: Column) -> Column:
     return F.when(c.rlike(PLAIN), F.trim(c).try_cast("double"))
 
 
-def _spelled(c: Column) -> Column:
+def _where(holds: Column, made: Column, c: Column) -> Column:
+    """made where the cheap test holds: a pattern is run only on values that can match."""
+    return F.when(holds, made).otherwise(c)
+
+
+def spelled(c: Column) -> Column:
     """Signs, powers of ten, thousands commas and white space in one spelling."""
     c = F.replace(F.replace(c, F.lit("≥"), F.lit(">=")), F.lit("≤"), F.lit("<="))
-    c = F.regexp_replace(c, r"[xX]10\^", "e")
-    for _ in range(3):
-        c = F.regexp_replace(c, r"(\d),(\d)", "$1$2")
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    c = F.regexp_replace(c, r"[xX]10\^|\s+|(?<=\d),(?=\d)", "\u0001$0")
+    # what was found is marked, then named by its first character
+    c = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "\u0001[xX]10\\^", "e"), "\u0001\\s+", " "), "\u0001,", "")
+    return F.trim(c)
+
+
+def _spelled(c: Column) -> Column:
+    """spelled, at the cost of one search where there is nothing to change."""
+    return _where(c.rlike(r"[≥≤\s,^]"), spelled(c), c)
 
 
 def normalized(c: Column) -> Column:
     """As spelled, and with an exponent sign alone (4.56+02) made a full exponent."""
-    fortran = F.regexp_replace(F.regexp_replace(F.replace(F.replace(c, F.lit("≥"), F.lit(">=")), F.lit("≤"), F.lit("<=")), r"[xX]10\^", "e"), r"(\d)([+-])(\d+)$", "$1e$2$3")
-    return _spelled(F.when(~c.rlike(r"[eE]|[xX]10\^"), fortran).otherwise(c))
+    alone = c.rlike(r"\d[+-]\d+$") & ~c.rlike(r"[eE]|[xX]10\^")
+    return _spelled(_where(alone, F.regexp_replace(c, r"(\d)([+-])(\d+)$", "$1e$2$3"), c))
 
 
 def qualifier(c: Column) -> Column:
@@ -49,28 +57,35 @@ def is_narrative(c: Column) -> Column:
     return t.isNull() | (t == "") | F.lower(t).isin(*NARRATIVE)
 
 
-def range_of(c: Column) -> Column:
-    """A struct of lo and hi for an unqualified range, else of nulls; lo may exceed hi. Seen before exponent signs are completed."""
+def _range(s: Column) -> Column:
+    """lo and hi of a spelled value, or null."""
+    is_range = s.contains("-") & ~s.rlike(r"^\s*[<>~=]") & s.rlike(RANGE) & ~(~s.rlike("[eE]") & s.rlike(FORTRAN))
+    return F.when(is_range, F.struct(as_number(F.regexp_extract(s, RANGE, 1)).alias("lo"), as_number(F.regexp_extract(s, RANGE, 2)).alias("hi")))
 
-    def found(s: Column) -> Column:
-        is_range = (qualifier(s) == "") & ~(~s.rlike("[eE]") & s.rlike(FORTRAN)) & s.rlike(RANGE)
-        return F.when(is_range, F.struct(as_number(F.regexp_extract(s, RANGE, 1)).alias("lo"), as_number(F.regexp_extract(s, RANGE, 2)).alias("hi")))
 
-    return let(_spelled(c), found)
+def range_of(c: Column) -> Column:
+    """A struct of lo and hi for an unqualified range, else null; lo may exceed hi. Seen before exponent signs are completed."""
+    return _range(_spelled(c))
 
 
 def parsed(df: DataFrame, value: str) -> DataFrame:
-    """df + orig_result, numeric_value, qualifier, range_bin, parse_flag: a row for each value, three for a range."""
+    """df + orig_result, numeric_value, qualifier, range_bin, parse_flag: a row for each value, three for a range.
+
+    Each step is a projection of its own, so every pattern is searched once for a value.
+    """
     raw = F.col(value).cast("string")
-    split = let(normalized(raw), lambda n: F.struct(F.coalesce(qualifier(n), F.lit("")).alias("q"), remainder(n).alias("rest")))
-    df = df.withColumns({"orig_result": raw, "_range": range_of(raw), "_n": split})
-    lo, hi, rest = F.col("_range.lo"), F.col("_range.hi"), F.col("_n.rest")
-    number = let(rest, lambda r: F.when(~is_narrative(r), as_number(r)))
-    df = df.withColumns({"_number": number, "_narrative": is_narrative(rest)})
+    df = df.withColumns({"orig_result": raw, "_s": _spelled(raw), "_n": normalized(raw)})
+    df = df.withColumns({"_range": _range(F.col("_s")), "_q": F.when(F.col("_n").rlike(r"^\s*[<>~=]"), qualifier(F.col("_n"))).otherwise("")})
+    rest = F.when(F.col("_q") != "", F.ltrim(F.substring(F.ltrim("_n"), F.length("_q") + 1, F.length("_n")))).otherwise(F.col("_n"))
+    df = df.withColumn("_rest", rest)
+    df = df.withColumn("_narrative", is_narrative(F.col("_rest")))
+    df = df.withColumns({"_number": F.when(~F.col("_narrative"), as_number(F.col("_rest"))), "_q": F.coalesce("_q", F.lit(""))})
+    lo, hi = F.col("_range.lo"), F.col("_range.hi")
     flag = F.when(F.col("_narrative"), "narrative").when(F.col("_number").isNull(), "unparseable").otherwise("")
     row = lambda v, q, b, f: F.struct(v.alias("numeric_value"), q.alias("qualifier"), F.lit(b).alias("range_bin"), f.alias("parse_flag"))
     none = F.lit("")
     bins = F.array(row(lo, F.lit(">="), "low", none), row((lo + hi) / 2, F.lit("~"), "mid", none), row(hi, F.lit("<="), "high", none))
-    one = F.array(row(F.col("_number"), F.col("_n.q"), "as_is", flag))
+    one = F.array(row(F.col("_number"), F.col("_q"), "as_is", flag))
     df = df.withColumn("_rows", F.when(lo.isNotNull() & hi.isNotNull(), bins).otherwise(one))
-    return df.select(*[c for c in df.columns if c not in ("_range", "_n", "_number", "_narrative", "_rows")], F.inline("_rows"))
+    own = ("_s", "_n", "_range", "_q", "_rest", "_number", "_narrative", "_rows")
+    return df.select(*[c for c in df.columns if c not in own], F.inline("_rows"))

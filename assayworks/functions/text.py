@@ -42,21 +42,25 @@ UNICODE = unicode_map()
 NON_ASCII = r"[^\x00-\x7F]"
 
 
+def _class(chars) -> str:
+    return "[" + "".join(f"\\x{{{ord(c):X}}}" for c in chars) + "]"
+
+
 def clean_unicode(c: Column) -> Column:
-    """Mapped code points to ASCII; all others stay. One translate for those of one character, a replace for each other."""
+    """Mapped code points to ASCII; all others stay.
+
+    One translate for code points that become one character or none. Only a value that holds one of the others is cut round
+    them, and each part that is such a code point is looked up.
+    """
     one = {k: v for k, v in UNICODE.items() if len(v) == 1 and ord(k) < 0x10000}
     gone = [k for k, v in UNICODE.items() if v == ""]
     many = {k: v for k, v in UNICODE.items() if k not in one and v}
-    out = F.translate(c, "".join([*one, *gone]), "".join(one.values()))
+    out = F.when(c.rlike(NON_ASCII), F.translate(c, "".join([*one, *gone]), "".join(one.values()))).otherwise(c)
     names = F.create_map(*[F.lit(x) for kv in many.items() for x in kv])
-    # Only a value that still holds such a character is taken apart.
-    taken = F.array_join(F.transform(F.split(out, ""), lambda x: F.when(x.rlike(NON_ASCII), F.coalesce(F.try_element_at(names, x), x)).otherwise(x)), "")
-    return F.when(out.rlike(NON_ASCII), taken).otherwise(out)
-
-
-def let(value: Column, use) -> Column:
-    """use(value), with value evaluated once however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    near, far = (_class(k for k in many if (ord(k) < 0x10000) == low) for low in (True, False))
+    named = lambda parts: F.array_join(F.transform(parts, lambda x: F.when(F.length(x) == 1, F.coalesce(F.try_element_at(names, x), x)).otherwise(x)), "")
+    # look-arounds do not see code points of two Java characters; a value with one of these is cut everywhere
+    return F.when(c.rlike(far), named(F.split(out, ""))).when(c.rlike(near), named(F.split(out, f"(?<={near})|(?={near})"))).otherwise(out)
 
 
 def fenced(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAP_SCHEMA = "from_unit string, to_unit string, multiplier double, category string, confidence string, source string"
@@ -16,32 +16,42 @@ MOLARITY = {"m": 1000.0, "mol/l": 1000.0, "mm": 1.0, "mmol/l": 1.0, "um": 1e-3,
 # The smallest table that works, and hours for one unit of duration.
 BASE_MAP = (("mg/L", "mg/L", 1.0), ("ug/L", "mg/L", 0.001), ("ppb", "mg/L", 0.001), ("ppm", "mg/L", 1.0))
 DURATION_MAP = (("hr", "hr", 1.0), ("h", "hr", 1.0), ("hour", "hr", 1.0), ("d", "hr", 24.0), ("day", "hr", 24.0), ("wk", "hr", 168.0), ("week", "hr", 168.0), ("mo", "hr", 730.5), ("month", "hr", 730.5), ("yr", "hr", 8766.0), ("year", "hr", 8766.0), ("min", "hr", 1 / 60), ("minute", "hr", 1 / 60), ("s", "hr", 1 / 3600), ("sec", "hr", 1 / 3600))
-_PCI, _BQ = {"p": 1.0, "n": 1e3, "u": 1e6, "µ": 1e6, "m": 1e9, "": 1e12}, {"": 27.027027027027, "m": 0.027027027027027, "u": 0.000027027027027, "µ": 0.000027027027027, "k": 27027.027027027}
+# Activities of a volume in pCi/L, and activities in pCi.
+RADIOACTIVITY_CONCENTRATION = (
+    ("pCi/L", 1.0), ("pCi/l", 1.0), ("pCi per L", 1.0), ("pCi per liter", 1.0), ("pCi per litre", 1.0), ("picocurie/L", 1.0), ("picocuries/L", 1.0), ("picocurie/liter", 1.0), ("picocuries/liter", 1.0),
+    ("picocurie per liter", 1.0), ("picocuries per liter", 1.0), ("picocurie per litre", 1.0), ("picocuries per litre", 1.0), ("nCi/L", 1e3), ("uCi/L", 1e6), ("µCi/L", 1e6), ("mCi/L", 1e9), ("Ci/L", 1e12),
+    ("Bq/L", 27.027027027027), ("Bq/l", 27.027027027027), ("Bq per L", 27.027027027027), ("Bq per liter", 27.027027027027), ("Bq per litre", 27.027027027027),
+    ("mBq/L", 0.027027027027027), ("mBq per L", 0.027027027027027), ("mBq per liter", 0.027027027027027), ("mBq per litre", 0.027027027027027),
+    ("uBq/L", 0.000027027027027), ("uBq per L", 0.000027027027027), ("uBq per liter", 0.000027027027027), ("uBq per litre", 0.000027027027027),
+    ("µBq/L", 0.000027027027027), ("µBq per L", 0.000027027027027), ("µBq per liter", 0.000027027027027), ("µBq per litre", 0.000027027027027),
+    ("kBq/L", 27027.027027027), ("kBq per L", 27027.027027027), ("kBq per liter", 27027.027027027), ("kBq per litre", 27027.027027027),
+)
+RADIOACTIVITY = (
+    ("pCi", 1.0), ("picocurie", 1.0), ("picocuries", 1.0), ("nCi", 1e3), ("uCi", 1e6), ("µCi", 1e6), ("mCi", 1e9), ("Ci", 1e12),
+    ("Bq", 27.027027027027), ("mBq", 0.027027027027027), ("uBq", 0.000027027027027), ("µBq", 0.000027027027027), ("kBq", 27027.027027027),
+)
+#: Units that only name what they count, for a library of units that has none of them.
+COUNTED = ("NTU", "FTU", "JTU", "CFU", "MPN")
 
 
 def radiological_rows() -> list[tuple]:
-    """Activities and activity concentrations in picocuries, from the two units and their prefixes."""
-    liter = ("/L", "/l", " per L", " per liter", " per litre")
-    long = [f"picocurie{s}{x}" for s in ("", "s") for x in ("/L", "/liter", " per liter", " per litre")]
-    conc = [(f"pCi{x}", 1.0) for x in liter] + [(x, 1.0) for x in long if x != "picocurie/litre"] + [(f"{p}Ci/L", m) for p, m in _PCI.items() if p != "p"]
-    conc += [(f"{p}Bq{x}", m) for p, m in _BQ.items() for x in liter if x != "/l" or p == ""]
-    act = [("picocurie", 1.0), ("picocuries", 1.0)] + [(f"{p}Ci", m) for p, m in _PCI.items()] + [(f"{p}Bq", m) for p, m in _BQ.items()]
-    row = lambda to, cat: lambda x: (x[0], to, x[1], cat, "HIGH", "radiological")
-    return [*map(row("pCi/L", "radioactivity_concentration"), conc), *map(row("pCi", "radioactivity"), act)]
+    """Activities and activity concentrations, as rows of the unit table."""
+    conc = [(u, "pCi/L", m, "radioactivity_concentration", "HIGH", "radiological") for u, m in RADIOACTIVITY_CONCENTRATION]
+    return conc + [(u, "pCi", m, "radioactivity", "HIGH", "radiological") for u, m in RADIOACTIVITY]
 
 
 def unit_map(spark: SparkSession, base: DataFrame | None = None, durations: bool = False) -> DataFrame:
-    """The radiological rows, then those of base (or the smallest table) that they do not cover; with a running number."""
+    """The radiological rows, then those of base (or the smallest table) that they do not cover; ord is their order."""
     own = radiological_rows()
     covered = {r[0].lower() for r in own}
     rows = own + ([(f, t, m, "concentration", "HIGH", "fallback") for f, t, m in BASE_MAP] if base is None else [])
     rows += [(f, t, m, "duration", "HIGH", "fallback") for f, t, m in DURATION_MAP] if durations else []
-    got = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "ord int, " + MAP_SCHEMA)
+    got = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "ord long, " + MAP_SCHEMA)
     if base is None:
         return got
     base = base.filter(~F.lower("from_unit").isin(*covered) | F.col("from_unit").isNull())
-    order = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("_at")) + len(rows)
-    return got.unionByName(base.withColumn("_at", F.monotonically_increasing_id()).withColumn("ord", order).select("ord", "from_unit", "to_unit", "multiplier", "category", "confidence", "source"))
+    order = F.col("ord").cast("long") if "ord" in base.columns else F.monotonically_increasing_id()
+    return got.unionByName(base.withColumn("ord", order + len(rows)).select("ord", "from_unit", "to_unit", "multiplier", "category", "confidence", "source"))
 
 
 def normalized(c: Column) -> Column:
@@ -85,31 +95,54 @@ def _first_by(table: DataFrame, key: Column, prefix: str) -> DataFrame:
     return best.select(f"{prefix}_key", F.col("m.to_unit").alias(f"{prefix}_unit"), F.col("m.multiplier").alias(f"{prefix}_by"))
 
 
-def harmonized(df: DataFrame, table: DataFrame, value: str, unit: str, media: str | None = None, weight: str | None = None, category: str | None = None, synonyms=SYNONYMS, patterns=()) -> DataFrame:
+OUTPUTS = ("orig_unit", "harmonized_value", "harmonized_unit", "conversion_factor", "unit_flag")
+
+
+def _resolved(df: DataFrame, table: DataFrame, unit: Column, media: Column, weighed: Column, synonyms, patterns, hint) -> DataFrame:
+    """df + _unit, _factor, _flag and _mol, by unit, medium and whether there is a weight; a weight's factor is for one."""
+    df = df.withColumns({"_h_raw": unit, "_h_n": normalized(unit), "_h_m": media, "_h_weighed": weighed})
+    df = df.withColumns({"_h_mol": is_molarity(F.col("_h_n")), "_h_u": synonymous(F.col("_h_n"), synonyms, patterns)})
+    df = df.withColumns({"_h_key": F.when(F.lower("_h_u").isin("ppb", "ppm", "ppt", "ppq"), F.col("_h_n")).otherwise(F.col("_h_u")), "_h_target": media_target(F.col("_h_u"), F.col("_h_m"))})
+    exact, folded = _first_by(table, F.col("from_unit"), "_e"), _first_by(table, F.lower("from_unit"), "_c")
+    df = df.join(hint(exact), F.col("_h_key") == F.col("_e_key"), "left").join(hint(folded), F.lower("_h_key") == F.col("_c_key"), "left")
+    raw, weighed, target = F.col("_h_raw"), F.col("_h_mol") & F.col("_h_weighed"), F.col("_h_target")
+    unit_out = F.when(weighed, "mg/L").when(F.col("_h_mol"), raw).when(target.isNotNull(), target).when(F.col("_e_key").isNotNull(), F.col("_e_unit")).when(F.col("_c_key").isNotNull(), F.col("_c_unit")).otherwise(raw)
+    factor = F.when(weighed, molarity_scale(F.col("_h_n"))).when(F.col("_h_mol"), 1.0).when(target.isNotNull(), ppx_factor(F.col("_h_u"))).when(F.col("_e_key").isNotNull(), F.col("_e_by")).when(F.col("_c_key").isNotNull(), F.col("_c_by")).otherwise(1.0)
+    flag = F.when(weighed, "").when(F.col("_h_mol"), "needs_mw").when(target.isNotNull() | F.col("_e_key").isNotNull(), "").when(F.col("_c_key").isNotNull(), "case_fallback").otherwise("unmatched")
+    flag = F.when(F.lower(F.trim(raw)).eqNullSafe("m") & ~F.col("_h_mol"), "ambiguous_unit").otherwise(flag)
+    out = df.withColumns({"_h_unit": unit_out, "_h_factor": factor, "_h_flag": flag, "_h_by_weight": F.coalesce(weighed, F.lit(False))})
+    return out.drop("_h_raw", "_h_n", "_h_m", "_h_weighed", "_h_mol", "_h_u", "_h_key", "_h_target", "_e_key", "_e_unit", "_e_by", "_c_key", "_c_unit", "_c_by")
+
+
+def harmonized(df: DataFrame, table: DataFrame, value: str, unit: str, media: str | None = None, weight: str | None = None, category: str | None = None, synonyms=SYNONYMS, patterns=(), dedup: bool = True) -> DataFrame:
     """df + orig_unit, harmonized_value, harmonized_unit, conversion_factor, unit_flag.
 
     First of: amount concentration with a weight; without one (needs_mw); ppb and ppm by medium; the table, exact, then
     without regard to case (case_fallback); the unit itself (unmatched). A bare m is read as minutes and flagged.
+
+    With dedup the distinct units, which a count shows to be few, are resolved and joined back; the rows themselves then only
+    look up and multiply. Streams, and tables of too many units, are resolved row by row.
     """
     if category is not None:
         table = table.filter(F.col("category") == category)
-    small = table.count() <= MAX_BROADCAST_ROWS
-    hint = F.broadcast if small else (lambda d: d)
-    raw = F.col(unit).cast("string")
-    none = F.lit(None)
-    df = df.withColumns({"orig_unit": raw, "_n": normalized(raw)})
-    df = df.withColumns({"_mol": is_molarity(F.col("_n")), "_u": synonymous(F.col("_n"), synonyms, patterns), "_w": F.col(weight).cast("double") if weight else none.cast("double"), "_m": F.col(media) if media else none.cast("string")})
-    df = df.withColumn("_key", F.when(F.lower("_u").isin("ppb", "ppm", "ppt", "ppq"), F.col("_n")).otherwise(F.col("_u")))
-    exact, folded = _first_by(table, F.col("from_unit"), "_e"), _first_by(table, F.lower("from_unit"), "_c")
-    df = df.join(hint(exact), F.col("_key") == F.col("_e_key"), "left").join(hint(folded), F.lower("_key") == F.col("_c_key"), "left")
-    weighed = F.col("_mol") & F.coalesce(F.col("_w") > 0, F.lit(False))
-    target = media_target(F.col("_u"), F.col("_m"))
-    unit_out = F.when(weighed, "mg/L").when(F.col("_mol"), raw).when(target.isNotNull(), target).when(F.col("_e_key").isNotNull(), F.col("_e_unit")).when(F.col("_c_key").isNotNull(), F.col("_c_unit")).otherwise(raw)
-    factor = F.when(weighed, F.col("_w") * molarity_scale(F.col("_n"))).when(F.col("_mol"), 1.0).when(target.isNotNull(), ppx_factor(F.col("_u"))).when(F.col("_e_key").isNotNull(), F.col("_e_by")).when(F.col("_c_key").isNotNull(), F.col("_c_by")).otherwise(1.0)
-    flag = F.when(weighed, "").when(F.col("_mol"), "needs_mw").when(target.isNotNull() | F.col("_e_key").isNotNull(), "").when(F.col("_c_key").isNotNull(), "case_fallback").otherwise("unmatched")
-    flag = F.when(F.lower(F.trim(raw)).eqNullSafe("m") & ~F.col("_mol"), "ambiguous_unit").otherwise(flag)
-    out = {"harmonized_value": F.col(value).cast("double") * factor, "harmonized_unit": unit_out, "conversion_factor": factor, "unit_flag": flag}
-    return df.withColumns(out).drop("_n", "_mol", "_u", "_w", "_m", "_key", "_e_key", "_e_unit", "_e_by", "_c_key", "_c_unit", "_c_by")
+    hint = F.broadcast if table.count() <= MAX_BROADCAST_ROWS else (lambda d: d)
+    raw, none = F.col(unit).cast("string"), F.lit(None)
+    m = F.col(media) if media else none.cast("string")
+    w = F.col(weight).cast("double") if weight else none.cast("double")
+    weighed = F.coalesce(w > 0, F.lit(False))
+    if dedup and not df.isStreaming:
+        keys = df.select(raw.alias("_h_ku"), m.alias("_h_km"), weighed.alias("_h_kw")).distinct()
+        if keys.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
+            found = _resolved(keys, table, F.col("_h_ku"), F.col("_h_km"), F.col("_h_kw"), synonyms, patterns, hint)
+            df = df.withColumns({"orig_unit": raw, "_h_m": m, "_h_kw2": weighed, "_h_w": w})
+            got = df.join(F.broadcast(found), F.col("orig_unit").eqNullSafe(F.col("_h_ku")) & F.col("_h_m").eqNullSafe(F.col("_h_km")) & (F.col("_h_kw2") == F.col("_h_kw")), "left").drop("_h_ku", "_h_km", "_h_kw", "_h_kw2", "_h_m")
+        else:
+            dedup = False
+    if not dedup or df.isStreaming:
+        got = _resolved(df.withColumns({"orig_unit": raw, "_h_w": w}), table, F.col("orig_unit"), m, weighed, synonyms, patterns, hint)
+    factor = F.when(F.col("_h_by_weight"), F.col("_h_factor") * F.col("_h_w")).otherwise(F.col("_h_factor"))
+    got = got.withColumn("conversion_factor", factor)
+    return got.withColumns({"harmonized_value": F.col(value).cast("double") * F.col("conversion_factor"), "harmonized_unit": F.col("_h_unit"), "unit_flag": F.col("_h_flag")}).drop("_h_unit", "_h_factor", "_h_flag", "_h_by_weight", "_h_w")
 
 
 def is_radiological(c: Column) -> Column:

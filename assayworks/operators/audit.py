@@ -78,18 +78,26 @@ def skipped(df: DataFrame) -> Step:
     return Step(logged(df))
 
 
+#: Distinct keys up to this count are broadcast when their results are joined back.
+MAX_BROADCAST_KEYS = 200_000
+
+
 def deduplicated(step_fn, df: DataFrame, cols: list[str], threshold: float = 0.5) -> Step:
     """The step on distinct values of cols only, where few rows are distinct, joined back to all rows.
 
-    The share of distinct keys is one aggregate. The step must keep rows and see no column but cols; else it runs on all.
+    The share of distinct keys is estimated by one aggregate, which does not shuffle rows. The step must keep rows and see no
+    column but cols; what it does to a key it does to all its rows, so the result is that of the step itself.
     """
-    total, distinct = df.agg(F.count("*"), F.count_distinct(F.struct(*[F.coalesce(F.col(c), F.lit("__NA__")) for c in cols]))).first()
+    key = F.xxhash64(*[F.coalesce(F.col(c), F.lit("__NA__")) for c in cols])
+    total, distinct = df.agg(F.count("*"), F.approx_count_distinct(key, 0.02)).first()
     if not total or distinct / total > threshold:
         return step_fn(df)
-    keyed = df.select(*cols).distinct().withColumns({"original_row_id": F.lit(0), "_key": F.struct(*cols)})
+    keyed = df.select(*cols).distinct().withColumns({"original_row_id": F.lit(0).cast("long"), "_key": F.struct(*cols)})
     got = step_fn(keyed)
     new = [c for c in got.rows.columns if c not in ("original_row_id", "_key", LOG)]
     right = got.rows.select("_key", F.col(LOG).alias("_more"), *[F.col(c).alias(f"_new_{c}") for c in new])
+    if distinct <= MAX_BROADCAST_KEYS:
+        right = F.broadcast(right)
     df = logged(df)
     joined = df.join(right, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_key.{c}")) for c in cols]), "left")
     kept = [F.col(f"_new_{c}").alias(c) if c in new else F.col(c) for c in df.columns if c != LOG]

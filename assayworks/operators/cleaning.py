@@ -9,24 +9,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cas, names, text
-from ..sources.shared import checkpoint_folder
-from .audit import LOG, Step, entries, logged, skipped, stepped
+from ..sources.shared import checkpoint_folder, stored
+from .audit import LOG, Step, deduplicated, entries, logged, skipped, stepped
 
 CHIRAL_FLAG = "WARNING: chiral designation"
 MULTI_FLAG = "WARNING: potential multi-analyte"
 DELIMITER_FLAG, ELLIPSIS_FLAG = "BLOCK: truncated compound [unbalanced delimiter]", "BLOCK: truncated compound [ellipsis]"
 BARE_FLAG = "BLOCK: bare formula"
+MAX_ISOTOPES = 10_000
 
 
 def with_row_ids(df: DataFrame, order: Iterable[str] | None = None) -> DataFrame:
     """A dense original_row_id from 1, in the order of the given columns (else as read).
 
     Rows are numbered within their partitions, and partitions by the sums of the counts before them, so no task gets all
-    rows. A sorted table is checkpointed first: its ranges are sampled, and must be the same in both passes.
+    rows. The table is stored first: both passes must see the same rows in the same partitions.
     """
     if order:
         checkpoint_folder(df.sparkSession)
         df = df.orderBy(*order).checkpoint()
+    else:
+        df = stored(df, "rows")
     placed = df.withColumn("_m", F.monotonically_increasing_id())
     placed = placed.withColumns({"_part": F.shiftright("_m", 33), "_at": F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))})
     counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))  # one row a partition
@@ -151,10 +154,12 @@ def split_synonyms_step(df: DataFrame, cols: list[str], tags: dict[str, str]) ->
 
 
 def expand_isotopes_step(df: DataFrame, cols: list[str], isotopes: DataFrame | None, alternates: dict[str, str] | None = None) -> Step:
-    """isotopes: symbol, mass, element_name, dtxsid; a list of nuclides, at most a few thousand."""
+    """isotopes: symbol, mass, element_name, dtxsid; a list of nuclides, refused beyond MAX_ISOTOPES."""
     if isotopes is None or not cols:
         return skipped(df)
-    rows = isotopes.select("symbol", "mass", "element_name").distinct().limit(10_000).collect()
+    rows = isotopes.select("symbol", "mass", "element_name").distinct().limit(MAX_ISOTOPES + 1).collect()
+    if len(rows) > MAX_ISOTOPES:
+        raise ValueError(f"more than {MAX_ISOTOPES} isotopes")
     new = {c: names.expand_isotopes(F.col(c), [tuple(r) for r in rows], alternates) for c in cols}
     got = stepped(df, new, "expand_isotopes", "isotope spelled out")
     ids = isotopes.select(F.lower(F.concat_ws("-", "element_name", "mass")).alias("_canon"), F.col("dtxsid").alias("_id")).groupBy("_canon").agg(F.min("_id").alias("_id"))
@@ -194,35 +199,63 @@ def bare_formula_step(df: DataFrame, cols: list[str]) -> Step:
     return stepped(df, {**new, "cleaning_flag": flag}, "detect_bare_formulas", "value is a formula only", cols, lambda c: F.coalesce(c, F.lit("[NA]")))
 
 
-def flag_references_step(df: DataFrame, cols: list[str], terms: list[tuple[str, str]], kind: str, label: str) -> Step:
-    """terms: (mode, pattern), active ones in order. Exact matches of literal terms first, then the first pattern found.
+def flag_references_step(df: DataFrame, cols: list[str], rules: Iterable[tuple], kind: str, label: str) -> Step:
+    """rules: (mode, pattern, term, source), active ones in order. Exact matches of literal terms first, then the first
+    pattern found; the log names the term, where it is from, how it was found, and the value.
 
     A warning leaves flagged rows alone; a block leaves only blocked rows alone and overwrites the rest.
     """
     prefix = "BLOCK" if kind == "blocking" else "WARN"
-    exact = sorted({p.strip().lower() for m, p in terms if m != "regex"})
-    found = [f"(?:{p})" if m == "regex" else rf"\b{text.quoted(p)}\b" for m, p in terms if m != "literal_exact"]
-    flag = _flag(df)
+    rules = [(m, p, *(rest or (p, "app_default"))) for m, p, *rest in rules]
+    named = lambda t, s: F.struct(F.lit(t).alias("term"), F.lit(s).alias("source"))
+    exact: dict[str, Column] = {}
+    for m, p, t, s in rules:
+        if m != "regex":
+            exact.setdefault(p.strip().lower(), named(t, s))
+    table = F.create_map(*[x for k, v in exact.items() for x in (F.lit(k), v)]) if exact else None
+    patterns = [("(?i)" + (p if m == "regex" else rf"\b{text.quoted(p)}\b"), named(t, s)) for m, p, t, s in rules if m != "literal_exact"]
+    any_ = "(?i)" + "|".join(f"(?:{p[4:]})" for p, _ in patterns)
+    none = F.lit(None).cast("struct<term:string,source:string>")
+    made = logged(df).withColumn("_flag", _flag(df))
     for c in cols:
-        v = F.col(c)
+        v, flag = F.col(c), F.col("_flag")
         taken = F.coalesce(flag.startswith("BLOCK:") if kind == "blocking" else flag != "", F.lit(False))
-        by_value = F.lower(F.trim(v)).isin(*exact) if exact else F.lit(False)
-        by_pattern = v.rlike("(?i)" + "|".join(found)) if found else F.lit(False)
-        new = F.when(by_value, F.lit(f"{prefix}: {label} [exact]")).when(by_pattern, F.lit(f"{prefix}: {label} [substring]"))
-        flag = F.when(taken, flag).otherwise(F.coalesce(new, flag))
-    made = logged(df).withColumns({"_old": _flag(df), "_flag": flag})
-    log = F.concat(LOG, entries({"cleaning_flag": (F.coalesce("_old", F.lit("")), F.coalesce("_flag", F.lit("")))}, "flag_reference_matches", label))
-    return Step(made.withColumns({"cleaning_flag": F.col("_flag"), LOG: log}).drop("_old", "_flag"))
+        by_value = F.try_element_at(table, F.lower(F.trim(v))) if exact else none
+        # one search for all patterns; only values that hold some are searched for the first
+        by_pattern = F.when(v.rlike(any_), F.coalesce(*[F.when(v.rlike(p), n) for p, n in patterns])) if patterns else none
+        made = made.withColumns({"_exact": F.when(~taken & v.isNotNull(), by_value)})
+        made = made.withColumns({"_found": F.when(~taken & F.col("_exact").isNull(), by_pattern)})
+        how = F.when(F.col("_exact").isNotNull(), "exact").when(F.col("_found").isNotNull(), "substring")
+        hit = F.coalesce("_exact", "_found")
+        new = F.concat(F.lit(f"{prefix}: {label} ["), how, F.lit("]"))
+        why = F.concat(F.lit("Matched '"), hit["term"], F.lit("' (source: "), hit["source"], F.lit(", match type: "), how, F.lit(f") in {c}"))
+        entry = F.struct(F.lit(c).alias("field"), F.lit(f"flag_{kind}").alias("step"), v.cast("string").alias("original_value"), new.alias("new_value"), why.alias("reason"))
+        made = made.withColumns({LOG: F.when(hit.isNotNull(), F.concat(LOG, F.array(entry))).otherwise(F.col(LOG)), "_flag": F.coalesce(new, flag)}).drop("_exact", "_found")
+    return Step(made.withColumn("cleaning_flag", F.col("_flag")).drop("_flag"))
+
+
+#: Patterns of first_match(); a longer list is refused.
+MAX_PATTERNS = 100_000
 
 
 def first_match(df: DataFrame, column: str, patterns: DataFrame) -> DataFrame:
     """df + term: the first pattern (by ord) that its value holds; for lists too long for an expression.
 
-    Distinct values meet the list, so the nested loop is over values, not rows. patterns: ord, term, pattern.
+    patterns: ord, term, pattern and, where it has the column, match_mode. A literal word meets only the values that hold its
+    first word, by an equi-join; regular expressions meet every distinct value, so only their number is bounded by a check.
     """
     values = df.select(column).filter(F.col(column).isNotNull()).distinct()
-    hits = values.join(F.broadcast(patterns), F.expr(f"`{column}` rlike concat('(?i)', pattern)")).groupBy(column).agg(F.min_by("term", "ord").alias("term"))
-    return df.join(hits, column, "left")
+    word = F.lower(F.regexp_extract("pattern", r"(\w+)", 1))
+    literal = (F.col("match_mode") == "literal_word") & (word != "") if "match_mode" in patterns.columns else F.lit(False)
+    every = patterns.filter(~F.coalesce(literal, F.lit(False))).select("ord", "term", "pattern")
+    if every.limit(MAX_PATTERNS + 1).count() > MAX_PATTERNS:
+        raise ValueError(f"more than {MAX_PATTERNS} regular expressions")
+    hits = values.join(F.broadcast(every), F.expr(f"`{column}` rlike concat('(?i)', pattern)")).select(column, "ord", "term")
+    if "match_mode" in patterns.columns:
+        words = values.select(column, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(column), F.lit(r"(\w+)"), 1))).alias("_w"))
+        named = patterns.filter(literal).select("ord", "term", word.alias("_w"), F.regexp_replace("pattern", r"([\\/.\[\](){}|?+*^$-])", r"\\$1").alias("_p"))
+        hits = hits.unionByName(words.join(named, "_w").filter(F.expr(f"`{column}` rlike concat('(?i)\\\\b', _p, '\\\\b')")).select(column, "ord", "term"))
+    return df.join(hits.groupBy(column).agg(F.min_by("term", "ord").alias("term")), column, "left")
 
 
 MASK = {"unicode": True, "trim": True, "cas": True, "names": True, "synonyms": True, "isotopes": True, "multi_analyte": True, "chiral": True, "truncated": True, "bare_formula": False, "reference_flags": False}
@@ -235,11 +268,26 @@ def normalized_mask(mask: dict[str, bool] | None) -> dict[str, bool]:
     return MASK | (mask or {})
 
 
-def run(df: DataFrame, tags: dict[str, str] | None = None, references: dict | None = None, mask: dict[str, bool] | None = None) -> Step:
-    """The whole chain in order. references: strip_terms, stop_words, block_patterns, functional (lists of (mode, pattern)) and isotopes (a table)."""
+def probes(df: DataFrame, tags: dict[str, str]) -> dict[str, bool]:
+    """Whether a step would change anything, for the steps whose absence shows in the table; one aggregate."""
+    got = preflight(df, tags).collect()
+    return {r["step"]: r["should_run"] for r in got}
+
+
+def run(df: DataFrame, tags: dict[str, str] | None = None, references: dict | None = None, mask: dict[str, bool] | None = None, use_dedup: bool = True, respect_prechecks: bool = False) -> Step:
+    """The whole chain in order. references: strip_terms, stop_words, block_patterns, functional (lists of (mode, pattern) or
+    (mode, pattern, term, source)) and isotopes (a table).
+
+    use_dedup: the names' chain runs on distinct names where these are few, and is joined back, with the same result.
+    respect_prechecks: one aggregate over the table finds steps that need not run; registry numbers that are all well formed
+    are then taken as they are, without a look at their check digits.
+    """
     tags, references, on = dict(tags or {}), references or {}, normalized_mask(mask)
     if "original_row_id" not in df.columns:
         df = with_row_ids(df)
+    if respect_prechecks:
+        would = probes(df, tags)
+        on |= {k: on[k] and would[k] for k in ("unicode", "trim", "cas")}
     df = logged(df)
 
     def take(step: Step) -> DataFrame:
@@ -256,13 +304,18 @@ def run(df: DataFrame, tags: dict[str, str] | None = None, references: dict | No
     df = take(multi_cas_step(df, tags))
     cols = [c for c in tagged(tags, "Name") if c in df.columns]
     if cols and on["names"]:
-        if on["chiral"]:
-            df = take(protect_chiral_step(df, cols))
-        for step in (strip_enclosures_step, strip_adjectives_step, strip_salts_step, strip_unspecified_step, strip_enclosures_step):
-            df = take(step(df, cols))
-        if references.get("strip_terms"):
-            df = take(strip_terms_step(df, cols, references["strip_terms"]))
-        df = take(tidy_step(df, cols))
+
+        def named(rows: DataFrame) -> Step:
+            if on["chiral"]:
+                rows = protect_chiral_step(rows, cols).rows
+            for step in (strip_enclosures_step, strip_adjectives_step, strip_salts_step, strip_unspecified_step, strip_enclosures_step):
+                rows = step(rows, cols).rows
+            if references.get("strip_terms"):
+                rows = strip_terms_step(rows, cols, [r[:2] for r in references["strip_terms"]]).rows
+            return tidy_step(rows, cols)
+
+        seen = [*cols, *(c for c in ("cleaning_flag", *(f"formula_extract_{c}" for c in cols)) if c in df.columns)]
+        df = take(deduplicated(named, df, seen) if use_dedup else named(df))
     df = text.fenced(df, [c for c in tags if c in df.columns])
     if cols and on["synonyms"]:
         df = take(split_synonyms_step(df, cols, tags))

@@ -110,3 +110,10 @@ def attached(df: DataFrame, rows: DataFrame, row_id: str = "original_row_id") ->
     """df with the collapsed columns in place of any of these names it has."""
     new = [c for c in rows.columns if c != "orig_row_id"]
     return df.drop(*new).join(rows.withColumnRenamed("orig_row_id", row_id), row_id, "left")
+
+
+def undetermined(df: DataFrame, row_id: str = "original_row_id") -> DataFrame:
+    """A row of the collapsed columns for each source row where there is no result."""
+    text = {"detection_event_class": "indeterminate", "detection_basis": "missing_result", "detection_conflict": None, "numeric_followup_reason": "missing_result", "qualifier_followup_values": None, "detection_measurement_type": "chemical_concentration"}
+    flags = {c: c in ("numeric_followup_flag", "detection_review_flag") for c in ANY_TRUE}
+    return df.select(F.col(row_id).alias("orig_row_id"), *[F.lit(v).cast("string").alias(c) for c, v in text.items()], *[F.lit(v).alias(c) for c, v in flags.items()])

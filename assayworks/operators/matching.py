@@ -15,8 +15,6 @@ from ..functions.similarity import jaro_similarity
 
 RESULT = ("search_value", "dtxsid", "preferred_name", "search_name", "rank", "source_tier", "tier_order")
 TIERS = ("exact", "cas_in_name", "wqx", "starts_with", "miss", "cas")
-#: A share of two names' lengths below this cannot reach a Jaro similarity of the threshold; see fuzzy().
-BLOCK = 3
 
 
 def keyed(df: DataFrame, tags: dict[str, str], row_id: str = "original_row_id", skip: Column | None = None) -> DataFrame:

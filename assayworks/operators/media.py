@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,9 +64,12 @@ def harmonized(df: DataFrame, column: str, media: DataFrame) -> DataFrame:
     spark, table = df.sparkSession, prepared(media)
     up = climbed(table)
     exact = table.filter("canonical_media is not null and media_category is not null").select(F.col("term").alias("_key"), F.struct("canonical_media", "envo_id", "media_category", F.lit("").alias("media_flag")).alias("_exact"))
-    walk = spark.createDataFrame([(t, *v, rf"(^|[^\p{{Alnum}}]){quoted(t)}($|[^\p{{Alnum}}])") for t, v in up.items()], "_term string, canonical_media string, envo_id string, media_category string, _pattern string")
+    # A term's first run of letters and digits is a word of every text that holds the term: an equi-join finds the few to search.
+    first = lambda t: (re.findall(r"[a-z0-9]+", t) or [""])[0]
+    walk = spark.createDataFrame([(t, *v, rf"(^|[^\p{{Alnum}}]){quoted(t)}($|[^\p{{Alnum}}])", first(t)) for t, v in up.items()], "_term string, canonical_media string, envo_id string, media_category string, _pattern string, _word string")
     keys = df.select(media_key(F.col(column)).alias("_key")).filter("_key <> ''").distinct().join(F.broadcast(exact), "_key", "left")
-    missing = keys.filter("_exact is null").select("_key").join(F.broadcast(walk), F.expr("_key rlike _pattern"))
+    words = F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.regexp_extract_all("_key", F.lit("([a-z0-9]+)"), 1)))).alias("_word")
+    missing = keys.filter("_exact is null").select("_key", words).join(F.broadcast(walk), "_word").filter(F.expr("_key rlike _pattern"))
     best = missing.groupBy("_key").agg(F.max_by(F.struct("canonical_media", "envo_id", "media_category", F.lit("parent_walk").alias("media_flag")), F.struct(F.length("_term"), "_term")).alias("_walk"))
     found = keys.join(best, "_key", "left").select("_key", F.coalesce("_exact", "_walk").alias("_m"))
     got = df.withColumns({"raw_media": F.col(column), "_key": media_key(F.col(column))}).join(found, "_key", "left")
@@ -73,9 +79,11 @@ def harmonized(df: DataFrame, column: str, media: DataFrame) -> DataFrame:
 def validate_ontology(nodes: DataFrame) -> list[str]:
     """Faults of a tree node_id, parent_id, routing_category: repeated ids, missing parents, unknown routes, cycles."""
     rows = nodes.limit(MAX_TERMS + 1).collect()
-    ids = [r["node_id"] for r in rows]
+    if len(rows) > MAX_TERMS:
+        raise ValueError("the media ontology is too large")
+    ids = Counter(r["node_id"] for r in rows)
     parent = {r["node_id"]: r["parent_id"] for r in rows}
-    out = [f"repeated id {i}" for i in sorted({i for i in ids if ids.count(i) > 1})] if len(ids) != len(set(ids)) else []
+    out = [f"repeated id {i}" for i in sorted(i for i, n in ids.items() if n > 1)]
     out += [f"missing parent {p} of {i}" for i, p in parent.items() if p and p not in parent]
     out += [f"unknown route {r['routing_category']} of {r['node_id']}" for r in rows if r["routing_category"] and r["routing_category"] not in CATEGORIES]
     for i in parent:
@@ -89,16 +97,74 @@ def validate_ontology(nodes: DataFrame) -> list[str]:
 
 
 def ontology_index(nodes: DataFrame) -> DataFrame:
-    """node_id, path of labels, depth, physical state (the label below the root), route and has_children, by recursion."""
+    """node_id, path of labels, depth, physical state (the label below the root), route and has_children, by recursion.
+
+    The route is the one that a node's path names; a path that names two is an error.
+    """
     view = "media_nodes_for_index"
     nodes.select("node_id", "parent_id", "label", "routing_category").createOrReplaceTempView(view)
-    return nodes.sparkSession.sql(f"""
-        with recursive up(node_id, label, path, depth, state, route) as (
-          select node_id, label, label, 0, cast(null as string), routing_category from {view} where parent_id is null or parent_id = ''
+    got = nodes.sparkSession.sql(f"""
+        with recursive up(node_id, label, path, depth, state, route, clash) as (
+          select node_id, label, coalesce(nullif(label, ''), node_id), 0, cast(null as string), nullif(routing_category, ''), false from {view} where parent_id is null or parent_id = ''
           union all
-          select n.node_id, n.label, concat(u.path, ' > ', n.label), u.depth + 1, coalesce(u.state, n.label), coalesce(n.routing_category, u.route)
+          select n.node_id, n.label, concat(u.path, ' > ', coalesce(nullif(n.label, ''), n.node_id)), u.depth + 1, coalesce(u.state, n.label), coalesce(u.route, nullif(n.routing_category, '')),
+            u.clash or coalesce(u.route <> nullif(n.routing_category, ''), false)
           from {view} n join up u on n.parent_id = u.node_id)
         select up.*, exists (select 1 from {view} c where c.parent_id = up.node_id) as has_children from up""")
+    checked = F.when(F.col("clash"), F.raise_error(F.concat(F.lit("routes conflict on the path of "), F.col("node_id")))).otherwise(F.col("has_children"))
+    return got.withColumn("has_children", checked.cast("boolean")).drop("clash")
+
+
+def canonical_faults(canonical: DataFrame, index: DataFrame) -> DataFrame:
+    """canonical_media and fault of rows that do not agree with the ontology.
+
+    canonical: canonical_media, ontology_node_id, routing_category, active. index: ontology_index() and the nodes' rank.
+    """
+    node = index.select(F.col("node_id").alias("ontology_node_id"), F.col("route").alias("_route"), F.col("has_children").alias("_has"), (F.col("rank") if "rank" in index.columns else F.lit(None).cast("string")).alias("_rank"), F.lit(True).alias("_known"))
+    got = canonical.withColumn("ontology_node_id", F.nullif("ontology_node_id", F.lit(""))).join(node, "ontology_node_id", "left")
+    active, route = F.coalesce("active", F.lit(False)), F.col("routing_category")
+    fault = (
+        F.when(active & F.col("ontology_node_id").isNull(), "an active row without a node")
+        .when(F.col("ontology_node_id").isNotNull() & F.col("_known").isNull(), "unknown node")
+        .when(~F.coalesce(route.isin(*CATEGORIES), F.lit(True)), "unknown route")
+        .when(~route.eqNullSafe(F.col("_route")) & (active | route.isNotNull()), "the route is not the node's")
+        .when(active & F.coalesce("_has", F.lit(False)) & ~F.coalesce(F.col("_rank").isin("abstract", "routing"), F.lit(False)), "the node is no leaf")
+    )
+    return got.select("canonical_media", fault.alias("fault")).filter("fault is not null")
+
+
+def canonical_with_paths(canonical: DataFrame, index: DataFrame) -> DataFrame:
+    """canonical + the derived route, path and physical state; refused where a row has a fault."""
+    if bad := canonical_faults(canonical, index).limit(5).collect():
+        raise ValueError("; ".join(f"{r['canonical_media']}: {r['fault']}" for r in bad))
+    node = index.select(F.col("node_id").alias("ontology_node_id"), F.col("route").alias("derived_routing_category"), F.col("path").alias("ontology_path"), F.col("state").alias("physical_state"))
+    return canonical.join(node, "ontology_node_id", "left")
+
+
+DISPLAY = ("term", "canonical", "canonical_term", "envo_id", "parent", "media_category", "ontology_node_id", "ontology_path", "physical_state", "source", "fetch_timestamp", "assertion_mode", "confidence", "active")
+
+
+def for_display(media: DataFrame) -> DataFrame:
+    """The vocabulary with all columns that an editor shows, in one spelling and with their defaults."""
+    have = set(media.columns)
+    get = lambda *names: F.coalesce(*[F.nullif(F.trim(F.col(n).cast("string")), F.lit("")) for n in names if n in have] or [F.lit(None).cast("string")])
+    source = F.coalesce(F.lower(get("source")), F.lit("app_default"))
+    out = {c: get(c) for c in DISPLAY}
+    out |= {"term": F.lower(get("term")), "canonical": get("canonical", "canonical_term", "canonical_media"), "canonical_term": get("canonical_term", "canonical", "canonical_media"), "ontology_node_id": F.lower(get("ontology_node_id")), "physical_state": F.lower(get("physical_state")), "source": source}
+    out["assertion_mode"] = F.coalesce(F.lower(get("assertion_mode")), F.when(source == "user", "user").otherwise("auto"))
+    out["active"] = F.coalesce(F.col("active").cast("boolean"), F.lit(False)) if "active" in have else F.lit(True)
+    return media.select(*[v.alias(c) for c, v in out.items()])
+
+
+def upserted(media: DataFrame, rows: DataFrame) -> DataFrame:
+    """The vocabulary with users' rows (term, canonical_media and more) in place of theirs; categories are inferred again."""
+    new = rows.withColumns({"term": media_key(F.col("term")), "source": F.lit("user")})
+    return inferred(media.join(new.select("term"), "term", "left_anti").unionByName(new, allowMissingColumns=True))
+
+
+def user_rows(media: DataFrame) -> DataFrame:
+    """What is kept of a vocabulary between runs: the rows that users made."""
+    return media.filter("source = 'user'")
 
 
 def runtime_map(canonical: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -61,10 +61,21 @@ def as_terms(df: DataFrame, most: int = 10_000) -> list[tuple[str, str]]:
     return [tuple(r) for r in rows]
 
 
-def problems(df: DataFrame, kind: str | None = None) -> list[tuple[str, str, str]]:
+def as_rules(df: DataFrame, most: int = 10_000) -> list[tuple[str, str, str, str]]:
+    """(mode, pattern, term, source) of the active rows, by term, for the flagging step, whose log names term and source."""
+    rows = df.filter("active").select("match_mode", "pattern", "term", "source").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError("a list this long belongs in first_match()")
+    return [tuple(r) for r in rows]
+
+
+def problems(df: DataFrame, kind: str | None = None, most: int = 100_000) -> list[tuple[str, str, str]]:
     """(level, term, message): patterns that are empty or do not compile, and block patterns that match too much."""
     out = []
-    for r in df.limit(10_000).collect():
+    rows = df.filter("match_mode = 'regex'").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} patterns")
+    for r in rows:
         if r["match_mode"] != "regex":
             continue
         if not (r["pattern"] or "").strip():
@@ -82,11 +93,27 @@ def problems(df: DataFrame, kind: str | None = None) -> list[tuple[str, str, str
     return out
 
 
+def _one_each(df: DataFrame, order: str | None = None) -> DataFrame:
+    """A row of each term: the first by order, then by all its columns, so that runs agree."""
+    rest = [c for c in COLUMNS if c != "term"]
+    by = F.struct(*([order] if order else []), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rest])
+    return df.groupBy("term").agg(F.min_by(F.struct(*rest), by).alias("r")).select("term", "r.*")
+
+
 def merged(default: DataFrame, user: DataFrame) -> DataFrame:
     """Rows of both; the user's win by term."""
-    both = default.withColumn("_o", F.lit(1)).unionByName(user.withColumn("_o", F.lit(0)), allowMissingColumns=True)
-    rest = [c for c in COLUMNS if c != "term"]
-    return both.groupBy("term").agg(F.min_by(F.struct(*rest), "_o").alias("r")).select("term", "r.*")
+    return _one_each(default.withColumn("_o", F.lit(1)).unionByName(user.withColumn("_o", F.lit(0)), allowMissingColumns=True), "_o")
+
+
+def imported(lists: dict[str, DataFrame], rows: DataFrame) -> dict[str, DataFrame]:
+    """The lists with rows of an import (type and a list's columns), which win by term and are marked as imported."""
+    kinds = [r["type"] for r in rows.select("type").distinct().limit(100).collect()]
+    out = dict(lists)
+    for label in kinds:
+        kind = list_type(label)
+        new = normalized(rows.filter(F.col("type") == label).withColumn("source", F.lit("imported")), kind)
+        out[kind] = merged(out[kind], new) if kind in out else new
+    return out
 
 
 def activated(df: DataFrame) -> DataFrame:
@@ -111,7 +138,7 @@ def snapshot_hash(df: DataFrame) -> str:
     """sha256 over the rows, whatever their order: row hashes are summed as two halves and hashed again."""
     row = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("NA")) for c in COLUMNS]), 256)
     half = lambda at: F.coalesce(F.sum(F.conv(F.substring(row, at, 12), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("string")
-    got = df.dropDuplicates(["term"]).agg(F.sha2(F.concat_ws("|", half(1), half(13), F.count("*").cast("string")), 256)).first()
+    got = _one_each(df).agg(F.sha2(F.concat_ws("|", half(1), half(13), F.count("*").cast("string")), 256)).first()
     return got[0]
 
 
@@ -135,7 +162,70 @@ def functional_categories(df: DataFrame, column: str = "category") -> DataFrame:
 
 
 def save(df: DataFrame, path: str) -> None:
-    df.filter("source <> 'app_default'").dropDuplicates(["term"]).write.mode("overwrite").parquet(path)
+    """Writes what is not a default, one row of each term."""
+    _one_each(df.filter("source <> 'app_default'")).write.mode("overwrite").parquet(path)
+
+
+def user_list(spark: SparkSession, folder: str, kind: str) -> DataFrame:
+    """What users changed in a list, from its table in a folder; nothing where there is none or it cannot be read."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return normalized(spark.read.parquet(f"{folder.rstrip('/')}/{kind}.parquet"), kind)
+    except (AnalysisException, ValueError):
+        return spark.createDataFrame([], SCHEMA)
+
+
+def save_user_lists(lists: dict[str, DataFrame], folder: str) -> None:
+    for kind, df in lists.items():
+        save(df, f"{folder.rstrip('/')}/{kind}.parquet")
+
+
+def all_lists(spark: SparkSession, folder: str | None = None) -> dict[str, DataFrame]:
+    """Every list by name: the defaults, under what users changed."""
+    out = {k: default_list(spark, k) for k in TYPES} | {"functional": spark.createDataFrame([], SCHEMA)}
+    return {k: merged(v, user_list(spark, folder, k)) for k, v in out.items()} if folder else out
+
+
+#: Synonyms of units where a folder has no table of them, and other spellings of elements' names.
+UNIT_SYNONYMS = (("mg/kg bw/day", "mg/kg/d"), ("ug/kg bw/day", "ug/kg/d"))
+ELEMENT_NAMES = {"cesium": "Caesium", "aluminum": "Aluminium", "sulfur": "Sulphur"}
+
+
+def corrections(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "pattern string, replacement string")
+
+
+def corrected_list(df: DataFrame, pattern: str, replacement: str) -> DataFrame:
+    """The corrections with one added, in place of one of the same pattern."""
+    new = df.sparkSession.createDataFrame([(pattern, replacement)], df.schema)
+    return df.filter(F.col("pattern") != pattern).unionByName(new)
+
+
+def unit_synonyms(spark: SparkSession, table: DataFrame | None = None) -> DataFrame:
+    """input_pattern, normalized_unit, is_regex, notes: a table's rows, or the smallest that works."""
+    if table is not None:
+        return table.select("input_pattern", "normalized_unit", F.col("is_regex").cast("boolean").alias("is_regex"), "notes")
+    return spark.createDataFrame([(a, b, False, "body weight qualifier") for a, b in UNIT_SYNONYMS], "input_pattern string, normalized_unit string, is_regex boolean, notes string")
+
+
+def isotope_lookup(isotopes: DataFrame) -> DataFrame:
+    """symbol, mass, element_name, shortcode, canonical, dtxsid: one row of each shortcode, long symbols first.
+
+    isotopes: element, Z, Name and, where known, DTXSID.
+    """
+    ids = F.col("DTXSID") if "DTXSID" in isotopes.columns else F.lit(None).cast("string")
+    rows = isotopes.select(F.col("element").alias("symbol"), F.col("Z").cast("string").alias("mass"), F.col("Name").alias("element_name"), ids.alias("dtxsid"))
+    rows = rows.groupBy(F.lower(F.concat("symbol", "mass")).alias("shortcode")).agg(F.min(F.struct("symbol", "mass", "element_name", "dtxsid")).alias("r"))
+    got = rows.select("r.symbol", "r.mass", "r.element_name", "shortcode", F.concat_ws("-", "r.element_name", "r.mass").alias("canonical"), "r.dtxsid")
+    return got.orderBy(F.length("symbol").desc(), "shortcode")
+
+
+HELP = {"stop_words": "terms that are no names; an exact match or a whole word is flagged as a warning", "block_patterns": "regular expressions; what they match is kept from look-ups", "strip_terms": "words or regular expressions that are cut out of names", "functional": "categories of use; names that are one are flagged as a warning"}
+
+
+def help_text(kind: str) -> str:
+    return HELP[list_type(kind)]
 
 
 def wqx_dictionary(canonical: DataFrame, aliases: DataFrame) -> DataFrame:

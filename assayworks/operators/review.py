@@ -106,16 +106,45 @@ def replayed(df: DataFrame, overrides: Spec | Callable[[DataFrame], DataFrame] |
     for w in ORDER:
         todo = [o for o in overrides.overrides if o.workflow == w]
         for c in dict.fromkeys(o.column for o in todo):
-            mine = [o for o in todo if o.column == c]
-            # Signatures see the table as it is before this column is changed; one pass counts all matches.
-            hits = df.agg(*[F.count_if(matches(o.signature)).alias(str(i)) for i, o in enumerate(mine)]).first()
-            if missing := [o for i, o in enumerate(mine) if not hits[i]]:
-                raise ValueError(f"no row matches {missing[0].signature} for {c}")
-            old = F.col(c) if c in df.columns else F.lit(None)
-            df = df.withColumn(c, reduce(lambda a, o: F.when(matches(o.signature), F.lit(o.value)).otherwise(a), mine, old))
+            df = _overridden(df, c, [o for o in todo if o.column == c])
     return df
 
 
+#: Overrides of one column; edits are made by people, and their table is broadcast.
+MAX_OVERRIDES = 100_000
+
+
+def _overridden(df: DataFrame, column: str, mine: list[Override]) -> DataFrame:
+    """df with one column's overrides: a null-safe join for each set of signature columns; of several that match a row, the
+    last in the list wins. Signatures see the table as it is before the column is changed."""
+    if len(mine) > MAX_OVERRIDES:
+        raise ValueError(f"more than {MAX_OVERRIDES} overrides of {column}")
+    spark, kinds = df.sparkSession, dict(df.dtypes)
+    kind = kinds.get(column) or ("boolean" if isinstance(mine[0].value, bool) else "double" if isinstance(mine[0].value, float) else "bigint" if isinstance(mine[0].value, int) else "string")
+    groups: dict[tuple[str, ...], dict[tuple, tuple]] = {}
+    for i, o in enumerate(mine):
+        if gone := set(o.signature) - set(kinds):
+            raise ValueError(f"no such columns: {sorted(gone)}")
+        keys = tuple(sorted(o.signature))
+        groups.setdefault(keys, {})[tuple(o.signature[k] for k in keys)] = (i, o.value)
+    text = lambda v: None if v is None else str(v).lower() if isinstance(v, bool) else str(v)
+    got, found = df, []
+    for g, (keys, rows) in enumerate(groups.items()):
+        fields = ", ".join([*(f"`_k{j}` string" for j in range(len(keys))), f"_i{g} int", f"_v{g} string"])
+        table = spark.createDataFrame([(*map(text, k), i, text(v)) for k, (i, v) in rows.items()], fields)
+        table = table.withColumns({f"_k{j}": F.col(f"_k{j}").try_cast(kinds[k]) for j, k in enumerate(keys)} | {f"_v{g}": F.col(f"_v{g}").try_cast(kind)})
+        got = got.join(F.broadcast(table), reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{j}")) for j, k in enumerate(keys)]), "left").drop(*[f"_k{j}" for j in range(len(keys))])
+        found.append(F.struct(F.col(f"_i{g}").alias("i"), F.col(f"_v{g}").alias("v")))
+    got = got.withColumn("_hit", F.array_max(F.filter(F.array(*found), lambda x: x["i"].isNotNull())) if len(found) > 1 else F.when(found[0]["i"].isNotNull(), found[0]))
+    every = F.explode(F.array(*[F.col(f"_i{g}") for g in range(len(found))])).alias("i")
+    seen = {r["i"] for r in got.select(every).filter("i is not null").distinct().collect()}
+    last = {i for rows in groups.values() for i, _ in rows.values()}
+    if missing := sorted(last - seen):
+        raise ValueError(f"no row matches {mine[missing[0]].signature} for {column}")
+    old = F.col(column) if column in df.columns else F.lit(None).cast(kind)
+    return got.withColumn(column, F.when(F.col("_hit").isNotNull(), F.col("_hit.v")).otherwise(old)).select(*df.columns, *([column] if column not in df.columns else []))
+
+
 def script(input_path: str, output_path: str, tags: dict[str, str], header_row: int | None, spec: Spec | None = None, **options: object) -> str:
     """A Python script that repeats a run with its overrides."""
     rows = "".join(f"    Override({o.column!r}, {o.value!r}, {o.signature!r}, {o.workflow!r}),\n" for o in (spec or Spec()).overrides)
@@ -189,6 +218,8 @@ def apply_queue(df: DataFrame, queue: list[Queued], valid: DataFrame | None = No
     """Ids (only valid ones, where a table of them is given) and characteristic names for their rows; these are pinned."""
     spark = df.sparkSession
     rows = [(r, q.kind, q.value) for q in queue for r in sorted(q.rows)]
+    if len(rows) > MAX_OVERRIDES:
+        raise ValueError(f"more than {MAX_OVERRIDES} queued rows")
     todo = spark.createDataFrame(rows, "_row long, _kind string, _value string")
     if valid is not None:
         ok = valid.filter("is_valid").select(F.col("dtxsid").alias("_value"), F.lit(True).alias("_ok"))
@@ -204,7 +235,10 @@ def resolve_multi_analyte(df: DataFrame, column: str, decisions: DataFrame, row_
     from ..functions import names
     from .cleaning import MULTI_FLAG
 
-    right = decisions.select(F.col(row_id).alias("_row"), F.lower(F.trim("action")).alias("_action"), F.filter(F.transform(F.split("values", "[\n;]"), F.trim), lambda x: x != "").alias("_values"))
+    asked = F.regexp_replace(F.lower(F.trim("action")), "[ _-]+", "_")
+    action = F.when(asked.isin("keep", "keep_combined", "combined"), "keep").when(asked.isin("split", "rename"), asked)
+    checked = F.when(action.isNull(), F.raise_error(F.concat(F.lit("no such action: "), F.coalesce("action", F.lit("none")))).cast("string")).otherwise(action)
+    right = decisions.select(F.col(row_id).alias("_row"), checked.alias("_action"), F.filter(F.transform(F.split("values", "[\n;]"), F.trim), lambda x: x != "").alias("_values"))
     got = df.join(right, F.col(row_id) == F.col("_row"), "left")
     given = F.when(F.size("_values") > 0, F.col("_values"))
     parts = F.when(F.col("_action") == "split", F.coalesce(given, names.multi_analyte_parts(F.col(column)))).when(F.col("_action") == "rename", F.slice(F.coalesce(given, F.array(column)), 1, 1)).otherwise(F.array(column))
@@ -213,3 +247,34 @@ def resolve_multi_analyte(df: DataFrame, column: str, decisions: DataFrame, row_
     other = [c for c in df.columns if c not in (column, "cleaning_flag")]
     got = got.select(*other, flag.alias("cleaning_flag"), F.col(column).alias("multi_analyte_original"), F.col("_action").alias("multi_analyte_action"), F.size(parts).alias("multi_analyte_count"), F.posexplode(parts).alias("_i", column))
     return got.withColumn("multi_analyte_index", F.col("_i") + 1).select(*df.columns, "multi_analyte_original", "multi_analyte_action", "multi_analyte_count", "multi_analyte_index")
+
+
+def override_table(overrides: dict[int, dict[str, object]]) -> list[tuple[int, str, object]]:
+    """(row, column, value) of overrides by row number, as older sessions kept them, in order."""
+    return [(row, c, v) for row, cells in sorted(overrides.items()) for c, v in cells.items()]
+
+
+def replayed_by_row(df: DataFrame, overrides: dict[int, dict[str, object]], row_id: str = "original_row_id") -> DataFrame:
+    """Overrides by row number, as older sessions kept them."""
+    return replayed(df, Spec([Override(c, v, {row_id: row}) for row, c, v in override_table(overrides)]))
+
+
+def wqx_choices(dictionary: DataFrame) -> DataFrame:
+    """label (the name and what it is) and canonical_name of each entry of the dictionary that has both."""
+    kind = F.when(F.col("type") == "canonical", "canonical").otherwise("alias") if "type" in dictionary.columns else F.lit("canonical")
+    return dictionary.filter("name <> '' and canonical_name <> ''").select(F.concat("name", F.lit(" ("), kind, F.lit(")")).alias("label"), "canonical_name")
+
+
+def wqx_names(values: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """value and canonical_name: itself where it is one, else that of the name it is, else null."""
+    v = values.select("value").distinct().withColumn("_v", F.nullif(F.trim("value"), F.lit("")))
+    d = dictionary.select(F.trim("name").alias("_n"), F.trim("canonical_name").alias("_c"))
+    own = d.select(F.col("_c").alias("_v")).distinct().withColumn("_own", F.col("_v"))
+    named = d.filter("_n <> '' and _c <> ''").groupBy(F.col("_n").alias("_v")).agg(F.min("_c").alias("_by"))
+    return v.join(own, "_v", "left").join(named, "_v", "left").select("value", F.coalesce("_own", "_by").alias("canonical_name"))
+
+
+def tagged_values(df: DataFrame, tags: dict[str, str], row_id: str = "original_row_id") -> DataFrame:
+    """row_id and its tagged cells as texts `column = 'value'`, in order, without blank ones."""
+    cells = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c} = '"), F.col(c).cast("string"), F.lit("'"))) for c in tags if c in df.columns]
+    return df.select(row_id, F.array_compact(F.array(*cells) if cells else F.array().cast("array<string>")).alias("cells"))

@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 HEAD_ROWS = 70
 # Words that headers of such tables have.
-KEYWORDS = ("name chemical compound substance analyte cas casrn number formula molecular weight mw smiles inchi id identifier code type class category value result concentration unit units qualifier date year species media "
-            "matrix sample location site method study hazard quantity notes").split()
+KEYWORDS = (
+    "name", "id", "date", "type", "value", "code", "description", "amount", "status", "category", "number", "chemical", "cas", "formula", "molecular", "structure", "compound", "substance", "reagent", "solvent",
+    "hazard", "safety", "ghs", "sds", "msds", "quantity", "qty", "mass", "volume", "concentration", "purity", "grade", "supplier", "manufacturer", "storage", "location", "expiry", "batch", "lot",
+)
 Cells = Sequence[str | None]
 
 
@@ -58,14 +60,15 @@ def by_heuristic(rows: Sequence[Cells], min_filled: float = 0.7, min_cols: int =
 
 
 def by_keywords(rows: Sequence[Cells]) -> Start | None:
-    best = None
-    for i, cells in enumerate(rows[:20]):
-        got = [c.lower() for c in _filled(cells)]
-        hits = sum(any(k in c for c in got) for k in KEYWORDS)
-        score = hits + 0.1 * sum(len(c) < 30 and not _number(c) for c in got)
-        if hits and (best is None or score > best[0]):
-            best = (score, i)
-    return Start(best[1] + 1, min(1.0, best[0] / len(KEYWORDS)), "pattern") if best else None
+    """The row, of the first 20, that names most of the words; short texts count a tenth each."""
+    scores = []
+    for cells in rows[:20]:
+        text = " ".join(c or "" for c in cells).lower()
+        scores.append(sum(k in text for k in KEYWORDS) + 0.1 * sum(c is not None and 2 < len(c) < 30 for c in cells))
+    if not scores:
+        return None
+    best = max(scores)
+    return Start(scores.index(best) + 1, min(1.0, best / len(KEYWORDS)), "pattern") if best else Start(1, 0.2, "pattern")
 
 
 def by_types(rows: Sequence[Cells], scan: int = 50) -> Start | None:

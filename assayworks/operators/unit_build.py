@@ -62,3 +62,17 @@ def changed_units(old: DataFrame, new: DataFrame) -> DataFrame:
     """from_unit values whose mapping is new or differs: only their rows need converting again."""
     cols = ["from_unit", "to_unit", "multiplier"]
     return new.select(*cols).exceptAll(old.select(*cols)).select("from_unit").distinct()
+
+
+def reharmonized(results: DataFrame, changed: DataFrame, table: DataFrame, harmonize, unit: str = "orig_unit") -> DataFrame:
+    """results with the rows converted again whose unit is among changed, or was unmatched; all others stay as they are.
+
+    harmonize: rows of results without its own columns, and the table, to rows with them.
+    """
+    from ..functions.units import OUTPUTS
+
+    stale = changed.select(F.lower(F.trim("from_unit")).alias("_u")).distinct().withColumn("_stale", F.lit(True))
+    marked = results.withColumn("_u", F.lower(F.trim(unit))).join(F.broadcast(stale) if stale.limit(200_001).count() <= 200_000 else stale, "_u", "left")
+    again = F.coalesce(F.col("_stale"), F.lit(False)) | (F.col("unit_flag") == "unmatched")
+    fresh = marked.filter(again).drop("_u", "_stale").withColumn("_unit", F.col(unit)).drop(*OUTPUTS)
+    return marked.filter(~again).select(*results.columns).unionByName(harmonize(fresh, table).select(*results.columns))

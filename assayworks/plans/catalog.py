@@ -143,7 +143,7 @@ select o_orderkey, raw_date, strftime(dt, '%Y-%m-%d') as parsed_date, cast(year(
 """)
 def date_parse(spark, d):
     df = _t(spark, d, "orders").select("o_orderkey", F.expr(_date_text("string")).alias("t"))
-    return df.select("o_orderkey", *[c.alias(k) for k, c in dates.parsed(F.col("t")).items()])
+    return dates.with_dates(df, "t").drop("t")
 
 
 # --- registry numbers -------------------------------------------------------------------------------------------------

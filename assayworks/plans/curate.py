@@ -58,7 +58,7 @@ def harmonized(df: DataFrame, tags: dict[str, str], table: DataFrame, vocabulary
         df = media.harmonized(df, col("Media"), vocabulary)
         route = "media_category"
     if col("StudyDate"):
-        df = df.withColumns({k: v for k, v in dates.parsed(F.col(col("StudyDate"))).items()})
+        df = dates.with_dates(df, col("StudyDate"))
     if col("Duration") and col("DurationUnit"):
         got = measurements.durations(df, col("Duration"), col("DurationUnit"), table)
         df = got.withColumnsRenamed({"harmonized_value": "duration_hours", "harmonized_unit": "duration_unit_out", "unit_flag": "duration_flag"}).drop("orig_unit", "conversion_factor")

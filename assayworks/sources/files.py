@@ -8,15 +8,17 @@ import os
 import re
 import zipfile
 from collections.abc import Iterable
+from dataclasses import dataclass
 from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 EXTENSIONS = ("csv", "xlsx", "xls")
 MAX_ROWS, MAX_COLS = 1_048_576, 16_384
 DELIMITERS = (",", ";", "\t")
-PROBE_BYTES = 1 << 16
+PROBE_LINES = 50
 
 
 def format_size(n: float) -> str:
@@ -35,18 +37,21 @@ def validate(path: str, max_mb: float = 50) -> None:
         raise ValueError(f"{format_size(size)} is more than {max_mb} MB")
 
 
-def _probe(spark: SparkSession, path: str) -> tuple[str, str]:
-    """Encoding and delimiter, from the first bytes as Spark reads them."""
-    got = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, PROBE_BYTES).alias("head")).first()
-    head = bytes(got["head"]) if got else b""
-    try:
-        text, encoding = head[: head.rfind(b"\n") + 1 or len(head)].decode("utf-8"), "UTF-8"
-    except UnicodeDecodeError:
-        text, encoding = head.decode("latin-1"), "ISO-8859-1"
-    lines = [x for x in text.splitlines() if x.strip()][:50]
-    count = {d: sorted(len(r) for r in csv.reader(lines, delimiter=d)) for d in DELIMITERS} if lines else {}
-    best = max(DELIMITERS, key=lambda d: (count[d][len(count[d]) // 2] if count else 0, -DELIMITERS.index(d)))
-    return encoding, best
+def _probe(spark: SparkSession, path: str) -> tuple[str, str, bool, int]:
+    """Encoding, delimiter, whether a field holds a line break, and the widest line's fields.
+
+    The delimiter is that of the first lines; the rest is one aggregate over all lines, so a byte or a quote at the file's end
+    counts like one at its head.
+    """
+    lines = spark.read.text(path)
+    head = [r["value"] for r in lines.limit(PROBE_LINES).collect()]
+    head = [x for x in head if x.strip()]
+    count = {d: sorted(len(r) for r in csv.reader(head, delimiter=d)) for d in DELIMITERS} if head else {}
+    sep = max(DELIMITERS, key=lambda d: (count[d][len(count[d]) // 2] if count else 0, -DELIMITERS.index(d)))
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    bare = F.regexp_replace("value", '"[^"]*"', "")
+    got = lines.agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.bool_or(quotes % 2 == 1).alias("open"), F.max(F.length(bare) - F.length(F.replace(bare, F.lit(sep))) + 1).alias("width")).first()
+    return "UTF-8" if got["utf8"] is not False else "ISO-8859-1", sep, bool(got["open"]), got["width"] or 0
 
 
 def numbered(df: DataFrame) -> DataFrame:
@@ -58,12 +63,13 @@ def numbered(df: DataFrame) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A raw grid _row, V1..Vn of text, without a header; encoding and delimiter are found from the file's head."""
-    encoding, sep = _probe(spark, path)
-    df = spark.read.csv(path, header=False, inferSchema=False, sep=sep, encoding=encoding, multiLine=True, quote='"', escape='"', mode="PERMISSIVE")
-    if not df.columns:
+    """A raw grid _row, V1..Vn of text, as wide as the widest line, without a header. A file without line breaks in its fields
+    is read in as many tasks as it has splits."""
+    encoding, sep, broken, width = _probe(spark, path)
+    if not width:
         raise ValueError(f"empty: {path}")
-    return numbered(df.toDF(*[f"V{i}" for i in range(1, len(df.columns) + 1)]))
+    schema = ", ".join(f"V{i} string" for i in range(1, width + 1))
+    return numbered(spark.read.csv(path, schema=schema, header=False, sep=sep, encoding=encoding, multiLine=broken, quote='"', escape='"', mode="PERMISSIVE"))
 
 
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
@@ -93,10 +99,28 @@ def _cells(raw: bytes, sheet: str | None) -> list[list[str | None]]:
         return rows
 
 
+def _bytes(spark: SparkSession, path: str) -> bytes:
+    return bytes(spark.read.format("binaryFile").load(path).select("content").first()["content"])
+
+
+def sheet_names(raw: bytes) -> list[str]:
+    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        return [s.get("name") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{{{_NS['m']}}}sheet")]
+
+
+def read_sheet(spark: SparkSession, raw: bytes, sheet: str) -> DataFrame:
+    """A sheet's rows under the names of its first."""
+    rows = _cells(raw, sheet)
+    names = [c or f"Column_{i}" for i, c in enumerate(rows[0], 1)] if rows else []
+    if not names:
+        return spark.createDataFrame([], "Column_1 string")
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    return spark.createDataFrame([tuple((r + [None] * len(names))[: len(names)]) for r in rows[1:]], schema)
+
+
 def read_xlsx(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
     """A raw grid of one sheet. A workbook holds about a million rows at most, and is one file: it is read on the driver."""
-    raw = bytes(spark.read.format("binaryFile").load(path).select("content").first()["content"])
-    rows = _cells(raw, sheet)
+    rows = _cells(_bytes(spark, path), sheet)
     width = max((len(r) for r in rows), default=0) or 1
     schema = "_row long, " + ", ".join(f"V{i} string" for i in range(1, width + 1))
     return spark.createDataFrame([(i, *r, *[None] * (width - len(r))) for i, r in enumerate(rows, 1)], schema)
@@ -176,23 +200,31 @@ def export_sheets(spark: SparkSession, tables: dict[str, DataFrame], tags: dict[
     return {s: every[s] for s in SHEETS if s in every}
 
 
-def write_export(sheets: dict[str, DataFrame], folder: str) -> None:
+def write_export(sheets: dict[str, DataFrame], path: str) -> None:
+    """A workbook (a path that ends in .xlsx, on the driver's disk), or a folder of Parquet tables, which has no size limit."""
+    if path.endswith(".xlsx"):
+        write_xlsx(sheets, path.removeprefix("file://"))
+        return
     for name, df in sheets.items():
-        df.write.mode("overwrite").parquet(f"{folder}/{name.lower().replace(' ', '_')}.parquet")
+        df.write.mode("overwrite").parquet(f"{path}/{name.lower().replace(' ', '_')}.parquet")
 
 
-def read_export(spark: SparkSession, folder: str) -> dict[str, DataFrame] | None:
-    """The sheets of an export of ours, or None for anything else."""
+def read_export(spark: SparkSession, path: str) -> dict[str, DataFrame] | None:
+    """The sheets of an export of ours, or None for anything else. A workbook's cells are texts."""
     from pyspark.errors import AnalysisException
 
     out = {}
-    for s in SHEETS:
+    if path.endswith(".xlsx"):
+        raw = _bytes(spark, path)
+        out = {s: read_sheet(spark, raw, s) for s in sheet_names(raw) if s in SHEETS}
+    for s in SHEETS if not path.endswith(".xlsx") else ():
         try:
-            out[s] = spark.read.parquet(f"{folder}/{s.lower().replace(' ', '_')}.parquet")
+            out[s] = spark.read.parquet(f"{path}/{s.lower().replace(' ', '_')}.parquet")
         except AnalysisException as e:
             if "PATH_NOT_FOUND" not in str(e.getCondition()):
                 raise
-    if "Pipeline Config" not in out or not out["Pipeline Config"].filter((F.col("Key") == MARKER[0]) & (F.lower("Value") == MARKER[1])).limit(1).count():
+    config = out.get("Pipeline Config")
+    if config is None or not {"Key", "Value"} <= set(config.columns) or not config.filter((F.col("Key") == MARKER[0]) & (F.lower(F.trim("Value")) == MARKER[1])).limit(1).count():
         return None
     return out
 
@@ -202,7 +234,8 @@ def config_of(sheets: dict[str, DataFrame]) -> dict[str, str | None]:
 
 
 def tags_of(sheets: dict[str, DataFrame]) -> dict[str, str]:
-    return {r["Column"]: r["Type"] for r in sheets["Column Tags"].collect()} if "Column Tags" in sheets else {}
+    rows = sheets["Column Tags"].filter("Column <> '' and Type <> ''").collect() if "Column Tags" in sheets else []
+    return {r["Column"]: r["Type"] for r in rows}
 
 
 def session_state(df: DataFrame, summary: DataFrame, columns: Iterable[str], row_id: str = "original_row_id") -> DataFrame:
@@ -212,17 +245,78 @@ def session_state(df: DataFrame, summary: DataFrame, columns: Iterable[str], row
     return state.unionByName(counts, allowMissingColumns=True)
 
 
+def summary_of(state: DataFrame) -> dict[str, float | str]:
+    """A session's counts by status; what is no number stays a text."""
+    if not {"record_type", "key", "value"} <= set(state.columns):
+        return {}
+
+    def value(x: str | None) -> float | str | None:
+        try:
+            return float(x)
+        except (TypeError, ValueError):
+            return x
+
+    return {r["key"]: value(r["value"]) for r in state.filter("record_type = 'summary' and key <> ''").select("key", "value").collect()}
+
+
 def restored(df: DataFrame, state: DataFrame, row_id: str = "original_row_id") -> DataFrame:
     """df with the review state of a session's rows."""
     rows = state.filter("record_type = 'row_state'")
     new = [c for c in rows.columns if c not in ("record_type", "row_index", "key", "value")]
-    kinds = dict(df.dtypes)
+    kinds = dict(df.dtypes) | {c: "boolean" for c in ("pinned",) if c not in df.columns}
     bools = {c: F.lower(F.trim(F.col(f"_s_{c}"))).isin("true", "t", "1", "yes") for c in new if kinds.get(c) == "boolean"}
-    right = rows.select(F.col("row_index").cast("long").alias("_row"), *[F.col(c).alias(f"_s_{c}") for c in new])
-    got = df.join(right, F.col(row_id) == F.col("_row"), "left")
+    right = rows.select(F.col("row_index").try_cast("double").cast("long").alias("_row"), *[F.when(F.col(c).cast("string") != "NA", F.col(c).cast("string")).alias(f"_s_{c}") for c in new])
+    got = df.join(right, F.col(row_id).cast("long") == F.col("_row"), "left")
     return got.withColumns({c: F.coalesce(bools[c], F.lit(False)) if c in bools else F.col(f"_s_{c}").try_cast(kinds.get(c, "string")) for c in new}).drop("_row", *[f"_s_{c}" for c in new])
 
 
+HARMONIZED = {"orig_row_id": "bigint", "orig_result": "string", "numeric_value": "double", "parse_flag": "string", "orig_unit": "string", "harmonized_value": "double", "harmonized_unit": "string", "conversion_factor": "double", "unit_flag": "string"}
+
+
+def harmonized_of(audit: DataFrame) -> DataFrame:
+    """The measurements' rows of a session's audit, with their types and with defaults for columns it lacks."""
+    default = lambda c: F.lit("") if c.endswith("_flag") else F.lit(None)
+    return audit.select(*[(F.coalesce(F.col(c).try_cast(k), default(c).cast(k)) if c in audit.columns else default(c).cast(k)).alias(c) for c, k in HARMONIZED.items()])
+
+
+@dataclass
+class Session:
+    raw: DataFrame | None
+    cleaned: DataFrame | None
+    curated: DataFrame | None
+    tags: dict[str, str]
+    config: dict[str, str | None]
+    summary: dict[str, float | str]
+    audit: DataFrame | None
+    harmonized: DataFrame | None
+    toxval: DataFrame | None
+    lists: dict[str, DataFrame]
+    warnings: list[str]
+
+
+def hydrated(sheets: dict[str, DataFrame], lists: dict[str, DataFrame] | None = None, row_id: str = "original_row_id") -> Session:
+    """A session as an export holds it; what does not fit together is a warning."""
+    from ..operators import consensus, references
+
+    curated, state, warnings = sheets.get("Curated Data"), sheets.get("Session State"), []
+    summary = summary_of(state) if state is not None else {}
+    if curated is not None:
+        n = curated.count()
+        if state is not None:
+            rows = state.filter("record_type = 'row_state'").count()
+            if rows != n:
+                warnings.append(f"the session state has {rows} rows, the curated data {n}: those in both are restored")
+            curated = restored(curated, state, row_id)
+        curated = consensus.with_state(curated)
+        if not summary and "consensus_status" in curated.columns:
+            summary = {r["status"]: float(r["n"]) for r in consensus.summary(curated).collect()}
+        if "Raw Data" in sheets and (raw := sheets["Raw Data"].count()) != n:
+            warnings.append(f"the raw data has {raw} rows, the curated data {n}: the state may be stale")
+    audit = sheets.get("Harmonization Audit")
+    own = references.imported(lists or {}, sheets["Reference Lists"]) if "Reference Lists" in sheets else dict(lists or {})
+    return Session(sheets.get("Raw Data"), sheets.get("Cleaned Data"), curated, tags_of(sheets), config_of(sheets), summary, sheets.get("Cleaning Audit"), harmonized_of(audit) if audit is not None else None, sheets.get("ToxVal Output"), own, warnings)
+
+
 def cached(spark: SparkSession, path: str, make) -> DataFrame:
     """A table read through a Parquet copy, made on first use."""
     from pyspark.errors import AnalysisException

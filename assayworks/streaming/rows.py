@@ -25,7 +25,7 @@ def converted(stream: DataFrame, table: DataFrame, value: str, unit: str) -> Dat
 
 
 def dated(stream: DataFrame, column: str) -> DataFrame:
-    return stream.withColumns(dates.parsed(F.col(column)))
+    return dates.with_dates(stream, column)
 
 
 def detected(stream: DataFrame, **options) -> DataFrame:
