@@ -139,7 +139,7 @@ def carry_element(parts: Column) -> Column:
 
 def multi_analyte_parts(c: Column) -> Column:
     cut = F.regexp_replace(F.regexp_replace(F.trim(c), NAKED_PLUS, "\n"), AND, "\n")
-    parts = F.filter(F.transform(F.split(cut, "\n"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(cut, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return F.coalesce(F.array_distinct(carry_element(parts)), F.array().cast("array<string>"))
 
 

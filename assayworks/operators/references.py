@@ -157,7 +157,7 @@ def functional_categories(df: DataFrame, column: str = "category") -> DataFrame:
     """term of each category without its agency mark; aliases in parentheses are terms of their own."""
     name = F.trim(F.regexp_replace(column, r"\s*\(EPA\)\s*", " "))
     inner = F.regexp_extract(name, r"\(([^)]*)\)", 1)
-    parts = F.concat(F.array(F.trim(F.regexp_replace(name, r"\([^)]*\)", ""))), F.filter(F.transform(F.split(inner, "[,;]"), F.trim), lambda x: x != ""))
+    parts = F.concat(F.array(F.trim(F.regexp_replace(name, r"\([^)]*\)", ""))), F.filter(F.transform(F.split(inner, "[,;]"), lambda x: F.trim(x)), lambda x: x != ""))
     return df.select(F.explode(parts).alias("term")).filter("term <> ''").distinct()
 
 

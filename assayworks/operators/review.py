@@ -238,7 +238,7 @@ def resolve_multi_analyte(df: DataFrame, column: str, decisions: DataFrame, row_
     asked = F.regexp_replace(F.lower(F.trim("action")), "[ _-]+", "_")
     action = F.when(asked.isin("keep", "keep_combined", "combined"), "keep").when(asked.isin("split", "rename"), asked)
     checked = F.when(action.isNull(), F.raise_error(F.concat(F.lit("no such action: "), F.coalesce("action", F.lit("none")))).cast("string")).otherwise(action)
-    right = decisions.select(F.col(row_id).alias("_row"), checked.alias("_action"), F.filter(F.transform(F.split("values", "[\n;]"), F.trim), lambda x: x != "").alias("_values"))
+    right = decisions.select(F.col(row_id).alias("_row"), checked.alias("_action"), F.filter(F.transform(F.split("values", "[\n;]"), lambda x: F.trim(x)), lambda x: x != "").alias("_values"))
     got = df.join(right, F.col(row_id) == F.col("_row"), "left")
     given = F.when(F.size("_values") > 0, F.col("_values"))
     parts = F.when(F.col("_action") == "split", F.coalesce(given, names.multi_analyte_parts(F.col(column)))).when(F.col("_action") == "rename", F.slice(F.coalesce(given, F.array(column)), 1, 1)).otherwise(F.array(column))

@@ -551,8 +551,10 @@ def audit_diff(spark, d):
 
 
 def queries() -> dict[str, Query]:
+    from . import entries  # noqa: F401 - adds its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return {k: v for k, v in _SQL.items() if k in queries()}

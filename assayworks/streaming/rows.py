@@ -34,9 +34,10 @@ def detected(stream: DataFrame, **options) -> DataFrame:
 
 def counted(stream: DataFrame, time: str, late: str = "10 minutes", window: str = "1 hour", key: str = "detection_event_class") -> DataFrame:
     """Events of each class by window of event time, with late rows up to the watermark."""
-    return stream.withWatermark(time, late).groupBy(F.window(time, window).alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), key, "n")
+    return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, window).alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), key, "n")
 
 
-def upserted(stream: DataFrame, merge, checkpoint: str):
-    """Runs merge(batch, number) for each micro-batch; started, with its checkpoint."""
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).start()
+def upserted(stream: DataFrame, merge, checkpoint: str, once: bool = False):
+    """Runs merge(batch, number) for each micro-batch; started, with its checkpoint. once: until all there is has been read."""
+    writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
