@@ -1,15 +1,20 @@
 """Exact top-k by inner product: norm-bucketed retrieval.
 
-Vectors are grouped by length into buckets, longest first; queries are taken in blocks, and every block meets every bucket.
+Vectors are grouped by length into buckets, longest first, and buckets into tiles; queries into blocks, and blocks into tiles.
 A query that has k results with a lowest score s needs from a bucket with longest vector l only vectors of cosine
 s / (|q| l) and more. From that local threshold each bucket is searched in one of two ways: where it is low, by length
 (only the bucket's vectors of length s / |q| and more, a prefix); where it is high, by coordinates (only vectors whose
 values in the query's largest coordinates can still reach the cosine). What is left is verified by exact products.
 
+Two rounds: first all queries meet the longest vectors and every SEED_EACH-th part of the rest, which gives each query a
+threshold; then a block goes only to tiles, and a bucket only to tiles of queries, where lengths still allow a result. A
+tile of vectors and one of queries meet in one task, each sent once, and a query has at most k results from it.
+
 Defined results: vectors that are null or empty, hold a null or non-finite component, or have a square beyond a double take
 no part; neither do rows without an id. Scores beyond 64 bits, which the SQL cannot give, are 2^63 - 1 with their sign.
 Vectors of different dimensions are not compared. Rows with the query's own id are not its results; repeated rows are
-results each, and equal queries are asked once. An empty table gives an empty table.
+results each, and equal queries are asked once; rows with one id and different vectors are one query, with the best of all
+their results. An empty table gives an empty table; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -21,14 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 SCALE = 64
-BUCKET_ROWS, BLOCK_ROWS, GROUP_BUCKETS = 2048, 256, 16
+BUCKET_ROWS, BLOCK_ROWS = 2048, 256
+#: Buckets of a part of the sorted vectors; parts of a tile, and blocks of a tile of queries, at most.
+PART_BUCKETS, TILE_PARTS, TILE_BLOCKS = 4, 16, 512
+#: Of the parts, each so-manyth is met in the first round.
+SEED_EACH = 16
 #: Above this local cosine threshold, bounds on coordinates leave fewer vectors than bounds on length.
 COORDINATE_FROM, FOCUS = 0.8, 4
-#: Query blocks whose results a task holds at once.
-MOST_BLOCKS = 64
 PACKED = "dim int, number bigint, top double, n int, ids binary, norms binary, vectors binary"
 
 
@@ -106,12 +113,13 @@ def _products(q: np.ndarray, v: np.ndarray, long_q: float, long_v: float) -> np.
 class _Block:
     """A block's queries with the best results so far."""
 
-    def __init__(self, k: int, dim: int, ids: bytes, norms: bytes, vectors: bytes):
+    def __init__(self, k: int, dim: int, ids: bytes, norms: bytes, vectors: bytes, lows: list[float | None] | None = None):
         self.k, self.dim = k, dim
         self.ids, self.norms = np.frombuffer(ids, "<i8"), np.frombuffer(norms, "<f8")
         self.q = _matrix(vectors, dim, len(self.ids))
         self.best = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in self.ids]
-        self.low = np.full(len(self.ids), -np.inf)  # a result must reach this score
+        # a result must reach this score
+        self.low = np.array([-np.inf if x is None else x for x in lows], float) if lows else np.full(len(self.ids), -np.inf)
 
     def meet(self, ids: np.ndarray, norms: np.ndarray, v: np.ndarray, top: float) -> None:
         # A query of length 0 scores 0 everywhere; its threshold is met by all or none.
@@ -159,45 +167,98 @@ class _Block:
         if len(order) == self.k:
             self.low[j] = s[order[-1]]
 
-    def out(self) -> pa.RecordBatch:
+    def out(self, number: int) -> pa.Table:
         n = [len(i) for i, _ in self.best]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(self.ids, n)), pa.array(np.concatenate([i for i, _ in self.best])), pa.array(np.concatenate([s for _, s in self.best]))],
-            names=["query_id", "vec_id", "score"],
-        )
+        cols = [np.full(sum(n), number), np.repeat(np.arange(len(n), dtype=np.int32), n), np.repeat(self.ids, n), *(np.concatenate([x[c] for x in self.best]) for c in (0, 1))]
+        return pa.table(cols, names=["number", "j", "query_id", "vec_id", "score"])
+
+
+FOUND = "number bigint, j int, query_id bigint, vec_id bigint, score bigint"
+
+
+def met(blocks: DataFrame, buckets: DataFrame, k: int) -> DataFrame:
+    """The best k of each tile's vectors for each query of a block that is sent there. Both sides have dim, tile and block_tile."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        parts = []
+        if left.num_rows and right.num_rows:
+            rows = sorted(right.select(["top", "ids", "norms", "vectors"]).to_pylist(), key=lambda r: -r["top"])
+            dim = left.column("dim")[0].as_py()
+            for r in rows:
+                r["ids"], r["norms"] = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["norms"], "<f8")
+            for q in left.select(["number", "ids", "norms", "vectors", "lows"]).to_pylist():
+                block = _Block(k, dim, q["ids"], q["norms"], q["vectors"], q["lows"])
+                for r in rows:
+                    block.meet(r["ids"], r["norms"], _matrix(r["vectors"], dim, len(r["ids"])), r["top"])
+                parts.append(block.out(q["number"]))
+        return pa.concat_tables(parts) if parts else pa.table([pa.array([], t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())], names=["number", "j", "query_id", "vec_id", "score"])
+
+    key = ("dim", "tile", "block_tile")
+    return blocks.groupBy(*key).cogroup(buckets.groupBy(*key)).applyInArrow(run, FOUND)
 
 
 def top_k(spark: SparkSession, df: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector: str = "embedding", scale: float = SCALE) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of all rows for every row where is_query holds, ties to the smaller id."""
-    vectors, _ = written(spark, scaled(df, key, vector, scale), "vectors")
+    vectors, p1 = written(spark, scaled(df, key, vector, scale), "vectors")
     count = vectors.count()
-    parts = max(1, -(-count // (4 * BUCKET_ROWS)))
+    parts = max(1, -(-count // (PART_BUCKETS * BUCKET_ROWS)))
     ordered = vectors.repartitionByRange(parts, F.col("norm").desc(), F.col("vec_id")).sortWithinPartitions(F.col("norm").desc(), "vec_id")
-    buckets, _ = written(spark, packed(ordered, BUCKET_ROWS), "buckets")
+    buckets, p2 = written(spark, packed(ordered, BUCKET_ROWS), "buckets")
     asked = vectors.filter(is_query).dropDuplicates(["vec_id", "v"])
-    blocks, _ = written(spark, packed(asked.coalesce(max(1, -(-count // (100 * BLOCK_ROWS)))), BLOCK_ROWS), "queries")
-    # Every block goes to each group of buckets, by key.
-    groups = max(1, -(-buckets.count() // GROUP_BUCKETS))
-    left = blocks.select("dim", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), *[F.col(c).alias(f"q_{c}") for c in ("number", "ids", "norms", "vectors")])
-    right = buckets.withColumn("g", F.pmod(F.xxhash64("number"), F.lit(groups)).cast("int")).select("dim", "g", "top", "ids", "norms", "vectors")
+    blocks, p3 = written(spark, packed(asked.coalesce(max(1, -(-count // (100 * BLOCK_ROWS)))), BLOCK_ROWS), "queries")
+    # Parts follow each other in length, so a tile is a run of parts: many for a small table, so that all cores have one.
+    tiles = max(-(-parts // TILE_PARTS), min(parts, spark.sparkContext.defaultParallelism))
+    block_tiles = max(1, -(-blocks.count() // TILE_BLOCKS))
+    part = F.shiftright("number", 32)
+    buckets = buckets.withColumns({"part": part, "tile": F.floor(part * tiles / parts).cast("int")})
+    block_tile = F.pmod(F.xxhash64("number"), F.lit(block_tiles)).cast("int").alias("block_tile")
+    numbers = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+
+    def sent(lows: DataFrame | None, seed: bool) -> DataFrame:
+        mine = blocks.select("dim", "number", "ids", "norms", "vectors", block_tile)
+        if lows is None:
+            mine = mine.withColumns({"lows": F.lit(None).cast("array<double>"), "need": F.lit(-1.0)})
+        else:
+            mine = mine.join(lows, "number", "left").withColumn("need", F.coalesce("need", F.lit(-1.0)))
+        theirs = buckets.filter((F.col("part") % SEED_EACH == 0) == seed).select("dim", "tile", "top", "ids", "norms", "vectors")
+        # A small row for each tile of either kind: what its longest vector can reach, and what its least demanding query needs.
+        tops = theirs.groupBy("dim", "tile").agg(F.max("top").alias("reach"))
+        needs = mine.groupBy("dim", "block_tile").agg(F.min("need").alias("need"))
+        left = mine.select("*", numbers(tiles, "tile")).join(tops, ["dim", "tile"]).filter("reach >= need").drop("reach", "need")
+        right = theirs.select("*", numbers(block_tiles, "block_tile")).join(needs, ["dim", "block_tile"]).filter("top >= need").drop("need")
+        return met(left, right, k)
+
+    first, p4 = written(spark, sent(None, True), "first")
+    # The k-th best score so far of each query, and the length that a block's least demanding query needs.
+    kth = first.groupBy("number", "j").agg(F.get(F.sort_array(F.collect_list("score"), asc=False), F.lit(k - 1)).cast("double").alias("low"))
+    norms = blocks.select("number", "n", F.col("norms").alias("raw"))
+    lows = kth.groupBy("number").agg(F.array_sort(F.collect_list(F.struct("j", "low"))).alias("x"))
+    lows = _needed(lows.join(norms, "number"))
+    second, p5 = written(spark, sent(lows, False), "second")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    got = first.unionByName(second).withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    got, _ = written(spark, got, "top")
+    dropped(spark, p1, p2, p3, p4, p5)
+    return got
+
+
+def _needed(lows: DataFrame) -> DataFrame:
+    """number, lows (of all the block's queries, null where there are fewer than k results) and the length that any of them needs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, _Block] = {}
         for batch in batches:
-            for row in range(batch.num_rows):
-                x = {c: batch.column(c)[row].as_py() for c in ("dim", "q_number", "top", "ids", "norms", "vectors")}
-                block = held.get(x["q_number"])
-                if block is None:
-                    if len(held) >= MOST_BLOCKS:
-                        yield held.pop(next(iter(held))).out()
-                    block = held[x["q_number"]] = _Block(k, x["dim"], *(batch.column(c)[row].as_py() for c in ("q_ids", "q_norms", "q_vectors")))
-                block.meet(np.frombuffer(x["ids"], "<i8"), np.frombuffer(x["norms"], "<f8"), _matrix(x["vectors"], x["dim"], len(x["ids"]) // 8), x["top"])
-        for block in held.values():
-            yield block.out()
-
-    found = left.join(right, ["dim", "g"]).mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            out, need = [], []
+            for x, n, raw in zip(*(batch.column(c).to_pylist() for c in ("x", "n", "raw")), strict=True):
+                low: list[float | None] = [None] * n
+                for r in x:
+                    low[r["j"]] = r["low"]
+                # a query without a positive threshold needs all lengths
+                least = [v / l * (1 - 1e-12) if v is not None and v > 0 and l > 0 else -1.0 for v, l in zip(low, np.frombuffer(raw, "<f8").tolist(), strict=True)]
+                out.append(low)
+                need.append(min(least))
+            yield pa.RecordBatch.from_arrays([batch.column("number"), pa.array(out, pa.list_(pa.float64())), pa.array(need, pa.float64())], names=["number", "lows", "need"])
+
+    return lows.mapInArrow(run, "number bigint, lows array<double>, need double")
 
 
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
