@@ -3,8 +3,15 @@
 A rule is a canonical URL without scheme (`host/path`), with a verdict. It fits its host and all subdomains where the
 page's path starts with the rule's path; the longest fitting rule wins, and of rules listed twice a block wins.
 
+The filter holds each rule and each rule's host. A page's host gives as many probes as it has labels, but no more than any
+rule's host has; only a host that passes is probed with its path, at each length that the path of any rule has. So a page's
+probes do not grow with the list, and the plan has no part for each rule. What passes is joined with the rules, which
+removes false positives; where the list is too long to broadcast, the join is salted, since a rule like `org/` may fit a
+third of all pages.
+
 Defined results: a null url, or one without `://`, has an empty host and path, no rule, and the default verdict; repeated
-rows are judged one by one; an empty table or an empty list gives no hits; other columns are not looked at.
+rows are judged one by one; of rules of one length for one page, which have one text, a block wins; an empty table or an
+empty list gives no hits; columns other than those asked for are not looked at, and these may not be named like an output.
 """
 
 from __future__ import annotations
@@ -24,6 +31,9 @@ BITS_PER_KEY = 24
 MAX_BLOCKS = 1 << 16
 #: Rules up to this count (of at most MAX_RULE_CHARS each) are broadcast for the exact join; beyond, the join shuffles.
 MAX_BROADCAST_RULES, MAX_RULE_CHARS = 20_000, 2048
+#: Copies of each rule that a salted join meets.
+SALTS = 16
+OUTPUTS = ("host", "path", "rule", "verdict")
 
 
 def host_of(url: Column) -> Column:
@@ -70,35 +80,45 @@ def bloom_words(keys: DataFrame, blocks: int) -> DataFrame:
 
 def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", keep: Iterable[str] = ("page_id",), default: str = "allow") -> DataFrame:
     """keep + host, path, rule, verdict for every row of pages; rules has the columns rule and verdict."""
-    spark = pages.sparkSession
+    keep = list(keep)
+    if clash := set(OUTPUTS) & set(keep):
+        raise ValueError(f"columns named like an output: {sorted(clash)}")
     rules = rules.filter("rule is not null and verdict is not null").groupBy("rule").agg(F.max("verdict").alias("verdict"))  # 'block' > 'allow'
-    split = F.regexp_extract("rule", "(?s)^([^/]*)(.*)$", 1)
-    shapes = rules.select(_labels(split).alias("labels"), (F.length("rule") - F.length(split)).alias("chars")).distinct().collect()
-    count = rules.count()
+    hosts = F.regexp_extract("rule", "(?s)^([^/]*)(.*)$", 1)
+    count, longest = rules.agg(F.count("*"), F.max(F.length("rule"))).first()
     base = pages.select(*keep, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     none = F.lit(None).cast("string")
     if not count:
         return base.withColumns({"rule": none, "verdict": F.lit(default)})
+    # Rules that end with their host have a path of no characters and no / to tell them from the host itself.
+    keys = rules.select("rule").unionByName(rules.select(F.concat(F.lit("/"), hosts).alias("rule"))).distinct()
     blocks = 1
-    while blocks < min(MAX_BLOCKS, count * BITS_PER_KEY / 256):
+    while blocks < min(MAX_BLOCKS, 2 * count * BITS_PER_KEY / 256):
         blocks *= 2
-    # A probe for each shape of rule: so many last labels of the host, so many first characters of the path.
-    probe = lambda s: F.when((F.col("labels") >= s["labels"]) & (F.length("path") >= s["chars"]), F.concat(F.substring_index("host", ".", -s["labels"]), F.substring("path", 1, s["chars"])))
-    probed = base.withColumns({"uid": F.monotonically_increasing_id(), "labels": _labels(F.col("host"))})
-    probed = probed.withColumn("probes", F.array_compact(F.array(*[probe(s) for s in shapes])))
-    words = bloom_words(rules, blocks).withColumn("one", F.lit(1))
-    probed = probed.withColumn("one", F.lit(1)).join(F.broadcast(words), "one", "left")
+    # What probes need of the list: one row, bounded by the filter's size and the longest rule.
+    chars = F.length("rule") - F.length(hosts)
+    shape = rules.agg(F.max(_labels(hosts)).alias("most_labels"), F.sort_array(F.collect_set(chars)).alias("chars"))
+    one = bloom_words(keys, blocks).withColumn("one", F.lit(1)).join(shape.withColumn("one", F.lit(1)), "one")
+    probed = base.withColumns({"uid": F.monotonically_increasing_id(), "one": F.lit(1)}).join(F.broadcast(one), "one", "left")
 
     def passes(key: Column) -> Column:
         at = _block(key, blocks) * WORDS
         found = [F.get("words", at + j).bitwiseAND(m) == m for j, m in enumerate(_masks(key))]
         return found[0] & found[1] & found[2] & found[3]
 
-    probed = probed.select(*keep, "host", "path", "uid", F.filter("probes", passes).alias("hits"))
+    suffixes = F.transform(F.sequence(F.lit(1), F.least(_labels(F.col("host")), F.col("most_labels"))), lambda k: F.call_function("substring_index", F.col("host"), F.lit("."), -k))
+    probed = probed.withColumn("hosts", F.filter(suffixes, lambda h: passes(F.concat(F.lit("/"), h))))
+    fits = F.filter("chars", lambda n: n <= F.length("path"))
+    probes = F.flatten(F.transform("hosts", lambda h: F.transform(fits, lambda n: F.concat(h, F.col("path").substr(F.lit(1), n)))))
+    probed = probed.withColumn("hits", F.when(F.size("hosts") > 0, F.filter(probes, passes)).otherwise(F.array().cast("array<string>")))
+    probed = probed.select(*keep, "host", "path", "uid", "hits")
     missed = probed.filter(F.size("hits") == 0).select(*keep, "host", "path", none.alias("rule"), F.lit(default).alias("verdict"))
     hits = probed.filter(F.size("hits") > 0).select(*keep, "host", "path", "uid", F.explode("hits").alias("rule"))
-    small = count <= MAX_BROADCAST_RULES and rules.agg(F.max(F.length("rule"))).first()[0] <= MAX_RULE_CHARS
-    exact = hits.join(F.broadcast(rules) if small else rules, "rule", "left")
+    if count <= MAX_BROADCAST_RULES and longest <= MAX_RULE_CHARS:
+        exact = hits.join(F.broadcast(rules), "rule", "left")
+    else:
+        salted = rules.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        exact = hits.withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(SALTS)).cast("int")).join(salted, ["rule", "salt"], "left").drop("salt")
     best = F.max(F.when(F.col("verdict").isNotNull(), F.struct(F.length("rule").alias("n"), F.col("rule"), F.col("verdict"))))
     found = exact.groupBy("uid", *keep, "host", "path").agg(best.alias("best"))
     found = found.select(*keep, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
