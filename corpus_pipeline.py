@@ -2,7 +2,9 @@
 
 Toxic documents and those that miss a quality rule go, one document of each group of near-duplicates stays, secrets are
 replaced by their kind in the text, and what remains is packed into sequences. Rows without a doc_id pass the near-duplicate
-stage, which links documents by their ids; of rows that repeat a doc_id one stays there.
+stage, which links documents by their ids. Of rows with one doc_id and one text, one stays there, that with the smallest
+other columns; of rows with one doc_id and different texts each text stays, so no text is lost for its id. A null text is
+an empty document, which misses the quality rules; an empty table gives an empty one; other columns are not carried.
 """
 
 from __future__ import annotations
@@ -29,13 +31,15 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ready(spark)
-    found = near_dup.near_duplicates(spark, docs)
-    gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
-    if found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        named = kept.filter("doc_id is not null").dropDuplicates(["doc_id"])
-        kept = named.unionByName(kept.filter("doc_id is null"))
-    return kept.select(*COLUMNS)
+    found = near_dup.near_duplicates(spark, docs).filter("doc_id is not null")
+    # a row for each id: whether its group keeps another, and whether several rows share it
+    ids = found.groupBy("doc_id").agg(F.min("component_id").alias("first"), F.count("*").alias("n"))
+    told = ids.filter("first <> doc_id or n > 1")
+    kept = docs.select(*COLUMNS).join(told, "doc_id", "left").filter("first is null or first = doc_id")
+    once = kept.filter("n is null").select(*COLUMNS)
+    rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    shared = kept.filter("n is not null").groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("r"))
+    return once.unionByName(shared.select("doc_id", "text", "r.*"))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
