@@ -32,7 +32,7 @@ ROW_GROUP_BYTES, PAGE_BYTES, DICTIONARY_BYTES, PAGE_ROWS = 8 << 20, 128 << 10, 2
 #: Bytes of a batch to and from Python; a longer document is a batch of its own.
 BATCH_BYTES = 2 << 20
 #: Bytes of input, as stored, that one file of ids is made from.
-FILE_BYTES = 32 << 20
+FILE_BYTES = 16 << 20
 
 
 def crc32_of(ids: np.ndarray) -> int:
