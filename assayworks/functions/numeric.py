@@ -81,11 +81,15 @@ def parsed(df: DataFrame, value: str) -> DataFrame:
     df = df.withColumn("_narrative", is_narrative(F.col("_rest")))
     df = df.withColumns({"_number": F.when(~F.col("_narrative"), as_number(F.col("_rest"))), "_q": F.coalesce("_q", F.lit(""))})
     lo, hi = F.col("_range.lo"), F.col("_range.hi")
-    flag = F.when(F.col("_narrative"), "narrative").when(F.col("_number").isNull(), "unparseable").otherwise("")
-    row = lambda v, q, b, f: F.struct(v.alias("numeric_value"), q.alias("qualifier"), F.lit(b).alias("range_bin"), f.alias("parse_flag"))
-    none = F.lit("")
-    bins = F.array(row(lo, F.lit(">="), "low", none), row((lo + hi) / 2, F.lit("~"), "mid", none), row(hi, F.lit("<="), "high", none))
-    one = F.array(row(F.col("_number"), F.col("_q"), "as_is", flag))
-    df = df.withColumn("_rows", F.when(lo.isNotNull() & hi.isNotNull(), bins).otherwise(one))
-    own = ("_s", "_n", "_range", "_q", "_rest", "_number", "_narrative", "_rows")
-    return df.select(*[c for c in df.columns if c not in own], F.inline("_rows"))
+    bins = F.when(lo.isNotNull() & hi.isNotNull(), F.array(F.lit("low"), F.lit("mid"), F.lit("high"))).otherwise(F.array(F.lit("as_is")))
+    # The generator's own filter on empty arrays would be pushed below all steps, with a copy of each for every use; the row
+    # number keeps it here.
+    df = df.withColumn("_bins", bins if df.isStreaming else F.when(F.monotonically_increasing_id() >= 0, bins))
+    own = ("_s", "_n", "_range", "_q", "_rest", "_number", "_narrative", "_bins", "range_bin")
+    kept = [c for c in df.columns if c not in own]
+    df = df.select(*kept, "_range", "_q", "_number", "_narrative", F.explode("_bins").alias("range_bin"))
+    bin_ = F.col("range_bin")
+    value = F.when(bin_ == "as_is", F.col("_number")).when(bin_ == "low", lo).when(bin_ == "high", hi).otherwise((lo + hi) / 2)
+    sign = F.when(bin_ == "as_is", F.col("_q")).when(bin_ == "low", ">=").when(bin_ == "high", "<=").otherwise("~")
+    flag = F.when(bin_ != "as_is", "").when(F.col("_narrative"), "narrative").when(F.col("_number").isNull(), "unparseable").otherwise("")
+    return df.select(*kept, value.alias("numeric_value"), sign.alias("qualifier"), "range_bin", flag.alias("parse_flag"))

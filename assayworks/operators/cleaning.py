@@ -231,7 +231,7 @@ def flag_references_step(df: DataFrame, cols: list[str], rules: Iterable[tuple],
         why = F.concat(F.lit("Matched '"), hit["term"], F.lit("' (source: "), hit["source"], F.lit(", match type: "), how, F.lit(f") in {c}"))
         entry = F.struct(F.lit(c).alias("field"), F.lit(f"flag_{kind}").alias("step"), v.cast("string").alias("original_value"), new.alias("new_value"), why.alias("reason"))
         made = made.withColumns({LOG: F.when(hit.isNotNull(), F.concat(LOG, F.array(entry))).otherwise(F.col(LOG)), "_flag": F.coalesce(new, flag)}).drop("_exact", "_found")
-    return Step(made.withColumn("cleaning_flag", F.col("_flag")).drop("_flag"))
+    return Step(text.fenced(made.withColumn("cleaning_flag", F.col("_flag")).drop("_flag"), ["cleaning_flag"]))
 
 
 #: Patterns of first_match(); a longer list is refused.
