@@ -11,6 +11,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,7 +52,22 @@ def _probe(spark: SparkSession, path: str) -> tuple[str, str, bool, int]:
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
     bare = F.regexp_replace("value", '"[^"]*"', "")
     got = lines.agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.bool_or(quotes % 2 == 1).alias("open"), F.max(F.length(bare) - F.length(F.replace(bare, F.lit(sep))) + 1).alias("width")).first()
-    return "UTF-8" if got["utf8"] is not False else "ISO-8859-1", sep, bool(got["open"]), got["width"] or 0
+    encoding, broken, width = "UTF-8" if got["utf8"] is not False else "ISO-8859-1", bool(got["open"]), got["width"] or 0
+    return encoding, sep, broken, _widest(spark, path, encoding, sep) if broken else width
+
+
+def _widest(spark: SparkSession, path: str, encoding: str, sep: str) -> int:
+    """The fields of the widest record of a file whose fields hold line breaks, so that its lines do not tell."""
+
+    def run(batches):
+        csv.field_size_limit(1 << 30)
+        for batch in batches:
+            for raw in batch.column("value").to_pylist():
+                rows = csv.reader(io.StringIO(raw.decode(encoding), newline=""), delimiter=sep)
+                yield pa.RecordBatch.from_arrays([pa.array([max((len(r) for r in rows), default=0)])], names=["width"])
+
+    whole = spark.read.text(path, wholetext=True).select(F.col("value").cast("binary").alias("value"))
+    return whole.mapInArrow(run, "width bigint").agg(F.max("width")).first()[0] or 0
 
 
 def numbered(df: DataFrame) -> DataFrame:
@@ -260,10 +276,12 @@ def summary_of(state: DataFrame) -> dict[str, float | str]:
 
 
 def restored(df: DataFrame, state: DataFrame, row_id: str = "original_row_id") -> DataFrame:
-    """df with the review state of a session's rows."""
+    """df with the review state of a session's rows, in the types that review state has."""
+    from ..operators.consensus import REVIEW, STATE
+
     rows = state.filter("record_type = 'row_state'")
     new = [c for c in rows.columns if c not in ("record_type", "row_index", "key", "value")]
-    kinds = dict(df.dtypes) | {c: "boolean" for c in ("pinned",) if c not in df.columns}
+    kinds = dict(df.dtypes) | STATE | REVIEW
     bools = {c: F.lower(F.trim(F.col(f"_s_{c}"))).isin("true", "t", "1", "yes") for c in new if kinds.get(c) == "boolean"}
     right = rows.select(F.col("row_index").try_cast("double").cast("long").alias("_row"), *[F.when(F.col(c).cast("string") != "NA", F.col(c).cast("string")).alias(f"_s_{c}") for c in new])
     got = df.join(right, F.col(row_id).cast("long") == F.col("_row"), "left")
