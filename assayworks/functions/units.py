@@ -30,8 +30,6 @@ RADIOACTIVITY = (
     ("pCi", 1.0), ("picocurie", 1.0), ("picocuries", 1.0), ("nCi", 1e3), ("uCi", 1e6), ("µCi", 1e6), ("mCi", 1e9), ("Ci", 1e12),
     ("Bq", 27.027027027027), ("mBq", 0.027027027027027), ("uBq", 0.000027027027027), ("µBq", 0.000027027027027), ("kBq", 27027.027027027),
 )
-#: Units that only name what they count, for a library of units that has none of them.
-COUNTED = ("NTU", "FTU", "JTU", "CFU", "MPN")
 
 
 def radiological_rows() -> list[tuple]:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cas, names
 from ..functions.similarity import jaro_similarity
+from ..sources.shared import stored
 
 RESULT = ("search_value", "dtxsid", "preferred_name", "search_name", "rank", "source_tier", "tier_order")
 TIERS = ("exact", "cas_in_name", "wqx", "starts_with", "miss", "cas")
@@ -68,18 +69,26 @@ def search_starts_with(values: DataFrame, catalog: DataFrame, least: int = 3) ->
     return _tier(_best(found, "search_value"), "starts_with")
 
 
+def _letters(c: Column) -> Column:
+    """A text's characters, each with how often it was there before: equal texts of a bag of characters."""
+    chars = F.split(c, "")
+    return F.transform(chars, lambda x, i: F.concat(x, F.size(F.filter(F.slice(chars, F.lit(1), i), lambda y: y == x)).cast("string")))
+
+
 def fuzzy(values: DataFrame, targets: DataFrame, threshold: float = 0.85, beyond: bool = True) -> DataFrame:
     """search_value, wqx_name, match_distance: the nearest target of each distinct value by Jaro, ties by name.
 
-    A similarity s needs min(len)/max(len) >= 3 s - 2, so with lengths as an equi-join key only lengths near enough meet;
-    a value with no target of such a length has none within the threshold. With `beyond`, values with none within the
-    threshold then meet targets of the other lengths as far as these can be as near as what was found.
+    A similarity s needs min(len)/max(len) >= 3 s - 2, so with lengths as an equi-join key only lengths near enough meet, and
+    (3 s - 1) la lb / (la + lb) characters in common, which a count of bags of characters checks before any pair is scored.
+    What is within the threshold is found so. With `beyond`, values with nothing within it then meet all targets that by
+    their lengths can be as near as what was found.
     """
     share = max(0.0, 3 * threshold - 2)
-    v = values.withColumn("_n", F.length("search_key"))
-    lengths = targets.select(F.length("target_key").alias("_tn")).distinct()
-    sized = targets.withColumn("_tn", F.length("target_key"))
+    v = stored(values.withColumns({"_n": F.length("search_key"), "_bag": _letters(F.col("search_key"))}), "fuzzy-values")
+    sized = stored(targets.withColumns({"_tn": F.length("target_key"), "_tbag": _letters(F.col("target_key"))}), "fuzzy-targets")
+    lengths = sized.select("_tn").distinct()
     fits = F.least("_n", "_tn") >= F.greatest("_n", "_tn") * share
+    common = F.size(F.array_intersect("_bag", "_tbag")) >= (3 * threshold - 1) * F.col("_n") * F.col("_tn") / F.greatest(F.col("_n") + F.col("_tn"), F.lit(1)) - 1e-9
 
     def best(rows: DataFrame) -> DataFrame:
         return rows.groupBy("search_value").agg(F.min_by(F.struct(F.col("target").alias("wqx_name"), "match_distance"), F.struct("match_distance", "target")).alias("b")).select("search_value", "b.*")
@@ -89,13 +98,13 @@ def fuzzy(values: DataFrame, targets: DataFrame, threshold: float = 0.85, beyond
 
     scored = lambda rows: rows.withColumn("match_distance", 1 - jaro_similarity("search_key", "target_key"))
     pairs = v.select("_n").distinct().join(F.broadcast(lengths))
-    near = best(scored(met(v, pairs.filter(fits))))
+    near = stored(best(scored(met(v, pairs.filter(fits)).filter(common))), "near")
     if not beyond:
         return near
     left = v.join(near.select("search_value", F.col("match_distance").alias("_d")), "search_value", "left").filter(f"_d is null or _d > {1 - threshold} + 1e-12")
     # a distance is a third of the lengths' difference, as a share of the longer, at least; an empty text has the distance 1
     able = (1 - F.least("_n", "_tn") / F.greatest("_n", "_tn", F.lit(1))) / 3 <= F.coalesce("_d", F.lit(1.0)) + 1e-9
-    far = best(scored(met(left, pairs.filter(~fits)).filter(able)))
+    far = best(scored(met(left, pairs).filter(able)))
     both = near.unionByName(far).withColumnRenamed("wqx_name", "target")
     return best(both)
 
@@ -112,7 +121,7 @@ def match_wqx(values: DataFrame, dictionary: DataFrame, threshold: float = 0.85,
     canonical = d.filter("type = 'canonical'").groupBy("_key").agg(F.min("canonical_name").alias("wqx_name"))
     alias = d.filter("type <> 'canonical'").groupBy("_key").agg(F.min_by(F.struct(F.col("canonical_name").alias("a_name"), F.col("type").alias("a_type")), F.struct(rank, "canonical_name")).alias("a")).select("_key", "a.*")
     v = values.select("search_value").distinct().withColumn("_key", names.wqx_key(F.col("search_value")))
-    got = v.join(canonical, "_key", "left").join(alias, "_key", "left")
+    got = stored(v.join(canonical, "_key", "left").join(alias, "_key", "left"), "wqx-keys")
     missing = got.filter("wqx_name is null and a_name is null").select("search_value", F.col("_key").alias("search_key"))
     near = fuzzy(missing, canonical.select(F.col("_key").alias("target_key"), F.col("wqx_name").alias("target")), threshold, beyond).select("search_value", F.col("wqx_name").alias("f_name"), "match_distance")
     got = got.join(near, "search_value", "left")
@@ -124,19 +133,23 @@ def match_wqx(values: DataFrame, dictionary: DataFrame, threshold: float = 0.85,
 
 
 def tiered(names_: DataFrame, numbers: DataFrame, catalog: DataFrame, dictionary: DataFrame | None = None, starts_with: bool = False, threshold: float = 0.85) -> DataFrame:
-    """Results of every tier in turn, each over what the tiers before left, and of the registry numbers."""
-    exact = search_exact(names_, catalog)
-    left = names_.join(exact.select("search_value"), "search_value", "left_anti")
-    in_name = search_cas(left, catalog, "cas_in_name")
+    """Results of every tier in turn, each over what the tiers before left, and of the registry numbers.
+
+    Each tier's results and what it leaves are stored, so a tier's plan does not repeat those of all tiers before it.
+    """
+    exact = stored(search_exact(names_, catalog), "tier-exact")
+    left = stored(names_.join(exact.select("search_value"), "search_value", "left_anti"), "tier-left")
+    in_name = stored(search_cas(left, catalog, "cas_in_name"), "tier-cas")
     out = [exact, in_name]
-    left = left.join(in_name.filter("dtxsid is not null").select("search_value"), "search_value", "left_anti")
+    left = stored(left.join(in_name.filter("dtxsid is not null").select("search_value"), "search_value", "left_anti"), "tier-left")
     if dictionary is not None:
         w = match_wqx(left, dictionary, threshold, beyond=False).filter("wqx_name is not null")
         w = w.select(F.col("input_name").alias("search_value"), F.lit(None).cast("string").alias("dtxsid"), F.col("wqx_name").alias("preferred_name"), F.col("wqx_name").alias("search_name"), F.lit(None).cast("int").alias("rank"), F.col("match_tier").alias("source_tier"), F.lit(TIERS.index("wqx")).alias("tier_order"))
+        w = stored(w, "tier-wqx")
         out.append(w)
-        left = left.join(w.select("search_value"), "search_value", "left_anti")
+        left = stored(left.join(w.select("search_value"), "search_value", "left_anti"), "tier-left")
     if starts_with:
-        p = search_starts_with(left, catalog)
+        p = stored(search_starts_with(left, catalog), "tier-prefix")
         out.append(p)
         left = left.join(p.select("search_value"), "search_value", "left_anti")
     none = [F.lit(None).cast(t).alias(c) for c, t in (("dtxsid", "string"), ("preferred_name", "string"), ("search_name", "string"), ("rank", "int"))]

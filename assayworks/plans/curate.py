@@ -95,7 +95,11 @@ def curate(spark: SparkSession, input_path: str, output_path: str | None = None,
         out.data, out.harmonized, _ = harmonized(data, tags, table, vocabulary)
         out.toxval = toxval.mapped(out.data, out.harmonized, source, tags)
         toxval.assert_typed(out.toxval)
-    if output_path:
+    if output_path and output_path.endswith(".xlsx"):
+        state = files.session_state(out.data, out.summary, consensus.REVIEW) if out.summary is not None else None
+        tables = {"Raw Data": df, "Cleaned Data": step.data, "Curated Data": out.data, "Summary": out.summary, "Cleaning Audit": out.audit, "Session State": state, "ToxVal Output": out.toxval, "Harmonization Audit": out.harmonized}
+        files.write_export(files.export_sheets(spark, {k: v for k, v in tables.items() if v is not None}, tags, {"input_path": input_path, "source": source}), output_path)
+    elif output_path:
         parts = {"curated": out.data, "audit": out.audit, "harmonized": out.harmonized, "toxval": out.toxval, "summary": out.summary}
         reduce(lambda _, p: files.write(p[1], f"{output_path}/{p[0]}", kind), [(k, v) for k, v in parts.items() if v is not None], None)
     return out
