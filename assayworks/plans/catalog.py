@@ -40,18 +40,17 @@ DIRTY_UNIT = "case cast(l_linenumber % 6 as int) when 0 then 'mg/L' when 1 then
 
 
 @_query(f"""
-with x as (select l_quantity as v, {DIRTY_UNIT} as raw from lineitem),
-m(f, t, b) as (values ('mg/L', 'mg/L', 1.0), ('ug/L', 'mg/L', 0.001), ('min', 'hr', 1.0 / 60)),
-y as (select *, case when lower(trim(raw)) = 'm' then 'min' else regexp_replace(trim(raw), '\\s*/\\s*', '/', 'g') end as u from x),
-z as (select y.*, coalesce(e.t, c.t, raw) as harmonized_unit, coalesce(e.b, c.b, 1.0) as by_,
+with x as (select l_orderkey, l_linenumber, l_quantity as v, {DIRTY_UNIT} as raw from lineitem),
+m(f, t, b) as (values ('mg/L', 'mg/L', 1.0::double), ('ug/L', 'mg/L', 0.001::double), ('min', 'hr', 1.0::double / 60)),
+y as (select *, case when lower(trim(raw)) = 'm' then 'min' else regexp_replace(trim(raw), '\\s*/\\s*', '/', 'g') end as u from x)
+select l_orderkey, l_linenumber, raw as orig_unit, v * coalesce(e.b, c.b, 1.0::double) as harmonized_value, coalesce(e.t, c.t, raw) as harmonized_unit,
   case when lower(trim(raw)) = 'm' then 'ambiguous_unit' when e.f is not null then '' when c.f is not null then 'case_fallback' else 'unmatched' end as unit_flag
-  from y left join m e on e.f = u left join m c on lower(c.f) = lower(u))
-select harmonized_unit, unit_flag, count(*) as n, cast(round(sum(v * by_), 2) as double) as total from z group by all
+  from y left join m e on e.f = u left join m c on lower(c.f) = lower(u)
 """)
 def unit_harmonize(spark, d):
-    df = _t(spark, d, "lineitem").select("l_quantity", F.expr(DIRTY_UNIT).alias("raw"))
+    df = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", F.expr(DIRTY_UNIT).alias("raw"))
     got = units.harmonized(df, units.unit_map(spark, durations=True), "l_quantity", "raw")
-    return got.groupBy("harmonized_unit", "unit_flag").agg(F.count("*").alias("n"), F.round(F.sum("harmonized_value"), 2).alias("total"))
+    return got.select("l_orderkey", "l_linenumber", "orig_unit", "harmonized_value", "harmonized_unit", "unit_flag")
 
 
 PPX = "case cast(l_linenumber % 4 as int) when 0 then 'ppb' when 1 then 'PPM' when 2 then 'ppt' else 'ppm' end"
@@ -59,53 +58,54 @@ MEDIUM = "case cast(l_suppkey % 4 as int) when 0 then 'aqueous' when 1 then 'air
 
 
 @_query(f"""
-with x as (select {PPX} as u, {MEDIUM.format(s='varchar')} as m, l_quantity as v from lineitem),
+with x as (select l_orderkey, l_linenumber, {PPX} as u, {MEDIUM.format(s='varchar')} as m, l_quantity as v from lineitem),
 y as (select *, case when lower(u) in ('ppb', 'ppm') then case m when 'aqueous' then 'mg/L' when 'air' then 'mg/m3' when 'solid' then 'mg/kg' end end as t from x)
-select case when t is not null then t when lower(u) in ('ppb', 'ppm') then 'mg/L' else u end as harmonized_unit,
-  case when t is not null or u in ('ppb', 'ppm') then '' when lower(u) = 'ppm' then 'case_fallback' else 'unmatched' end as unit_flag,
-  count(*) as n, cast(round(sum(v * case when lower(u) = 'ppb' then 0.001 else 1.0 end), 2) as double) as total from y group by 1, 2
+select l_orderkey, l_linenumber, u as orig_unit, m, v * case when lower(u) = 'ppb' then 0.001::double else 1.0::double end as harmonized_value, case when t is not null then t when lower(u) in ('ppb', 'ppm') then 'mg/L' else u end as harmonized_unit,
+  case when t is not null or u in ('ppb', 'ppm') then '' when lower(u) = 'ppm' then 'case_fallback' else 'unmatched' end as unit_flag from y
 """)
 def unit_ppx_media(spark, d):
-    df = _t(spark, d, "lineitem").select("l_quantity", F.expr(PPX).alias("u"), F.expr(MEDIUM.format(s="string")).alias("m"))
+    df = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", F.expr(PPX).alias("u"), F.expr(MEDIUM.format(s="string")).alias("m"))
     got = units.harmonized(df, units.unit_map(spark), "l_quantity", "u", media="m")
-    return got.groupBy("harmonized_unit", "unit_flag").agg(F.count("*").alias("n"), F.round(F.sum("harmonized_value"), 2).alias("total"))
+    return got.select("l_orderkey", "l_linenumber", "orig_unit", "m", "harmonized_value", "harmonized_unit", "unit_flag")
 
 
 MOLAR = "case cast(p_partkey % 5 as int) when 0 then 'M' when 1 then 'mM' when 2 then 'umol/L' when 3 then 'nM' else 'mol/l' end"
 
 
 @_query(f"""
-with x as (select {MOLAR} as u, cast(p_size as double) as v, case when p_partkey % 7 = 0 then null else 100.0 + p_size end as w from part)
-select case when w > 0 then 'mg/L' else u end as harmonized_unit, case when w > 0 then '' else 'needs_mw' end as unit_flag, count(*) as n,
-  cast(round(sum(v * case when w > 0 then w * case lower(u) when 'm' then 1000.0 when 'mol/l' then 1000.0 when 'mm' then 1.0 when 'umol/l' then 0.001 else 0.000001 end else 1.0 end), 3) as double) as total
-from x group by 1, 2
+with x as (select p_partkey, {MOLAR} as u, cast(p_size as double) as v, case when p_partkey % 7 = 0 then null else (100.0 + p_size)::double end as w from part)
+select p_partkey, u as orig_unit, case when w > 0 then 'mg/L' else u end as harmonized_unit, case when w > 0 then '' else 'needs_mw' end as unit_flag,
+  case when w > 0 then case lower(u) when 'm' then 1000.0 when 'mol/l' then 1000.0 when 'mm' then 1.0 when 'umol/l' then 0.001 else 0.000001 end::double * w else 1.0::double end as conversion_factor from x
 """)
 def unit_molarity(spark, d):
-    df = _t(spark, d, "part").select(F.expr(MOLAR).alias("u"), F.col("p_size").cast("double").alias("v"), F.expr("case when p_partkey % 7 = 0 then cast(null as double) else 100.0D + p_size end").alias("w"))
+    df = _t(spark, d, "part").select("p_partkey", F.expr(MOLAR).alias("u"), F.col("p_size").cast("double").alias("v"), F.expr("case when p_partkey % 7 = 0 then cast(null as double) else 100.0D + p_size end").alias("w"))
     got = units.harmonized(df, units.unit_map(spark), "v", "u", weight="w")
-    return got.groupBy("harmonized_unit", "unit_flag").agg(F.count("*").alias("n"), F.round(F.sum("harmonized_value"), 3).alias("total"))
+    return got.select("p_partkey", "orig_unit", "harmonized_unit", "unit_flag", "conversion_factor")
 
 
 SPAN = "case cast(l_linenumber % 5 as int) when 0 then 'day' when 1 then 'wk' when 2 then 'hrs' when 3 then 'Mo' else 'fortnight' end"
 
 
 @_query(f"""
-with x as (select {SPAN} as u, l_quantity as v from lineitem)
-select case u when 'fortnight' then u else 'hr' end as harmonized_unit, case u when 'Mo' then 'case_fallback' when 'fortnight' then 'unmatched' else '' end as unit_flag, count(*) as n,
-  cast(round(sum(v * case u when 'day' then 24.0 when 'wk' then 168.0 when 'Mo' then 730.5 else 1.0 end), 1) as double) as total from x group by 1, 2
+with x as (select l_orderkey, l_linenumber, {SPAN} as u, l_quantity as v from lineitem)
+select l_orderkey, l_linenumber, u as orig_unit, case u when 'fortnight' then u else 'hr' end as harmonized_unit, case u when 'Mo' then 'case_fallback' when 'fortnight' then 'unmatched' else '' end as unit_flag,
+  v * case u when 'day' then 24.0 when 'wk' then 168.0 when 'Mo' then 730.5 else 1.0 end::double as harmonized_value from x
 """)
 def duration_hours(spark, d):
-    df = _t(spark, d, "lineitem").select("l_quantity", F.expr(SPAN).alias("u"))
+    df = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", F.expr(SPAN).alias("u"))
     got = units.harmonized(df, units.unit_map(spark, durations=True), "l_quantity", "u", category="duration")
-    return got.groupBy("harmonized_unit", "unit_flag").agg(F.count("*").alias("n"), F.round(F.sum("harmonized_value"), 1).alias("total"))
+    return got.select("l_orderkey", "l_linenumber", "orig_unit", "harmonized_unit", "unit_flag", "harmonized_value")
 
 
-@_query("""
-select l_linenumber, case cast(l_linenumber % 3 as int) when 0 then 'Bq/L' when 1 then 'mg/L' else 'pCi' end as unit, l_linenumber % 3 <> 1 as radiological, count(*) as n from lineitem group by all
+_ACTIVE = "case cast(l_linenumber % 3 as int) when 0 then 'Bq/L' when 1 then 'mg/L' else 'pCi' end"
+
+
+@_query(f"""
+select l_orderkey, l_linenumber, {_ACTIVE} as unit, l_linenumber % 3 <> 1 as radiological from lineitem
 """)
 def radiological_units(spark, d):
-    unit = F.expr("case cast(l_linenumber % 3 as int) when 0 then 'Bq/L' when 1 then 'mg/L' else 'pCi' end")
-    return _t(spark, d, "lineitem").select("l_linenumber", unit.alias("unit")).groupBy("l_linenumber", "unit", units.is_radiological(F.col("unit")).alias("radiological")).agg(F.count("*").alias("n"))
+    df = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.expr(_ACTIVE).alias("unit"))
+    return df.withColumn("radiological", units.is_radiological(F.col("unit")))
 
 
 # --- numbers and dates ------------------------------------------------------------------------------------------------
@@ -182,19 +182,6 @@ def cas_multi(spark, d):
 
 # --- text and names ---------------------------------------------------------------------------------------------------
 
-_ACCENTS = "üùúûéèëêàáâãäåòóôõöøìíîïñç"
-_PLAIN = "uuuueeeeaaaaaaooooooiiiinc"
-
-
-@_query(f"""
-with x as (select doc_id, regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F{_ACCENTS}ß]', '', 'g') as t from documents)
-select doc_id, md5(replace(translate(t, '{_ACCENTS}', '{_PLAIN}'), 'ß', 'ss')) as h from x
-""")
-def unicode_ascii(spark, d):
-    t = F.regexp_replace(F.coalesce("text", F.lit("")), rf"[^\x00-\x7F{_ACCENTS}ß]", "")
-    return _t(spark, d, "documents").select("doc_id", F.md5(text.clean_unicode(t)).alias("h"))
-
-
 _MAPPED = ", ".join("'{}': '{}'".format(k, v.replace("'", "''")) for k, v in text.UNICODE.items())
 
 
@@ -202,7 +189,7 @@ _MAPPED = ", ".join("'{}': '{}'".format(k, v.replace("'", "''")) for k, v in tex
 with m as (select map {{{_MAPPED}}} as m)
 select doc_id, md5(case when regexp_matches(coalesce(text, ''), '[^\\x00-\\x7F]') then array_to_string(list_transform(regexp_extract_all(text, '(?s).'), lambda c: coalesce(m[c], c)), '') else coalesce(text, '') end) as h from documents, m
 """)
-def unicode_ascii_all(spark, d):
+def unicode_ascii(spark, d):
     """Whole texts: what the map lacks stays."""
     return _t(spark, d, "documents").select("doc_id", F.md5(text.clean_unicode(F.coalesce("text", F.lit("")))).alias("h"))
 
@@ -285,13 +272,6 @@ def isotopes_and_markers(spark, d):
     return df.select("n_nationkey", "raw", names.expand_isotopes(F.col("raw"), rows, {"Cesium": "Caesium"}).alias("expanded"), F.array_join(names.multi_analyte_parts(F.col("raw")), "|").alias("parts"), names.is_multi_analyte(F.col("raw")).alias("several"), names.restore_chiral(names.protect_chiral(marked)).alias("chiral"))
 
 
-@_query("""select count(*) as n_rows, count(*) filter (where p_partkey % 8 = 6) as formulas, count(*) filter (where p_partkey % 4 = 0) as mixtures from part""")
-def formulas_and_mixtures(spark, d):
-    v = F.expr("case when p_partkey % 8 = 6 then concat(p_name, ' (H2O)') when p_partkey % 4 = 0 then concat(p_name, ' 50:50 w/w') else concat(p_name, ' (IV)') end")
-    df = _t(spark, d, "part").select(v.alias("v"))
-    return df.agg(F.count("*").alias("n_rows"), F.count_if(F.size(names.extract_formulas(F.col("v"))) > 0).alias("formulas"), F.count_if(names.is_mixture(F.col("v"))).alias("mixtures"))
-
-
 # --- media ------------------------------------------------------------------------------------------------------------
 
 _MEDIA = "case cast(s_suppkey % 5 as int) when 0 then 'Water' when 1 then ' SOIL' when 2 then 'river water sample' when 3 then 'unknown' else 'ambient_air' end"
@@ -335,28 +315,6 @@ def jaro_scores(spark, d):
     return pairs.select("a", "b", F.round(jaro_similarity(F.lower("a"), F.lower("b")), 6).alias("score"))
 
 
-@_query("""
-select n_name as input_name, n_name as wqx_name, 'wqx_exact' as match_tier, 0.0::double as match_distance, null::varchar as alias_type from nation where n_nationkey % 3 = 0
-union all select 'old ' || lower(n_name), n_name, 'wqx_alias', 0.0, 'synonym' from nation where n_nationkey % 3 = 1
-""")
-def wqx_tiers(spark, d):
-    n = _t(spark, d, "nation")
-    own = n.select(F.col("n_name").alias("name"), F.col("n_name").alias("canonical_name"), F.lit("canonical").alias("type"))
-    alias = n.select(F.concat(F.lit("Old "), "n_name").alias("name"), F.col("n_name").alias("canonical_name"), F.explode(F.array(F.lit("retired"), F.lit("synonym"))).alias("type"))
-    values = n.filter("n_nationkey % 3 < 2").select(F.expr("case when n_nationkey % 3 = 0 then n_name else concat('old ', lower(n_name)) end").alias("search_value"))
-    return matching.match_wqx(values, own.unionByName(alias))
-
-
-@_query("""
-select n_name as search_value, case when n_nationkey % 4 <> 3 then 'D' || n_nationkey end as dtxsid, case when n_nationkey % 4 <> 3 then 'exact' else 'cas_invalid' end as source_tier from nation
-""")
-def tiered_lookup(spark, d):
-    n = _t(spark, d, "nation")
-    catalog = n.filter("n_nationkey % 4 <> 3").select(F.lower("n_name").alias("search_key"), F.concat(F.lit("D"), "n_nationkey").alias("dtxsid"), F.col("n_name").alias("preferred_name"), F.col("n_name").alias("search_name"), F.explode(F.array(F.lit(1), F.lit(2))).alias("rank"))
-    got = matching.tiered(n.select(F.col("n_name").alias("search_value")), n.limit(0).select(F.col("n_name").alias("search_value")), catalog)
-    return matching.chosen(got).select("search_value", "dtxsid", "source_tier")
-
-
 _WQX_VALUE = "case when n_nationkey % 3 = 0 then n_name when n_nationkey % 3 = 1 then concat('old ', lower(n_name)) when n_nationkey % 2 = 0 then concat(n_name, 'x') else reverse(n_name) end"
 
 
@@ -371,7 +329,7 @@ select input_name, case when e_name is not null then e_name when a_name is not n
   case when e_name is not null or a_name is not null then 0.0::double else round(d, 6) end as match_distance, case when e_name is null and a_name is not null then 'synonym' end as alias_type
 from x left join f using (input_name)
 """)
-def wqx_tiers_all(spark, d):
+def wqx_tiers(spark, d):
     """Every row of nation: equal names, aliases, misspelt and unknown ones."""
     n = _t(spark, d, "nation")
     own = n.select(F.col("n_name").alias("name"), F.col("n_name").alias("canonical_name"), F.lit("canonical").alias("type"))
@@ -395,7 +353,7 @@ select {_LOOKUP.format(number=_NUMBER.format(s="varchar", **_IN_NAME))} as searc
 union all select {_NUMBER.format(s="varchar", **_OF_COLUMN)}, case when n_nationkey % 3 = 0 then 'C' || n_nationkey end, case when n_nationkey % 3 = 0 then n_name end,
   case n_nationkey % 3 when 0 then 'cas' when 1 then 'cas_miss' else 'cas_invalid' end from nation
 """)
-def tiered_lookup_all(spark, d):
+def tiered_lookup(spark, d):
     """All tiers: names and numbers of the catalog, aliases and misspelt names of a dictionary, prefixes, unknown names."""
     n = _t(spark, d, "nation")
     name, column = (F.expr(_NUMBER.format(s="string", **x)) for x in (_IN_NAME, _OF_COLUMN))

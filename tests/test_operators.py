@@ -122,7 +122,7 @@ def test_queries_of_all_tiers_equal_their_sql(spark, tmp_path):
     spark.createDataFrame([(i, n.replace("_", " ")) for i, n in enumerate(names_)], "n_nationkey long, n_name string").coalesce(1).write.parquet(f"file://{tmp_path}/nation.parquet")
     db = duckdb.connect()
     db.execute(f"create view nation as select * from read_parquet('{tmp_path}/nation.parquet/*.parquet')")
-    for query, tiers in (("wqx_tiers_all", {"wqx_exact", "wqx_alias", "wqx_fuzzy", "miss"}), ("tiered_lookup_all", {"exact", "cas_in_name", "wqx_alias", "wqx_fuzzy", "starts_with", "cas", "cas_miss", "cas_invalid"})):
+    for query, tiers in (("wqx_tiers", {"wqx_exact", "wqx_alias", "wqx_fuzzy", "miss"}), ("tiered_lookup", {"exact", "cas_in_name", "wqx_alias", "wqx_fuzzy", "starts_with", "cas", "cas_miss", "cas_invalid"})):
         got = catalog.queries()[query](spark, f"file://{tmp_path}")
         want = db.execute(catalog.oracle_sql()[query])
         rows = got.select([c[0] for c in want.description]).collect()
@@ -139,8 +139,8 @@ def test_unicode_query_takes_whole_texts(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"file://{tmp_path}/documents.parquet")
     db = duckdb.connect()
     db.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
-    got = sorted(map(tuple, catalog.queries()["unicode_ascii_all"](spark, f"file://{tmp_path}").collect()))
-    assert got == sorted(db.execute(catalog.oracle_sql()["unicode_ascii_all"]).fetchall())
+    got = sorted(map(tuple, catalog.queries()["unicode_ascii"](spark, f"file://{tmp_path}").collect()))
+    assert got == sorted(db.execute(catalog.oracle_sql()["unicode_ascii"]).fetchall())
     import hashlib
 
     whole = "".join(["a", *UNICODE.values(), "z"])
