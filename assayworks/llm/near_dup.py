@@ -6,19 +6,21 @@ signatures less varied than independent minima, and the draw stops as soon as ev
 step j runs over all elements of the documents that still have an empty slot, which is the same early stop by document.
 
 Documents with equal sets are one class from the start: a digest of the whole sorted set, of 128 bits without known
-collisions, confirms them. Then stars: each bucket of the first bands is joined to one
-hub only, the member that shares most with others, which in a group of edited copies is their original; verified links
-merge classes into components, so that large groups of copies fall together at a cost in proportion to their size. What is
-left are buckets of all bands that still hold several components. Their members meet in blocks of bounded size, with short codes of their signatures, and only pairs of different components whose codes
-agree enough go on. Links are confirmed on the full sets, so every link found is right. A link of similarity 0.75 is missed
-by all bands, or by its codes, with a probability of about one in a hundred thousand, and no bucket, however large, is cut.
+collisions, confirms them. Then stars: each bucket of the first bands is joined to one hub only, the member that shares most
+with others, which in a group of edited copies is their original; verified links merge classes into components, so that large
+groups of copies fall together at a cost in proportion to their size. What is left are buckets of all bands that still hold
+several components. Their members meet in blocks of bounded size, with short codes of their signatures, and only pairs of
+different components whose codes agree enough go on. Links are confirmed on the full sets, so every link found is right. A
+link of similarity 0.75 is missed by all bands, or by its codes, with a probability of about one in a hundred thousand, and
+no bucket, however large, is cut.
 
 Union-find: each partition of links is first reduced to a spanning forest, and the forests' roots are then merged by
 minimum labels with pointer jumping, over tables in the shared folder.
 
-Defined results: null, empty and blank texts have an empty set and are linked with nothing; repeated rows have equal sets;
-of equal doc_ids with different texts each row is a document, linked through their common id; an empty table gives an
-empty table; other columns are not looked at.
+Defined results: null, empty and blank texts have an empty set and are linked with nothing; rows without a doc_id get none,
+and are linked with nothing; repeated rows have equal sets; of equal doc_ids with different texts each row is a document,
+linked through their common id; of hubs that share equally the smallest id wins; a long text's set is made in parts, with
+eight bytes held for each word; an empty table gives an empty table; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -268,8 +270,8 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
 def agreeing(blocks: DataFrame) -> DataFrame:
     """Pairs a, b of different labels, near enough sizes and codes that agree, of each block.
 
-    blocks: bucket, band, i, j, home, id, label, n, code, bands; rows of a block (bucket, i, j) follow each other. Pairs are of a home
-    row and a probe.
+    blocks: bucket, band, i, j, home, id, label, n, code, bands; rows of a block (bucket, i, j) follow each other. Pairs are
+    of a home row and a probe.
     """
     kind = blocks.schema["id"].dataType
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
