@@ -515,4 +515,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in _SQL.items() if k in queries()}
+    from . import entries  # noqa: F401 - adds its own
+
+    return dict(_SQL)

@@ -161,3 +161,12 @@ def test_incremental_units_and_audit(spark):
     t = spark.createDataFrame([("a", "x", 1.0), ("b", "y", 2.0)], "from_unit string, to_unit string, multiplier double")
     assert [r[0] for r in unit_build.changed_units(t, t.withColumn("multiplier", F.when(F.col("from_unit") == "b", 3.0).otherwise(F.col("multiplier")))).collect()] == ["b"]
     assert audit.empty_audit(spark).count() == 0 and matching.flattened_synonyms is not None
+
+
+def test_the_entry_gives_sql_before_queries():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; o = e.oracle_sql(); assert set(o) <= set(e.queries()) and len(o) > 100"], cwd=Path(__file__).resolve().parents[1], capture_output=True, text=True)
+    assert said.returncode == 0, said.stderr
