@@ -32,14 +32,15 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ready(spark)
     found = near_dup.near_duplicates(spark, docs).filter("doc_id is not null")
-    # a row for each id: whether its group keeps another, and whether several rows share it
-    ids = found.groupBy("doc_id").agg(F.min("component_id").alias("first"), F.count("*").alias("n"))
-    told = ids.filter("first <> doc_id or n > 1")
-    kept = docs.select(*COLUMNS).join(told, "doc_id", "left").filter("first is null or first = doc_id")
-    once = kept.filter("n is null").select(*COLUMNS)
-    rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
-    shared = kept.filter("n is not null").groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("r"))
-    return once.unionByName(shared.select("doc_id", "text", "r.*"))
+    gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
+    kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    # Ids that several rows share are looked for among the ids alone; only where there are any are texts grouped.
+    several = found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    if several.limit(1).count():
+        rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
+        shared = kept.join(several, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("r"))
+        kept = kept.join(several, "doc_id", "left_anti").unionByName(shared.select("doc_id", "text", "r.*"))
+    return kept.select(*COLUMNS)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
