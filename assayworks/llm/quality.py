@@ -54,10 +54,16 @@ def counts(docs: DataFrame, text: str = "text") -> DataFrame:
     df = docs.withColumns({"_fence": fence, "_w": F.filter(F.split(t, r"[\x20\x09-\x0D]+"), lambda w: w != "")})
     df = df.withColumn("_l", F.filter(F.split(t, "\n"), lambda s: F.translate(s, SPACES, "") != ""))
     n = F.size("_w")
-    windows = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.concat_ws(" ", F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)).alias("g"), i.alias("i"))))
-    df = df.withColumns({"_fence": on, "_g": F.sort_array(F.coalesce(windows, F.array().cast("array<struct<g:string,i:int>>")))})
-    # Windows equal to a neighbour in sorted order are those found twice or more; their places, in order.
-    twice = F.filter("_g", lambda x, k: (x["g"] == F.get("_g", k - 1)["g"]) | (x["g"] == F.get("_g", k + 1)["g"]))
+    windows = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)).alias("g"), i.alias("i"))))
+    df = df.withColumns({"_fence": on, "_g": F.sort_array(F.coalesce(windows, F.array().cast("array<struct<g:bigint,i:int>>")))})
+
+    # Windows equal to a neighbour in the order of their hashes are those found twice or more; their places, in order. Of
+    # equal hashes the words themselves are compared.
+    def same(x: Column, y: Column) -> Column:
+        words = [F.get("_w", x["i"] + j) == F.get("_w", y["i"] + j) for j in range(3)]
+        return F.coalesce(F.when(x["g"] == y["g"], words[0] & words[1] & words[2]), F.lit(False))
+
+    twice = F.filter("_g", lambda x, k: same(x, F.get("_g", k - 1)) | same(x, F.get("_g", k + 1)))
     df = df.withColumns({"_fence": on, "_p": F.sort_array(F.transform(twice, lambda x: x["i"]))})
     # Each place covers three words, less those that the next place covers too.
     covered = F.aggregate("_p", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).alias("last")), lambda a, p: F.struct((a["n"] + F.least(F.lit(3), p - a["last"])).alias("n"), p.alias("last")), lambda a: a["n"])
