@@ -27,7 +27,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -410,9 +411,13 @@ def trained(docs: DataFrame, labels: DataFrame, text: str = "text", most: tuple[
     texts = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("_t")).join(F.broadcast(sample), "doc_id")
     texts = texts.groupBy("doc_id", "y", "h").agg(F.min_by("_t", F.struct(F.xxhash64("_t"), F.octet_length("_t"))).alias("_t"))
     texts, path = written(spark, texts, "fitted")
-    so_far = F.sum(F.octet_length("_t").cast("long")).over(Window.partitionBy("y").orderBy("h", "doc_id"))
-    fits = texts.select("doc_id", "y", so_far.alias("n")).filter(F.col("n") <= F.when(F.col("y") == 1, most_bytes[0]).otherwise(most_bytes[1])).select("doc_id")
-    got = texts.join(F.broadcast(fits), "doc_id").select("doc_id", "y", "_t").toArrow()
+    sizes = texts.select("doc_id", "y", "h", F.octet_length("_t").cast("long").alias("n")).toArrow()  # a row each, within the bounds
+    fits: list[int] = []
+    for value, bytes_ in ((1, most_bytes[0]), (0, most_bytes[1])):
+        part = sizes.filter(pc.equal(sizes.column("y"), value)).sort_by([("h", "ascending"), ("doc_id", "ascending")])
+        fits += part.column("doc_id").to_numpy()[np.cumsum(part.column("n").to_numpy()) <= bytes_].tolist()
+    chosen = spark.createDataFrame([(i,) for i in fits], T.StructType([texts.schema["doc_id"]]))
+    got = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "_t").toArrow()
     dropped(spark, path)
     got = got.take(pa.array(np.argsort(got.column("doc_id").to_numpy(), kind="stable")))
     return fit(got.column("_t").combine_chunks() if got.num_rows else pa.array([], pa.string()), got.column("y").to_numpy())
