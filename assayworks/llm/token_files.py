@@ -62,7 +62,7 @@ def token_rows(docs: DataFrame, path: str, end_id: int | None = END_ID, text: st
 
 
 def n_files_of(docs: DataFrame) -> int:
-    """Files for docs: by the size of what it reads, as the optimizer knows it from the files, without reading them."""
+    """Files for docs: by the size of the columns it reads, as the optimizer estimates it from the files, without reading them."""
     stored = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     # a table whose size is not known counts as endless there
     return max(docs.sparkSession.sparkContext.defaultParallelism, min(-(-stored // FILE_BYTES), 1 << 22))
@@ -115,9 +115,11 @@ def with_crc32(df: DataFrame, column: str = "tokens", to: str = "ids_crc32") ->
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder, tokens.default_path())
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    folder, n = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}", n_files_of(docs)
+    write_tokens(docs, folder, tokens.default_path(), n)
     with arrow_bytes(spark, BATCH_BYTES):
-        got, _ = written(spark, with_crc32(read_tokens(spark, folder)), "token-digests")
+        # a task for each file of ids, so that digests make no more files than these
+        got, _ = written(spark, with_crc32(read_tokens(spark, folder).coalesce(n)), "token-digests")
     dropped(spark, folder)
     return got.select("doc_id", "start", "n_tokens", "ids_crc32")
