@@ -16,6 +16,8 @@ from assayworks.llm import near_dup, packing, quality, secrets, toxicity
 from assayworks.llm.common import dropped, ready, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Ids of documents that go, counted before they are broadcast; beyond, the join shuffles the texts.
+MAX_BROADCAST_IDS = 2_000_000
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +35,8 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     ready(spark)
     found = near_dup.near_duplicates(spark, docs).filter("doc_id is not null")
     gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    small = gone.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
+    kept = docs.select(*COLUMNS).join(F.broadcast(gone) if small else gone, "doc_id", "left_anti")
     # Ids that several rows share are looked for among the ids alone; only where there are any are texts grouped.
     several = found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
     if several.limit(1).count():
